@@ -113,7 +113,7 @@ def media_columns(df: DataFrame, column: str = "media", tile: int = 16) -> DataF
     The tile is the image resized to tile x tile, rounded to 8 bits, as the bytes of an NPY file. A
     null, empty or broken image, or one with no pixels, gives nulls. Columns of df with these names are replaced.
     """
-    new = {"height": "int", "width": "int", "channels": "int", "samples": "binary", "tile_npy": "binary", "dhash": "string"}
+    new = {"height": "integer", "width": "integer", "channels": "integer", "samples": "binary", "tile_npy": "binary", "dhash": "string"}
     df = df.drop(*new)
     schema = with_fields(df.schema, **new)
     names = schema.names
