@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, quality
+from . import chat, licenses, media, mixing, packing, quality, substrings, toxicity
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op3_chat": chat.op3_chat,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
     "op7_mixing": mixing.op7_mixing,
+    "op8_packing": packing.op8_packing,
+    "op9_substrings": substrings.op9_substrings,
     "op10_media": media.op10_media,
 }
 SQL = {"op3_chat": chat.OP3_SQL, "op7_mixing": mixing.OP7_SQL}

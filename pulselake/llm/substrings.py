@@ -20,7 +20,7 @@ DEPTH, SLICE_BITS, CELL_BITS = 2, 10, 16
 
 
 def _row_key(keys: np.ndarray, d: int) -> np.ndarray:
-    return mix(keys + np.uint64(0x9E3779B97F4A7C15) * np.uint64(d + 1))
+    return mix(keys + np.uint64((0x9E3779B97F4A7C15 * (d + 1)) % 2**64))
 
 
 def anchors(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
