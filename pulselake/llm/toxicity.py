@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
         found, w = ftrl([(np.asarray(x, np.int64), int(y)) for x, y in zip(group["x"], group["y"])])
         return pd.DataFrame({"i": found, "w": w})
 
-    w = x.groupBy(F.lit(0)).applyInPandas(fit, "i long, w double").toPandas().sort_values("i")  # at most 2 ** BITS rows
+    w = x.groupBy().applyInPandas(fit, "i long, w double").toPandas().sort_values("i")  # at most 2 ** BITS rows
     return w["i"].to_numpy(np.int64), w["w"].to_numpy(np.float64)
 
 
