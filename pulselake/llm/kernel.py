@@ -50,6 +50,12 @@ def text_blocks(column: pa.Array):
         row = end
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    upper = (data >= 65) & (data <= 90)
+    return data + upper.astype(np.uint8) * np.uint8(32)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separators: bytes = SPACES):
     """First byte, end byte and row of each word of a block."""
     inside = np.ones(256, bool)

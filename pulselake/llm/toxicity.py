@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, table, with_fields
-from .kernel import SPACES, mix, text_blocks, word_hashes, words
+from .kernel import lower, mix, text_blocks, word_hashes, words
 
 #: log2 of the number of coordinates; weights are at most this many doubles whatever the input.
 BITS = 20
@@ -32,11 +32,6 @@ def features(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.maximum((np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), 1), np.concatenate(at)
 
 
-def lower(data: np.ndarray) -> np.ndarray:
-    upper = (data >= 65) & (data <= 90)
-    return data + upper.astype(np.uint8) * np.uint8(32)
-
-
 #: Separators of words: ASCII characters that are no letters or digits.
 MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 
