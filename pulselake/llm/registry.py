@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, media, mixing, packing, quality, substrings, toxicity
+from . import chat, licenses, lines, media, mixing, ngram_join, packing, quality, substrings, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op2_line_dedup": lines.op2_line_dedup,
     "op3_chat": chat.op3_chat,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
     "op7_mixing": mixing.op7_mixing,
