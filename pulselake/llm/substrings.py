@@ -16,7 +16,7 @@ from .sketch import ROWS, bitmaps, lookup, slice_rows
 #: Words of an anchor: the window's inner run of words with the smallest hash.
 ANCHOR = 8
 #: The sketch has DEPTH rows of 2 ** (SLICE_BITS + CELL_BITS) cells.
-DEPTH, SLICE_BITS, CELL_BITS = 2, 10, 16
+DEPTH, SLICE_BITS, CELL_BITS = 2, 11, 16
 
 
 def _row_key(keys: np.ndarray, d: int) -> np.ndarray:
