@@ -134,3 +134,8 @@ def pulse_number(name: Column) -> Column:
 def is_finite(c: Column) -> Column:
     """P6."""
     return F.coalesce(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+
+
+def pearson(a: str, b: str) -> Column:
+    """A22 (an aggregate): correlation, null without variance, where the built-in raises an error in ANSI mode."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))

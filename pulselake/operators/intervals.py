@@ -53,14 +53,14 @@ def drop_repeats_across_chunks(pulses: DataFrame, key: str = "recording_key", bu
     return pulses.join(repeated, [key, "chunk_index", "start_s", "end_s"], "left_anti")
 
 
-def greedy_dedup(pulses: DataFrame, keys: list[str], overlap: float = REFINE_OVERLAP) -> DataFrame:
+def greedy_dedup(pulses: DataFrame, keys: list[str], overlap: float = REFINE_OVERLAP, extra: tuple[str, ...] = ()) -> DataFrame:
     """A fold over a group's pulses by start, against the last one kept.
 
     A pulse that shares ``overlap`` of the shorter with the last kept one replaces it if its SNR is
-    higher and is dropped otherwise. Pulses have start_s, end_s, snr_db. A group is one chunk, whose
-    pulses have a fixed bound, so the array does too.
+    higher and is dropped otherwise. Pulses have start_s, end_s, snr_db and the columns extra. A group
+    is one chunk, whose pulses have a fixed bound, so the array does too.
     """
-    item = F.struct("start_s", "end_s", "snr_db")
+    item = F.struct("start_s", "end_s", "snr_db", *extra)
     folded = pulses.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("p"))
 
     def step(kept: Column, x: Column) -> Column:

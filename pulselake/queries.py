@@ -346,7 +346,7 @@ def slope(spark, sf):
 @query("SELECT l_suppkey, round(corr(l_extendedprice, l_quantity), 6) AS r FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_quantity) > 1 AND count(DISTINCT l_extendedprice) > 1")
 def corr(spark, sf):
     """A22."""
-    g = _t(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.corr("l_extendedprice", "l_quantity").alias("r"), *(f(c).alias(f"{n}_{c[2:4]}") for c in ("l_quantity", "l_extendedprice") for n, f in (("lo", F.min), ("hi", F.max))))
+    g = _t(spark, sf, "lineitem").groupBy("l_suppkey").agg(S.pearson("l_extendedprice", "l_quantity").alias("r"), *(f(c).alias(f"{n}_{c[2:4]}") for c in ("l_quantity", "l_extendedprice") for n, f in (("lo", F.min), ("hi", F.max))))
     return g.filter("lo_qu < hi_qu and lo_ex < hi_ex").select("l_suppkey", F.round("r", 6).alias("r"))
 
 
