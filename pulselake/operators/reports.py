@@ -46,7 +46,7 @@ def call_rate(calls: Column, duration_s: Column) -> Column:
 
 def segment_summary(pulses: DataFrame, key: str, label: str, labels: list[str], unknown: str = UNKNOWN) -> DataFrame:
     """One row per recording, one column per label. The labels come from the templates, so one job does it."""
-    return pulses.withColumn("_l", fold_label(F.col(label), labels, unknown)).groupBy(key).pivot("_l", [*labels, unknown]).agg(F.count("*")).na.fill(0)
+    return pulses.withColumn("_l", fold_label(F.col(label), labels, unknown)).groupBy(key).pivot("_l", [*labels, unknown]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def overall_by_label(counts: DataFrame) -> DataFrame:

@@ -33,14 +33,14 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    """Events with frame, their number within user_id by (ts, event_id)."""
+    """Events with frame, their number within user_id by (ts, event_id), and energy, whose cube gives calls that stand out."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = _t(spark, sf, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "ts", "user_id", "event_type", "value")
-    return e.withColumn("frame", F.row_number().over(w) - 1)
+    return e.withColumns({"frame": F.row_number().over(w) - 1, "energy": F.col("value") * F.col("value") * F.col("value")})
 
 
 _FRAMES = "f AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events)"
-_DB = _FRAMES + ", d AS (SELECT *, greatest(10 * log10(greatest(value, 1e-10)) - 10 * log10(greatest(max(value) OVER (PARTITION BY user_id), 1e-10)), -80.0) AS db FROM f)"
+_DB = _FRAMES + ", d AS (SELECT *, greatest(10 * log10(greatest(value * value * value, 1e-10)) - 10 * log10(greatest(max(value * value * value) OVER (PARTITION BY user_id), 1e-10)), -80.0) AS db FROM f)"
 _SMOOTH = _DB + """, s AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY user_id) >= 5 THEN sum(db) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 ELSE db END AS x FROM d)"""
 _ACTIVE = _SMOOTH + """, h AS (SELECT user_id, greatest(-28.0, median(x) + 10.0) AS th FROM s GROUP BY user_id),
 a AS (SELECT s.*, th FROM s JOIN h USING (user_id) WHERE round(x, 9) >= round(th, 9))"""
@@ -49,7 +49,7 @@ i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY frame)::BIGINT AS i
 
 
 def _smooth(spark: SparkSession, sf: str) -> DataFrame:
-    e = frames.normalise_db(_events(spark, sf), ["user_id"], "value", "db")
+    e = frames.normalise_db(_events(spark, sf), ["user_id"], "energy", "db")
     return frames.smooth(e, ["user_id"], ["frame"], "db", "x").withColumn("x", F.round("x", 9))
 
 
@@ -61,7 +61,7 @@ def _islands(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_DB} SELECT user_id, event_id, round(db, 6) AS db FROM d")
 def frame_db_normalise(spark, sf):
     """W11, F9, Q2."""
-    return frames.normalise_db(_events(spark, sf), ["user_id"], "value", "db").select("user_id", "event_id", F.round("db", 6).alias("db"))
+    return frames.normalise_db(_events(spark, sf), ["user_id"], "energy", "db").select("user_id", "event_id", F.round("db", 6).alias("db"))
 
 
 @query(f"WITH {_SMOOTH} SELECT user_id, event_id, round(x, 6) AS smooth_db FROM s")
@@ -159,8 +159,8 @@ def greedy_dedup(spark, sf):
 
 @query(
     """WITH r AS (SELECT user_id, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 / 3600 AS d FROM events GROUP BY user_id)
-    SELECT user_id, c::INT AS chunk_index, round(c * 10.0, 6) AS coverage_start_s, round(least((c + 1) * 10.0, d), 6) AS coverage_end_s,
-      round(greatest(0, c * 10.0 - 0.5), 6) AS read_start_s, round(least(d, least((c + 1) * 10.0, d) + 0.5), 6) AS read_end_s
+    SELECT user_id, c::INT AS chunk_index, round(c * 10.0::DOUBLE, 6) AS coverage_start_s, round(least((c + 1) * 10.0::DOUBLE, d), 6) AS coverage_end_s,
+      round(greatest(0, c * 10.0::DOUBLE - 0.5), 6) AS read_start_s, round(least(d, least((c + 1) * 10.0, d) + 0.5), 6) AS read_end_s
     FROM (SELECT user_id, d, unnest(range(ceil(d / 10.0)::BIGINT)) AS c FROM r WHERE d > 0)"""
 )
 def chunk_grid(spark, sf):
@@ -476,7 +476,7 @@ def overview_maxpool(spark, sf):
 
 @query(
     f"""WITH {_FRAMES}, b AS (SELECT user_id, frame // 16 AS bucket, min((value, frame)) AS lo, max((value, -frame)) AS hi FROM f GROUP BY ALL)
-    SELECT DISTINCT user_id, bucket::BIGINT AS bucket, at::BIGINT AS at, value FROM (SELECT user_id, bucket, unnest([lo[2], -hi[2]]) AS at, unnest([lo[1], hi[1]]) AS value FROM b)"""
+    SELECT DISTINCT user_id, bucket::BIGINT AS bucket, "at"::BIGINT AS "at", value FROM (SELECT user_id, bucket, unnest([lo[2], -hi[2]]) AS "at", unnest([lo[1], hi[1]]) AS value FROM b)"""
 )
 def waveform_minmax(spark, sf):
     """A25."""
