@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 

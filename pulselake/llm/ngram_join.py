@@ -65,15 +65,22 @@ def _levels(tokens: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return lookup(seen[0, 0], tokens).astype(np.int8) + lookup(seen[1, 0], tokens)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, seen, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Sets are made again from the texts, of marked documents only."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    mark = F.shiftright(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long"), 32 - MARK_BITS)
-    marks = np.zeros(1 << MARK_BITS, bool)
-    found = nodes.select(mark.cast("int").alias("m")).distinct()
-    marks[[r[0] for r in found.toLocalIterator(prefetchPartitions=True)]] = True  # at most 2 ** MARK_BITS numbers
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(np.packbits(marks))
+def _marked(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of 2 ** MARK_BITS bits (1 MB) of the leading bits of nodes, built by slices of 4 KB in Spark."""
+    mark = F.shiftright(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long"), 32 - MARK_BITS) + 1
+    slices = nodes.select(mark.alias("m")).groupBy(F.bitmap_bucket_number("m").alias("s")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("m")).alias("bits"))
+    out = np.zeros((1 << MARK_BITS) // 8, np.uint8)
+    for s, bits in slices.collect():  # at most 2 ** MARK_BITS / 2 ** 15 rows
+        out[(s - 1) * 4096 : s * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _token_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, tokens) of the given nodes: their sets are made again from the texts, and kept for all tests of pairs.
+
+    Most other documents are passed over by a bitmap before anything is shuffled.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_marked(nodes))
 
     def sets(batches):
         for b in batches:
@@ -82,23 +89,29 @@ def _verify(pairs: DataFrame, docs: DataFrame, seen, size: int, percent: int) ->
                 if len(tokens):
                     node = node_of(tokens)
                     m = int.from_bytes(node[:4], "big") >> (32 - MARK_BITS)
-                    if sent.value[m >> 3] >> (7 - (m & 7)) & 1 and node not in done:
+                    if sent.value[m >> 3] >> (m & 7) & 1 and node not in done:
                         done.add(node)
                         out.append((node, tokens.astype("<u8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in range(2)], names=["node", "tokens"])
 
-    tokens = docs.select("text").mapInArrow(sets, "node binary, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return checkpoint(docs.select("text").mapInArrow(sets, "node binary, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def _verify(pairs: DataFrame, tokens: DataFrame, seen, percent: int) -> DataFrame:
+    """The pairs (a, b) that link."""
 
     def check(batches):
-        for b in batches:
-            keep = []
-            for ta, tb in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(ta.as_py(), "<u8"), np.frombuffer(tb.as_py(), "<u8")
-                lx, ly = _levels(x, seen.value), _levels(y, seen.value)
-                pass_all = all(len(np.intersect1d(x[prefix(x, lx, f, percent)], y[prefix(y, ly, f, percent)], assume_unique=True)) for f in ORDERS)
-                common = len(np.intersect1d(x, y, assume_unique=True)) if pass_all else 0
-                keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                b = whole.slice(first, 1024)
+                keep = []
+                for ta, tb in zip(b.column(2), b.column(3)):
+                    x, y = np.frombuffer(ta.as_py(), "<u8"), np.frombuffer(tb.as_py(), "<u8")
+                    lx, ly = _levels(x, seen.value), _levels(y, seen.value)
+                    pass_all = all(len(np.intersect1d(x[prefix(x, lx, f, percent)], y[prefix(y, ly, f, percent)], assume_unique=True)) for f in ORDERS)
+                    common = len(np.intersect1d(x, y, assume_unique=True)) if pass_all else 0
+                    keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     # Hubs stand in a: a set is moved once for each of its pairs, and splits of a large key repeat the hub's only.
     t = pairs.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -164,7 +177,9 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     many = checkpoint(posts.filter(F.col("c") > PAIRWISE).select("token", "node", "n", "hub"))
     pairs = few.union(many.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct()
     tested = checkpoint(pairs)
-    links = checkpoint(_verify(tested, docs, seen, size, percent))
+    # Later pairs are of these nodes too: every set of a large token is paired with its hub here.
+    sets = _token_sets(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct(), docs, size)
+    links = checkpoint(_verify(tested, sets, seen, percent))
 
     def split(roots: DataFrame) -> DataFrame:
         """Tokens' sets with their components, of tokens whose sets aren't all in one."""
@@ -172,29 +187,27 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
         bounds = m.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
         return m.join(bounds, "token")
 
-    roots = None
-    for turn in range(3):
-        if many.isEmpty():
-            break
-        roots = checkpoint(components(links))
+    roots = checkpoint(components(links))
+    for turn in range(0 if many.isEmpty() else 3):
         m = split(roots)
         hub_root = m.filter("node = hub").select("token", F.col("root").alias("hub_root"))
-        m = checkpoint(m.join(hub_root, "token"))
-        if m.isEmpty():
+        out = checkpoint(m.join(hub_root, "token"))
+        if out.isEmpty():
             break
-        out = m.filter("root != hub_root")
+        apart = out.filter("root != hub_root")
         if turn < 2:  # another hub, among the sets that the first did not join
-            hubs = out.groupBy("token").agg((F.min if turn else F.max)(F.struct("node", "n", "root")).alias("h"))
+            hubs = apart.groupBy("token").agg((F.min if turn else F.max)(F.struct("node", "n", "root")).alias("h"))
         else:  # all that is left: sets outside the hub's component, with all of other components
-            hubs = out.select("token", F.struct("node", "n", "root").alias("h"))
-        p = m.join(hubs, "token").filter((F.col("root") != F.col("h.root")) & (F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * percent))
+            hubs = apart.select("token", F.struct("node", "n", "root").alias("h"))
+        p = out.join(hubs, "token").filter((F.col("root") != F.col("h.root")) & (F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * percent))
         p = p.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         p = checkpoint(p)
+        if p.isEmpty():
+            continue
         tested = tested.union(p)
-        if not p.isEmpty():
-            links = checkpoint(links.union(_verify(p, docs, seen, size, percent)))
-            roots = None
-    roots = checkpoint(components(links)) if roots is None else roots
+        links = _verify(p, sets, seen, percent)
+        # What is known already are stars, so joining the new links takes few rounds.
+        roots = checkpoint(components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)))
     d = d.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = d.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     d = d.join(least, "root", "left")
