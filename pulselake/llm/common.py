@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,27 @@ def with_fields(schema: StructType, **kinds: str) -> StructType:
     return out
 
 
+def aside(*own: str) -> Callable:
+    """For an operator on docs that needs only the columns own: all others ride along, whatever their names are.
+
+    Inside, they have names that no operator uses; afterwards those with the name of a result column
+    are replaced by it, and the others have their names again.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **kw) -> DataFrame:
+            inside = {c: c if c in own else f"_own{i}_" for i, c in enumerate(docs.columns)}
+            out = operator(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in inside.items())), *args, **kw)
+            back = {n: c for c, n in inside.items()}
+            new = {c for c in out.columns if c not in back}
+            return out.select(*(F.col(c).alias(back.get(c, c)) for c in out.columns if back.get(c) not in new))
+
+        return run
+
+    return wrap
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of df in the folder that the cluster names in spark.checkpoint.dir.
 

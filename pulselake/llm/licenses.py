@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -200,18 +202,25 @@ class Scanner:
             priority, weight, label, pattern = self.rules[i]
             found += [(priority, m.start() - m.end(), i, m.start(), m.end(), label, weight) for m in pattern.finditer(normal)]
         kept: list[tuple[int, int, str, float]] = []
+        edge: list[tuple[int, int]] = []  # taken spans that no other taken span contains: their starts and ends both rise
         for _, _, _, start, end, label, weight in sorted(found):
-            if not any(s <= start and end <= e for s, e, _, _ in kept):
-                kept.append((start, end, label, weight))
+            i = bisect_right(edge, (start, 1 << 62))
+            if i and end <= edge[i - 1][1]:
+                continue
+            kept.append((start, end, label, weight))
+            a = i - 1 if i and edge[i - 1][0] == start else i
+            b = bisect_right(edge, end, lo=i, key=lambda x: x[1])
+            edge[a:b] = [(start, end)]
         return sorted(kept)
 
     def scan(self, text: str | None) -> dict:
         """Words, places of the base phrases, detections (word spans) and labels of a text; a null text is empty."""
         words = WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())  # of bytes: A-Z only
         normal = b" ".join(words)
-        place = lambda at: normal.count(b" ", 0, at)
+        starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+        place = lambda at: bisect_right(starts, at) - 1
         base = [(place(m.start()), label) for label, pattern in self.base for m in pattern.finditer(normal)]
-        spans = [(place(s), place(e) + 1, label, weight) for s, e, label, weight in self.detections(normal)]
+        spans = [(place(s), place(e - 1) + 1, label, weight) for s, e, label, weight in self.detections(normal)]
         base_labels = {label for _, label in base}
         miss = 1.0
         for weight in {label: w for _, _, label, w in sorted(spans, key=lambda x: x[3])}.values():

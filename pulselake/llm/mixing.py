@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, aside, table
 
 
 def n_words(text: Column) -> Column:
@@ -35,6 +35,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return s.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("ratio") < F.col("level.ratio")), F.lit(cap) * F.col("source_size")).otherwise(shared).alias("target"))
 
 
+@aside("doc_id", "source", "text")
 def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = (5, 2, 1), seed: int = 0, whole: bool = False, blocks: int = 3) -> DataFrame:
     """docs with size, source_size, target, copies (whole passes over the row) and taken (words).
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table, with_fields
+from .common import aside, checkpoint, table, with_fields
 
 CAPACITY = 2048
 #: Lengths over CAPACITY / SMALL are large; they are rounded up within GROUPS groups of equal cardinality.
@@ -190,6 +190,7 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY, small: int = SMALL,
     return out
 
 
+@aside("text")
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """The pieces of docs with sequence_id and offset; each sequence is gapless from 0 and holds at most capacity ids.
 

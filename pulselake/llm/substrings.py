@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, with_fields
+from .common import aside, table, with_fields
 from .kernel import mix, text_blocks, windows, word_hashes, words
 from .sketch import ROWS, bitmaps, lookup, slice_rows
 
@@ -130,6 +130,7 @@ def repeated_windows(docs: DataFrame, size: int = 20) -> DataFrame:
     return rows.groupBy("doc_id", "text_id").agg(F.collect_list(one).alias("starts"))
 
 
+@aside("doc_id", "text")
 def remove_substrings(docs: DataFrame, size: int = 20) -> DataFrame:
     """docs with n_words, n_removed and kept: the words outside repeated windows, joined by one space.
 

@@ -22,9 +22,23 @@ ALPHA, BETA, L2 = 1.0, 1.0, 0.1
 L1_SPREAD = 1.0
 
 
-def features(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates and rows of the words, word pairs and pairs that skip one word of a block of texts."""
+#: Bytes of the stems of longer words. A stem is a gram of its own: words that share it share what it tells.
+STEMS = (4, 6)
+
+
+def stem_hashes(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the first size bytes of words that are longer."""
+    power = np.cumprod(np.full(size, 0xC2B2AE3D27D4EB4F, np.uint64))
+    return mix((data[starts[:, None] + np.arange(size)] + np.uint64(1)) @ power + np.uint64(size))
+
+
+def features(hashes: np.ndarray, rows: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates and rows of the words, their stems, word pairs and pairs that skip one word of a block of texts."""
     found, at = [hashes], [rows]
+    for size in STEMS:
+        long = np.flatnonzero(ends - starts > size)
+        found.append(stem_hashes(data, starts[long], size))
+        at.append(rows[long])
     for skip, factor in ((1, 0xA0761D6478BD642F), (2, 0xE7037ED1A0B428DB)):
         same = np.flatnonzero(rows[:-skip] == rows[skip:]) if len(rows) > skip else np.zeros(0, np.int64)
         found.append(mix(hashes[same] * np.uint64(factor) + hashes[same + skip]))
@@ -40,7 +54,7 @@ def _blocks(column: pa.Array):
     for first, data, offsets in text_blocks(column):
         data = lower(data)
         starts, ends, rows = words(data, offsets, MARKS)
-        yield first, len(offsets) - 1, *features(word_hashes(data, starts, ends, MARKS), rows)
+        yield first, len(offsets) - 1, *features(word_hashes(data, starts, ends, MARKS), rows, data, starts, ends)
 
 
 def distinct_features(docs: DataFrame, *keep: str) -> DataFrame:
