@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import candidate_name
+from ..functions.scalars import candidate_name, pulse_number
 
 
 def latest_decisions(decisions: DataFrame, key: str = "pulse_key", at: str = "decided_at") -> DataFrame:
@@ -45,3 +45,19 @@ def without_replayed(rows: DataFrame, seen: DataFrame, keys: list[str], times: l
 def first_paths(paths: DataFrame, path: str, order: list[str]) -> DataFrame:
     """Each path once, at its first place."""
     return paths.groupBy(path).agg(F.min(F.struct(*order)).alias("first"))
+
+
+def gallery(figures: DataFrame, files: DataFrame, label: str | None = None, segment: str | None = None) -> DataFrame:
+    """Figures of a label and a segment (all if None) whose file is there, by segment, number and path."""
+    x = figures
+    if label is not None:
+        x = x.filter(F.col("label") == label)
+    if segment is not None:
+        x = x.filter(F.col("segment_id") == segment)
+    return x.join(files.select("path"), "path", "left_semi").orderBy("segment_id", pulse_number(F.element_at(F.split("path", "/"), -1)), "path")
+
+
+def label_list(given: list[str], seen: DataFrame, label: str = "label", unknown: str = "unknown") -> list[str]:
+    """The labels to offer: those given, then unknown, then others that were seen, each once. One per class to the driver."""
+    others = seen.select(label).filter(F.col(label).isNotNull() & ~F.col(label).isin([*given, unknown])).distinct().orderBy(label)
+    return list(dict.fromkeys([*given, unknown, *(r[0] for r in others.collect())]))
