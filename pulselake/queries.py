@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .config import FEATURE_FLOORS, FEATURE_WEIGHTS, FEATURES
 from .functions import scalars as S
 from .operators import frames, intervals, matching, overview, reports, review
+from .streaming import pulses as streams
 
 LABELS = ["click", "error", "purchase", "view"]  # signup is left out on purpose: it counts as unknown
 QUERIES: dict = {}
@@ -567,3 +568,39 @@ def segment_summary(spark, sf):
     t = spark.createDataFrame([("long", 0, 30.0, 100.0, 6.0), ("loud", 1, 40.0, 200.0, 2.0), ("short", 2, 20.0, 60.0, 1.0)], "label string, ord int, duration_ms double, peak_freq_khz double, slope_khz_per_ms double")
     x = matching.best_matches(p.withColumn("pulse_key", F.struct("user_id", "island")), t.withColumn("file", F.col("label")), ("duration_ms", "peak_freq_khz", "slope_khz_per_ms"), min_score=1e-6)
     return reports.segment_summary(x, "user_id", "predicted_label", ["long", "loud", "short"])
+
+
+def _stream(spark, sf):
+    """Events as a file stream, with event time and a watermark."""
+    path = f"{sf}/events.parquet"
+    e = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, as a stream's path is no single file
+    e = e.select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    return streams.with_event_time(e, "ts")
+
+
+@query("SELECT user_id, epoch_us(ts) // 3600000000 * 3600000000 AS window_us, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling(spark, sf):
+    """T1 as a stream: hours."""
+    return streams.completed(streams.windowed_counts(_stream(spark, sf), ["user_id"], "1 hour")).select("user_id", F.unix_micros("window_start").alias("window_us"), "n")
+
+
+@query("SELECT event_type, epoch_us(ts) // 3600000000 * 3600000000 - k * 3600000000 AS window_us, count(*) AS n FROM events, (VALUES (0), (1)) v(k) GROUP BY ALL")
+def stream_sliding(spark, sf):
+    """T2 as a stream: two hours, each hour."""
+    return streams.completed(streams.windowed_counts(_stream(spark, sf), ["event_type"], "2 hours", "1 hour")).select("event_type", F.unix_micros("window_start").alias("window_us"), "n")
+
+
+@query(
+    f"""WITH {_FRAMES}, g AS (SELECT *, CASE WHEN us - lag(us) OVER w > 3600000000 THEN 1 WHEN lag(us) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM f WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id) AS island FROM g) SELECT user_id, min(us)::BIGINT AS first_us, max(us)::BIGINT AS last_us, count(*)::BIGINT AS n FROM i GROUP BY user_id, island"""
+)
+def stream_sessions(spark, sf):
+    """T3 as a stream: sessions of a user's events that lie at most an hour apart."""
+    x = streams.completed(streams.sessions(_stream(spark, sf), ["user_id"], "1 hour"))
+    return x.select("user_id", F.unix_micros("first_time").alias("first_us"), F.unix_micros("last_time").alias("last_us"), "n")
+
+
+@query("SELECT user_id, count(*) AS total_calls, " + ", ".join(f"count(*) FILTER ({_FOLD} = '{x}') AS {x}" for x in [*LABELS, "unknown"]) + " FROM events GROUP BY user_id")
+def stream_totals(spark, sf):
+    """T6 as a stream."""
+    return streams.completed(streams.running_totals(_stream(spark, sf), "user_id", "event_type", LABELS))

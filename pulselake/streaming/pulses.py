@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -114,6 +116,19 @@ def write_batches(stream: DataFrame, table: str, checkpoint: str, config: dict |
     return (out.trigger(availableNow=True) if once else out).start()
 
 
+def completed(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """The result of a stream over all that its source has now, as a table in the shared folder; in "complete" mode that of the last batch."""
+    spark = stream.sparkSession
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4()}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/batch={number}")
+
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
 class Progress(StreamingQueryListener):
     """Rows and speed of each batch, the newest last; batches are kept up to ``keep``."""
 
