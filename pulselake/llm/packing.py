@@ -15,7 +15,7 @@ from .common import aside, checkpoint, table, with_fields
 
 CAPACITY = 2048
 #: Lengths over CAPACITY / SMALL are large; they are rounded up within GROUPS groups of equal cardinality.
-SMALL, GROUPS = 8, 32
+SMALL, GROUPS = 4, 256
 #: Blocks that pieces of one length are dealt to by hash for their numbering.
 BLOCKS = 256
 END = 0
