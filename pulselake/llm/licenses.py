@@ -217,8 +217,13 @@ class Scanner:
         """Words, places of the base phrases, detections (word spans) and labels of a text; a null text is empty."""
         words = WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())  # of bytes: A-Z only
         normal = b" ".join(words)
-        starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-        place = lambda at: bisect_right(starts, at) - 1
+        starts: list[int] = []
+
+        def place(at: int) -> int:
+            if not starts:
+                starts.extend(accumulate((len(w) + 1 for w in words), initial=0))
+            return bisect_right(starts, at) - 1
+
         base = [(place(m.start()), label) for label, pattern in self.base for m in pattern.finditer(normal)]
         spans = [(place(s), place(e - 1) + 1, label, weight) for s, e, label, weight in self.detections(normal)]
         base_labels = {label for _, label in base}
