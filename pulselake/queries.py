@@ -559,11 +559,10 @@ def pulse_numbering(spark, sf):
 )
 def segment_summary(spark, sf):
     """Calls per class and recording: frames, threshold, islands, match and pivot."""
-    i = _islands(spark, sf).withColumn("frame", F.explode(F.sequence("first_frame", "last_frame")))
     level = lambda c: F.round(frames.detection_threshold(c), 9)
-    act = frames.active(_smooth(spark, sf), ["user_id"], "x", level).select("user_id", "frame", "value")
-    p = i.join(act, ["user_id", "frame"]).groupBy("user_id", "island").agg(
-        F.min("first_frame").cast("double").alias("duration_ms"), F.max("value").alias("peak_freq_khz"), (F.max("last_frame") - F.min("first_frame") + 1).cast("double").alias("slope_khz_per_ms")
+    lit = frames.active(_smooth(spark, sf), ["user_id"], "x", level)
+    p = frames.islands(lit, ["user_id"], "frame", F.lit(3)).groupBy("user_id", "island").agg(
+        F.min("frame").cast("double").alias("duration_ms"), F.max("value").alias("peak_freq_khz"), (F.max("frame") - F.min("frame") + 1).cast("double").alias("slope_khz_per_ms")
     )
     t = spark.createDataFrame([("long", 0, 30.0, 100.0, 6.0), ("loud", 1, 40.0, 200.0, 2.0), ("short", 2, 20.0, 60.0, 1.0)], "label string, ord int, duration_ms double, peak_freq_khz double, slope_khz_per_ms double")
     x = matching.best_matches(p.withColumn("pulse_key", F.struct("user_id", "island")), t.withColumn("file", F.col("label")), ("duration_ms", "peak_freq_khz", "slope_khz_per_ms"), min_score=1e-6)
