@@ -50,10 +50,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     g = ngram_groups(docs, size=5, percent=80)
     stay = g.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_d")).distinct()
-    d = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    d = _aside(docs).join(stay, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     empty = F.coalesce(~F.col("text").rlike(r"\S"), F.lit(True))
     once = F.when(empty, F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    d = _aside(d).withColumns({"_once": once, "_hash": F.xxhash64("text")})
+    d = d.withColumns({"_once": once, "_hash": F.xxhash64("text")})
     return _back(d.dropDuplicates(["doc_id", "_hash", "_once"]), docs)
 
 
