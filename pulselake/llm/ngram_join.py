@@ -113,7 +113,7 @@ def _verify(pairs: DataFrame, tokens: DataFrame, seen, percent: int) -> DataFram
                     keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-    # Hubs stand in a: a set is moved once for each of its pairs, and splits of a large key repeat the hub's only.
+    # A set is moved once for each of its pairs; splits of a large key repeat one set only.
     t = pairs.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
     t = t.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
     return t.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
@@ -128,11 +128,12 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     Equal sets are one node from the start, so copies are never paired. Shingles are counted over
     all rows; every order puts those of one document first, then others, then common ones, each by
     another hash. Two linked sets share a prefix token in every order. Prefix tokens of the first
-    order are joined, without those that a single document holds. Up to PAIRWISE sets of a token are
-    paired. More are linked with the token's hub, its smallest set; sets that a hub did not join
-    are compared with another hub, and what then still lies in different components of one token is
-    paired across components. Pairs already in one component need no test. The other orders filter
-    pairs before their whole sets are intersected.
+    order are joined, without those that a single document holds. Pairs that could not link even if
+    they shared all shingles that are not their own alone are left out. Up to PAIRWISE sets of a token
+    are paired. More are linked with the token's hub, the set with the fewest shingles of its own;
+    sets that it did not join are compared with another hub, and what then still lies in different
+    components of one token is paired across components. Pairs already in one component need no
+    test. The other orders filter pairs before their whole sets are intersected.
 
     Null and empty texts have no shingles, link with nothing and are their own component. Rows with
     the same doc_id and text fall together; a null doc_id is ignored as the smallest, unless all
@@ -148,37 +149,43 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
 
     def nodes(batches):
         for b in batches:
-            names, sizes, tokens, done = [], [], [], set()
+            names, sizes, known, tokens, done = [], [], [], [], set()
             for _, t in shingle_sets(b.column(1), size):
                 node = node_of(t) if len(t) else None
                 names.append(node)
                 sizes.append(len(t))
                 if node in done or not len(t):
+                    known.append(0)
                     tokens.append(None)  # a copy: its set's tokens are there
                 else:
                     done.add(node)
                     level = _levels(t, seen.value)
                     first = prefix(t, level, None, percent)
+                    known.append(int((level > 0).sum()))
                     tokens.append(t[first[level[first] > 0]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=schema.names)
 
     from pyspark.sql.types import ArrayType, LongType
 
-    schema = with_fields(docs.select("doc_id").schema, node="binary", n_shingles="long").add("tokens", ArrayType(LongType()))
+    schema = with_fields(docs.select("doc_id").schema, node="binary", n_shingles="long", known="long").add("tokens", ArrayType(LongType()))
     d = checkpoint(docs.mapInArrow(nodes, schema))
-    posts = d.filter("tokens is not null").select(F.explode("tokens").alias("token"), "node", F.col("n_shingles").alias("n")).distinct()
-    counts = posts.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("hub")).filter("c > 1")
+    posts = d.filter("tokens is not null").select(F.explode("tokens").alias("token"), "node", F.col("n_shingles").alias("n"), F.col("known").alias("m")).distinct()
+    # A hub has the fewest shingles of its own, so what links with any set of its token links with it as a rule.
+    counts = posts.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct((F.col("n") - F.col("m")).alias("u"), "node", "n", "m")).alias("h")).filter("c > 1")
     posts = posts.join(counts, "token")
-    few = posts.filter(F.col("c") <= PAIRWISE).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("s"))
-    near = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+    few = posts.filter(F.col("c") <= PAIRWISE).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n", "m"))).alias("s"))
+    # At most the known shingles of either are shared; this alone rules out most pairs.
+    can = lambda n, m, n2, m2: F.least(m, m2) * (100 + percent) >= (n + n2) * percent
+    near = lambda x, y: can(x["n"], x["m"], y["n"], y["m"])
     rest = lambda i: F.slice("s", i + 2, F.size("s"))
     each = F.flatten(F.transform("s", lambda x, i: F.transform(F.filter(rest(i), lambda y: near(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     few = few.select(F.explode(each).alias("p")).select("p.a", "p.b")
-    many = checkpoint(posts.filter(F.col("c") > PAIRWISE).select("token", "node", "n", "hub"))
-    pairs = few.union(many.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct()
-    tested = checkpoint(pairs)
-    # Later pairs are of these nodes too: every set of a large token is paired with its hub here.
-    sets = _token_sets(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct(), docs, size)
+    many = checkpoint(posts.filter(F.col("c") > PAIRWISE).select("token", "node", "n", "m", "h"))
+    pair = [F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")]
+    meet = can(F.col("n"), F.col("m"), F.col("h.n"), F.col("h.m"))
+    tested = checkpoint(few.union(many.filter("node != h.node").filter(meet).select(*pair)).distinct())
+    # Sets of large tokens may meet other sets later on, so theirs are kept too.
+    sets = _token_sets(tested.select(F.col("a").alias("node")).union(tested.select("b")).union(many.select("node")).distinct(), docs, size)
     links = checkpoint(_verify(tested, sets, seen, percent))
 
     def split(roots: DataFrame) -> DataFrame:
@@ -188,20 +195,17 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
         return m.join(bounds, "token")
 
     roots = checkpoint(components(links))
-    for turn in range(0 if many.isEmpty() else 3):
-        m = split(roots)
-        hub_root = m.filter("node = hub").select("token", F.col("root").alias("hub_root"))
-        out = checkpoint(m.join(hub_root, "token"))
+    for turn in range(0 if many.isEmpty() else 2):
+        out = checkpoint(split(roots))
         if out.isEmpty():
             break
-        apart = out.filter("root != hub_root")
-        if turn < 2:  # another hub, among the sets that the first did not join
-            hubs = apart.groupBy("token").agg((F.min if turn else F.max)(F.struct("node", "n", "root")).alias("h"))
-        else:  # all that is left: sets outside the hub's component, with all of other components
-            hubs = apart.select("token", F.struct("node", "n", "root").alias("h"))
-        p = out.join(hubs, "token").filter((F.col("root") != F.col("h.root")) & (F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * percent))
-        p = p.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        p = checkpoint(p)
+        if turn == 0:  # another hub, among the sets that the first did not join
+            first = out.filter(F.col("node") == F.col("h.node")).select("token", F.col("root").alias("hub_root"))
+            apart = out.join(first, "token").filter("root != hub_root").groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("u"), "node", "n", "m", "root")).alias("h"))
+        else:  # all that is left; of two sets that link, one at least has few shingles of its own
+            apart = out.filter(F.col("m") * (100 + percent) >= F.col("n") * (2 * percent)).select("token", F.struct("node", "n", "m", "root").alias("h"))
+        p = out.drop("h").join(apart, "token").filter((F.col("root") != F.col("h.root")) & meet).select(*pair).distinct()
+        p = checkpoint(p.join(tested, ["a", "b"], "left_anti"))
         if p.isEmpty():
             continue
         tested = tested.union(p)
