@@ -15,6 +15,8 @@ BANDS, ROWS = 6, 3
 FILTER_BITS = 21
 #: log2 of the buckets by which bands that many lines share are noticed.
 BUCKET_BITS = 16
+#: Longs of a sketch: each shingle of a line sets one of 64 * SKETCH bits.
+SKETCH = 8
 
 
 def shingles(line: Column) -> Column:
@@ -40,10 +42,42 @@ def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _with_hubs(each: DataFrame) -> DataFrame:
-    """(a, b): the hub of each band with each other line of the band. The hub is the line whose key, crossed with the band, is the smallest."""
+    """(band, a, b): the hub of each band with each other line of the band. The hub is the line whose key, crossed with the band, is the smallest."""
     crossed = F.col("kl").bitwiseXOR(F.col("band"))
     hubs = each.groupBy("band").agg(F.min(crossed).alias("lo"), F.max(crossed).alias("hi")).filter("lo < hi").select("band", F.col("lo").bitwiseXOR(F.col("band")).alias("a"))
-    return each.select("band", "kl").join(hubs, "band").filter("kl != a").select("a", F.col("kl").alias("b"))
+    return each.select("band", "kl").join(hubs, "band").filter("kl != a").select("band", "a", F.col("kl").alias("b"))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least percent / 100."""
+    x = pairs.select("a", "b").join(texts.select(F.col("kl").alias("b"), F.col("line").alias("lb")), "b").join(texts.select(F.col("kl").alias("a"), F.col("line").alias("la")), "a")
+    sets = F.struct(F.array_distinct(shingles(F.col("la"))).alias("a"), F.array_distinct(shingles(F.col("lb"))).alias("b"))
+    x = x.select("a", "b", F.explode(F.array(sets)).alias("s"))  # so that sets are made once, not for each use
+    return x.filter((100 + percent) * F.size(F.array_intersect("s.a", "s.b")) >= percent * (F.size("s.a") + F.size("s.b"))).select("a", "b")
+
+
+def _apart(lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lines (band, kl, ...) of bands whose lines lie in several components, with their root."""
+    x = lines.join(roots.select(F.col("node").alias("kl"), "root"), "kl", "left").withColumn("root", F.coalesce("root", "kl"))
+    bounds = x.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    return x.join(bounds, "band", "left_semi")
+
+
+def _known(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """(kl, n, m, k) for each of lines: its number of shingles, of those that another of lines has too, and a sketch of them."""
+    x = texts.join(lines.select("kl").distinct(), "kl", "left_semi").select("kl", F.explode(F.array_distinct(shingles(F.col("line")))).alias("s")).select("kl", F.xxhash64("s").alias("h"))
+    own = x.groupBy("h").agg(F.min("kl").alias("kl"), F.max("kl").alias("hi")).filter("kl = hi").groupBy("kl").agg(F.count("*").alias("own"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    longs = [F.bit_or(F.when(F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH - 1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{i}") for i in range(SKETCH)]
+    n = x.groupBy("kl").agg(F.count("*").alias("n"), *longs)
+    return n.join(own, "kl", "left").select("kl", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"), F.struct(*(f"k{i}" for i in range(SKETCH))).alias("k"))
+
+
+def _can_link(percent: int) -> Column:
+    """False only for lines whose similarity is less: what they share is at most what is known of either, and what they do not share is at least the differing bits of their sketches."""
+    n = F.col("n") + F.col("h.n")
+    differ = sum((F.bit_count(F.col(f"k.k{i}").bitwiseXOR(F.col(f"h.k.k{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("k.k0").bitwiseXOR(F.col("h.k.k0"))))
+    return (F.least("m", "h.m") * (100 + percent) >= n * percent) & (differ * (100 + percent) <= n * (100 - percent))
 
 
 def line_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -51,10 +85,14 @@ def line_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame
 
     One aggregation makes each line's minima of BANDS * ROWS hash functions over its shingles, and
     joins equal lines, since equal lines have equal minima; its map side leaves one row for each
-    distinct line and task. Lines of a band are tested against the band's hub: the line whose key,
-    crossed with the band, is the smallest, so hubs differ from band to band, a group of k near copies
-    makes k candidates a band, not k * k, and no band's lines are ever gathered. Candidates are
-    verified by the exact Jaccard similarity of their sets of shingles.
+    distinct line and task. Lines of a band are tested against the band's hub first: the line whose
+    key, crossed with the band, is the smallest, so hubs differ from band to band and a group of k near
+    copies makes k candidates a band. Bands whose other lines then lie in several components get a
+    second hub, the line with the fewest shingles of its own, and what is still apart is tested pair by
+    pair across components, but for pairs that could not link even if they shared all shingles that are
+    not their own alone, or whose sketches differ by too many bits. So lines of a band that link are never left in two components, and no band's
+    lines are ever gathered. Candidates are verified by the exact Jaccard similarity of their sets of
+    shingles. links are those that components need.
     """
     lines = _lines(docs)
     each = lines.select("kl", "kr", F.posexplode(shingles(F.col("line"))).alias("i", "s")).select("kl", "kr", "i", F.xxhash64("s").alias("h"))
@@ -71,14 +109,31 @@ def line_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame
     each = each.withColumn("_lead", lead)
     large = F.broadcast(checkpoint(large))  # under 2 ** BUCKET_BITS / 8 numbers
     pairs = _with_hubs(each.join(large, "_lead", "left_anti").repartition("band")).union(_with_hubs(each.join(large, "_lead", "left_semi")))
-    pairs = checkpoint(pairs.distinct())
-    ends = pairs.select(F.col("a").alias("kl")).union(pairs.select("b")).distinct()
-    sets = _among(lines.select("kl", "line"), ends).join(ends, "kl", "left_semi").dropDuplicates(["kl"]).select("kl", F.array_distinct(shingles(F.col("line"))).alias("s"))
-    sets = checkpoint(sets)
-    x = pairs.join(sets.select(F.col("kl").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("kl").alias("a"), F.col("s").alias("sa")), "a")
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = x.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    return keys.select("kl", "kr", "n"), links
+    pairs = checkpoint(pairs)
+    tested = checkpoint(pairs.select("a", "b").distinct())
+    ends = tested.select(F.col("a").alias("kl")).union(tested.select("b")).distinct()
+    texts = checkpoint(_among(lines.select("kl", "line"), ends).join(ends, "kl", "left_semi").dropDuplicates(["kl"]))
+    roots = checkpoint(components(checkpoint(_linked(tested, texts, percent))))
+    left = checkpoint(_apart(pairs.select("band", F.col("b").alias("kl")), roots).drop("root"))  # hubs met all lines of their bands
+    if not left.isEmpty():
+        left = checkpoint(left.join(_known(left, texts), "kl"))
+    for turn in range(2):
+        out = checkpoint(_apart(left, roots))
+        if out.isEmpty():
+            break
+        if turn == 0:
+            other = out.groupBy("band").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "kl", "n", "m", "k", "root")).alias("h"))
+        else:  # of two lines that link, the one with fewer shingles has few of its own
+            other = out.filter(F.col("m") * (100 + percent) >= F.col("n") * (2 * percent)).select("band", F.struct("kl", "n", "m", "k", "root").alias("h"))
+        more = out.join(other, "band").filter((F.col("root") != F.col("h.root")) & _can_link(percent)).select(F.least("kl", "h.kl").alias("a"), F.greatest("kl", "h.kl").alias("b")).distinct()
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = checkpoint(more.join(done, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        tested = tested.union(more)
+        stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = checkpoint(components(stars.union(_linked(more, texts, percent))))
+    return keys.select("kl", "kr", "n"), roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 @aside("doc_id", "text")
@@ -94,7 +149,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_removed")
     keys, links = line_links(docs, percent)
-    roots = components(checkpoint(links))
+    roots = components(links)
     keys = keys.join(roots.select(F.col("node").alias("kl"), "root"), "kl", "left").filter("n > 1 or root is not null")
     keys = checkpoint(keys.select("kl", "kr", F.coalesce("root", "kl").alias("g"), F.when(F.col("root").isNull(), F.col("kr")).otherwise(0).alias("g2")))
     found = _among(_lines(docs).select("doc_id", "text_id", "pos", "kl", "kr"), keys).join(keys, ["kl", "kr"]).select("g", "g2", F.struct("doc_id", "text_id", "pos").alias("at"))

@@ -147,6 +147,30 @@ def test_line_dedup_of_documents(spark):
     assert lines.dedup_lines(d.limit(0)).count() == 0
 
 
+def test_line_dedup_of_copies_of_one_line(spark):
+    """300 lines with 3 of 60 words changed: each resembles the base, hardly two each other."""
+    import random
+
+    r = random.Random(3)
+    base = [f"{r.randrange(10**6):06d}" for _ in range(60)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        w = list(base)
+        for k in r.sample(range(60), 3):
+            w[k] = f"{r.randrange(10**6):06d}"
+        rows.append((i, " ".join(w)))
+    sets = [line_sets(x) for _, x in rows]
+    u = Union()
+    for n, a in enumerate(sets):
+        for m, b in enumerate(sets[:n]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                u.join(m, n)
+    brute = len({u.find(n) for n in range(300)})
+    left = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed = 0").count()
+    # Lines of similarity 0.8 share no band with probability 0.014.
+    assert brute <= left <= brute + 15
+
+
 def test_hashes_in_queries(spark, sf):
     got = {r.doc_id: r for r in substrings.op9_substrings(spark, sf).collect()}
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
