@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import aside, checkpoint, components, table
 
-#: Characters of a shingle. Shingles begin at the first characters of words.
+#: Characters of a shingle. Shingles begin at the first characters of words, and at each character that so many without white space follow from.
 SHINGLE = 8
 #: Bands of a signature, and minima in each. Lines of similarity 0.8 share a band with probability 0.986, of 0.9 with 0.9996.
 BANDS, ROWS = 6, 3
@@ -20,8 +20,11 @@ SKETCH = 8
 
 
 def shingles(line: Column) -> Column:
-    """The shingles of a line: up to SHINGLE characters from the start of each word on, over word ends."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\S)(?=(\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
+    """The shingles of a line: up to SHINGLE characters from the start of each word on, over word ends, and all within longer words.
+
+    So each character of a word is in a shingle, however long the word is.
+    """
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?:(?<!\S)|(?=\S{{{SHINGLE}}}))(?=(\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
 
 
 def _lines(docs: DataFrame) -> DataFrame:

@@ -171,6 +171,15 @@ def test_line_dedup_of_copies_of_one_line(spark):
     assert brute <= left <= brute + 15
 
 
+def test_line_dedup_reads_long_words_to_the_end(spark):
+    """Lines without white space that share their first 8 characters stay; near copies of such lines go."""
+    rows = [(1, "https://a.org/x"), (2, "https://b.com/y"), (3, "统一资源定位符表示一个地址"), (4, "统一资源定位符表不同的东西在这里"), (5, "x" * 8), (6, "x" * 8 + "abc")]
+    long = hashlib.sha512(b"a").hexdigest()
+    rows += [(7, long), (8, long[:-1] + "z"), (9, long[:8] + hashlib.sha512(b"b").hexdigest())]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i == 8) for i in range(1, 10)}
+
+
 def test_hashes_in_queries(spark, sf):
     got = {r.doc_id: r for r in substrings.op9_substrings(spark, sf).collect()}
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
