@@ -50,7 +50,7 @@ def measure_text(text: str) -> tuple[int, ...]:
                 repeated += i + 5 - max(i, end)
                 end = i + 5
     capitals = len(data) - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    shouts = sum(map(bytes.isupper, words)) if capitals * 4 > len(data) else 0
+    shouts = sum(map(bytes.isupper, words)) if capitals else 0
     return n, word_chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), capitals, shouts
 
 

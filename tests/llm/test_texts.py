@@ -111,6 +111,13 @@ def test_quality_measures(spark):
     assert quality.measure(d.limit(0)).count() == 0
 
 
+def test_shouts_in_mixed_texts():
+    """Shouted words count however few of the text's bytes are capitals."""
+    for text in ("BUY NOW " * 2 + "extraordinarily uncharacteristically incomprehensible", "ÉTÉ OK " + "\U0001f600" * 40, "one SHOUT in a long quiet text", "Quiet Text", "no capitals", "A1 B2 c3", "ALL LOUD"):
+        assert quality.measure_text(text)[7] == sum(w.encode().isupper() for w in C.words(text))
+    assert quality.measure_text("BUY NOW " * 2 + "extraordinarily uncharacteristically incomprehensible")[7] == 4
+
+
 def test_binomial_bound():
     from math import comb
 
