@@ -7,24 +7,56 @@ from pyspark.sql import functions as F
 
 from .common import aside, checkpoint, components, table
 
-#: Characters of a shingle. Shingles begin at the first characters of words, and at each character that so many without white space follow from.
-SHINGLE = 8
-#: Bands of a signature, and minima in each. Lines of similarity 0.8 share a band with probability 0.986, of 0.9 with 0.9996.
-BANDS, ROWS = 6, 3
+#: Characters of a shingle; a line has one at every place, and a shorter line is one shingle.
+SHINGLE = 6
+#: Minima of a signature, and bands of ROWS minima each. Lines of similarity 0.8 share a band with probability 0.97, of 0.85 with 0.99.
+MINIMA, BANDS, ROWS = 21, 12, 5
+#: Band b takes the minima b + d modulo MINIMA. Any two bands share one minimum: all differences of these numbers differ.
+DIFFERENCES = (0, 1, 4, 14, 16)
+#: Places of a line that one row stands for while its minima are taken.
+BLOCK = 4
 #: log2 of the most values that a broadcast filter of keys can have.
 FILTER_BITS = 21
 #: log2 of the buckets by which bands that many lines share are noticed.
 BUCKET_BITS = 16
-#: Longs of a sketch: each shingle of a line sets one of 64 * SKETCH bits.
+#: Longs of a sketch: each distinct shingle of a line turns one of 64 * SKETCH bits over.
 SKETCH = 8
+#: Each turn has so many times the hubs of the turn before.
+MORE_HUBS = 8
 
 
 def shingles(line: Column) -> Column:
-    """The shingles of a line: up to SHINGLE characters from the start of each word on, over word ends, and all within longer words.
+    """The shingles of a line: SHINGLE characters from every place on, or the whole of a shorter line."""
+    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every)
 
-    So each character of a word is in a shingle, however long the word is.
+
+def _places(lines: DataFrame, keep: list[str], step: int) -> DataFrame:
+    """keep, and for every step-th place of each line: p, where its shingle begins in the bytes b (four for each character), and last, where the last one begins."""
+    last = F.greatest(F.lit(1), F.length("b") - 4 * (SHINGLE - 1))
+    x = lines.select(*keep, F.encode("line", "UTF-32").alias("b")).withColumn("last", last)
+    return x.select(*keep, "b", "last", F.explode(F.sequence(F.lit(1), "last", F.lit(4 * step))).alias("p"))
+
+
+def _shingle(place: Column) -> Column:
+    return F.substring(F.col("b"), place, F.lit(4 * SHINGLE))
+
+
+def _signed(lines: DataFrame) -> DataFrame:
+    """(kl, kr, n, bands) for each distinct line: its number of occurrences, and a key for each band of its minima.
+
+    A shingle's hash crossed with MINIMA constants orders shingles in so many ways; the least under
+    each is taken over every place of the line, BLOCK places a row.
     """
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?:(?<!\S)|(?=\S{{{SHINGLE}}}))(?=(\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
+    first = _shingle(F.col("p"))
+    each = _places(lines, ["kl", "kr"], BLOCK)
+    hashes = [F.hash(first)] + [F.hash(F.when(F.col("p") + 4 * i <= F.col("last"), _shingle(F.col("p") + 4 * i)).otherwise(first)) for i in range(1, BLOCK)]
+    each = each.select("kl", "kr", "p", *(h.alias(f"h{i}") for i, h in enumerate(hashes)))
+    order = [(k * 0x9E3779B9 + 0x7F4A7C15) % 2**32 - 2**31 for k in range(MINIMA)]
+    minima = [F.min(F.least(*(F.col(f"h{i}").bitwiseXOR(F.lit(c)) for i in range(BLOCK)))).alias(f"m{k}") for k, c in enumerate(order)]
+    signed = each.groupBy("kl", "kr").agg(F.sum(F.when(F.col("p") == 1, 1).otherwise(0)).alias("n"), *minima)
+    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{(b + d) % MINIMA}") for d in DIFFERENCES)) for b in range(BANDS)))
+    return signed.select("kl", "kr", "n", bands.alias("bands"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -44,11 +76,10 @@ def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.withColumn("_lead", lead).join(F.broadcast(few), "_lead", "left_semi").drop("_lead")
 
 
-def _with_hubs(each: DataFrame) -> DataFrame:
-    """(band, a, b): the hub of each band with each other line of the band. The hub is the line whose key, crossed with the band, is the smallest."""
-    crossed = F.col("kl").bitwiseXOR(F.col("band"))
-    hubs = each.groupBy("band").agg(F.min(crossed).alias("lo"), F.max(crossed).alias("hi")).filter("lo < hi").select("band", F.col("lo").bitwiseXOR(F.col("band")).alias("a"))
-    return each.select("band", "kl").join(hubs, "band").filter("kl != a").select("band", "a", F.col("kl").alias("b"))
+def _shared(each: DataFrame) -> DataFrame:
+    """The rows (band, kl) of bands with several lines, and each band's first line as hub."""
+    ends = each.groupBy("band").agg(F.min("kl").alias("hub"), F.max("kl").alias("hi")).filter("hub < hi").select("band", "hub")
+    return each.select("band", "kl").join(ends, "band")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -60,49 +91,43 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart(lines: DataFrame, roots: DataFrame) -> DataFrame:
-    """The lines (band, kl, ...) of bands whose lines lie in several components, with their root."""
+    """The lines (band, kl, ...) of bands whose lines lie in several components, with their root and the band's number of lines c."""
     x = lines.join(roots.select(F.col("node").alias("kl"), "root"), "kl", "left").withColumn("root", F.coalesce("root", "kl"))
-    bounds = x.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    return x.join(bounds, "band", "left_semi")
+    bounds = x.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("band", "c")
+    return x.join(bounds, "band")
 
 
-def _known(lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """(kl, n, m, k) for each of lines: its number of shingles, of those that another of lines has too, and a sketch of them."""
-    x = texts.join(lines.select("kl").distinct(), "kl", "left_semi").select("kl", F.explode(F.array_distinct(shingles(F.col("line")))).alias("s")).select("kl", F.xxhash64("s").alias("h"))
-    own = x.groupBy("h").agg(F.min("kl").alias("kl"), F.max("kl").alias("hi")).filter("kl = hi").groupBy("kl").agg(F.count("*").alias("own"))
+def _sketched(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """(kl, n, k) for each of lines: its number of distinct shingles, and the parity sketch of these."""
+    x = texts.join(lines.select("kl").distinct(), "kl", "left_semi").repartition("kl")
+    x = _places(x, ["kl"], 1).select("kl", F.xxhash64(_shingle(F.col("p"))).alias("h")).distinct()
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    longs = [F.bit_or(F.when(F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH - 1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{i}") for i in range(SKETCH)]
-    n = x.groupBy("kl").agg(F.count("*").alias("n"), *longs)
-    return n.join(own, "kl", "left").select("kl", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"), F.struct(*(f"k{i}" for i in range(SKETCH))).alias("k"))
+    longs = [F.bit_xor(F.when(F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH - 1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{i}") for i in range(SKETCH)]
+    return x.groupBy("kl").agg(F.count("*").alias("n"), *longs).select("kl", "n", F.struct(*(f"k{i}" for i in range(SKETCH))).alias("k"))
 
 
 def _can_link(percent: int) -> Column:
-    """False only for lines whose similarity is less: what they share is at most what is known of either, and what they do not share is at least the differing bits of their sketches."""
+    """False only for lines whose similarity is less: they differ in at least as many shingles as bits of their sketches differ."""
     n = F.col("n") + F.col("h.n")
     differ = sum((F.bit_count(F.col(f"k.k{i}").bitwiseXOR(F.col(f"h.k.k{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("k.k0").bitwiseXOR(F.col("h.k.k0"))))
-    return (F.least("m", "h.m") * (100 + percent) >= n * percent) & (differ * (100 + percent) <= n * (100 - percent))
+    return F.greatest(differ, F.abs(F.col("n") - F.col("h.n"))) * (100 + percent) <= n * (100 - percent)
 
 
 def line_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(keys, links): (kl, kr, n) for each distinct line with its number of occurrences, and (a, b): kl of similar lines.
 
-    One aggregation makes each line's minima of BANDS * ROWS hash functions over its shingles, and
-    joins equal lines, since equal lines have equal minima; its map side leaves one row for each
-    distinct line and task. Lines of a band are tested against the band's hub first: the line whose
-    key, crossed with the band, is the smallest, so hubs differ from band to band and a group of k near
-    copies makes k candidates a band. Bands whose other lines then lie in several components get a
-    second hub, the line with the fewest shingles of its own, and what is still apart is tested pair by
-    pair across components, but for pairs that could not link even if they shared all shingles that are
-    not their own alone, or whose sketches differ by too many bits. So lines of a band that link are never left in two components, and no band's
-    lines are ever gathered. Candidates are verified by the exact Jaccard similarity of their sets of
-    shingles. links are those that components need.
+    One aggregation makes each line's minima over its shingles, and joins equal lines, since equal
+    lines have equal minima; its map side leaves one row for each distinct line and task. Lines of a
+    band are tested against its first line, which in a group of near copies is the same for most
+    bands, so such a group makes few pairs. While lines of a band lie in different components, more
+    of its lines become hubs that the others are tested against, MORE_HUBS times as many each turn,
+    until all its lines are hubs. So lines of a band that link are never left in two components, and
+    large groups shrink by few hubs before many are taken; pairs within a component need no test, nor
+    do pairs whose sketches differ in too many bits. Candidates are verified by the exact Jaccard
+    similarity of their sets of shingles. links are those that components need.
     """
     lines = _lines(docs)
-    each = lines.select("kl", "kr", F.posexplode(shingles(F.col("line"))).alias("i", "s")).select("kl", "kr", "i", F.xxhash64("s").alias("h"))
-    minima = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(BANDS * ROWS)]
-    signed = each.groupBy("kl", "kr").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"), *minima)
-    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
-    keys = checkpoint(signed.select("kl", "kr", "n", bands.alias("bands")))
+    keys = checkpoint(_signed(lines))
     each = keys.select("kl", F.explode("bands").alias("band"))
     # Bands are dealt once where no bucket of bands is large; the rows of large buckets are summed
     # before they are dealt, and Spark splits their join.
@@ -111,26 +136,26 @@ def line_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame
     large = each.groupBy(lead.alias("_lead")).agg(F.count("*").alias("n")).filter(F.col("n") > 8 * mean + 1000).select("_lead")
     each = each.withColumn("_lead", lead)
     large = F.broadcast(checkpoint(large))  # under 2 ** BUCKET_BITS / 8 numbers
-    pairs = _with_hubs(each.join(large, "_lead", "left_anti").repartition("band")).union(_with_hubs(each.join(large, "_lead", "left_semi")))
-    pairs = checkpoint(pairs)
-    tested = checkpoint(pairs.select("a", "b").distinct())
-    ends = tested.select(F.col("a").alias("kl")).union(tested.select("b")).distinct()
+    members = _shared(each.join(large, "_lead", "left_anti").repartition("band")).union(_shared(each.join(large, "_lead", "left_semi")))
+    members = checkpoint(members)
+    tested = checkpoint(members.filter("kl != hub").select(F.col("hub").alias("a"), F.col("kl").alias("b")).distinct())
+    ends = members.select("kl").distinct()
     texts = checkpoint(_among(lines.select("kl", "line"), ends).join(ends, "kl", "left_semi").dropDuplicates(["kl"]))
     roots = checkpoint(components(checkpoint(_linked(tested, texts, percent))))
-    left = checkpoint(_apart(pairs.select("band", F.col("b").alias("kl")), roots).drop("root"))  # hubs met all lines of their bands
+    left = checkpoint(_apart(members.filter("kl != hub").select("band", "kl"), roots).drop("root", "c"))  # hubs met all lines of their bands
     if not left.isEmpty():
-        left = checkpoint(left.join(_known(left, texts), "kl"))
-    for turn in range(2):
+        left = checkpoint(left.join(_sketched(left, texts), "kl"))
+    hubs, most = MORE_HUBS, 2
+    while hubs // MORE_HUBS < most:
         out = checkpoint(_apart(left, roots))
-        if out.isEmpty():
+        most = out.agg(F.max("c")).first()[0] or 0
+        if not most:
             break
-        if turn == 0:
-            other = out.groupBy("band").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "kl", "n", "m", "k", "root")).alias("h"))
-        else:  # of two lines that link, the one with fewer shingles has few of its own
-            other = out.filter(F.col("m") * (100 + percent) >= F.col("n") * (2 * percent)).select("band", F.struct("kl", "n", "m", "k", "root").alias("h"))
+        chosen = F.pmod(F.xxhash64("kl", "band"), F.lit(1 << 20)) * F.col("c") < hubs << 20
+        other = out.filter(chosen).select("band", F.struct("kl", "n", "k", "root").alias("h"))
         more = out.join(other, "band").filter((F.col("root") != F.col("h.root")) & _can_link(percent)).select(F.least("kl", "h.kl").alias("a"), F.greatest("kl", "h.kl").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = checkpoint(more.join(done, ["a", "b"], "left_anti"))
+        hubs *= MORE_HUBS
+        more = checkpoint(more.join(tested, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         tested = tested.union(more)
