@@ -72,6 +72,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of links, keys and the like that a task is worth.
+TASK_ROWS = 1 << 17
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as so many narrow rows need, if it has more.
+
+    Small rounds would else leave a file for each of the session's partitions in every shuffle.
+    """
+    return df.coalesce(max(2, -(-rows // TASK_ROWS)))
+
+
 def _stars(e: DataFrame) -> bool:
     """Whether the links (u, v) are stars: no node has two links up, none has links up and down. One aggregation, one number to the driver."""
     ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
@@ -88,13 +100,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     e = checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
+    n = 2 * e.count()
+    e = sized(e, n)
     while not _stars(e):
         # Large star: every larger neighbour of u is linked to the smallest of u and its neighbours.
         near = both(e)
         low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = near.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = sized(near.join(sized(low, n), "u"), n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = sized(large, n)
         # Small star: u and its smaller neighbours are linked to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = checkpoint(small.filter("u > v").distinct())
+        small = large.join(sized(low, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        e = checkpoint(sized(sized(small.filter("u > v"), n).distinct(), n))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import aside, checkpoint, components, table
+from .common import aside, checkpoint, components, sized, table
 
 #: Characters of a shingle; a line has one at every place, and a shorter line is one shingle.
 SHINGLE = 6
@@ -19,8 +22,8 @@ BLOCK = 4
 FILTER_BITS = 21
 #: log2 of the buckets by which bands that many lines share are noticed.
 BUCKET_BITS = 16
-#: Longs of a sketch: each distinct shingle of a line turns one of 64 * SKETCH bits over.
-SKETCH = 8
+#: Longs of a sketch: each shingle of a line sets one of 64 * SKETCH bits.
+SKETCH = 16
 #: Each turn has so many times the hubs of the turn before.
 MORE_HUBS = 8
 
@@ -31,15 +34,15 @@ def shingles(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every)
 
 
-def _places(lines: DataFrame, keep: list[str], step: int) -> DataFrame:
-    """keep, and for every step-th place of each line: p, where its shingle begins in the bytes b (four for each character), and last, where the last one begins."""
-    last = F.greatest(F.lit(1), F.length("b") - 4 * (SHINGLE - 1))
-    x = lines.select(*keep, F.encode("line", "UTF-32").alias("b")).withColumn("last", last)
-    return x.select(*keep, "b", "last", F.explode(F.sequence(F.lit(1), "last", F.lit(4 * step))).alias("p"))
-
+def _places(lines: DataFrame, keep: list[str], step: int, code: str, width: int) -> tuple[DataFrame, Callable[[int], Column]]:
+    """For every step-th place of each line: keep, whether it is the first, and what gives the shingle at the i-th place from there (or the last one).
 
-def _shingle(place: Column) -> Column:
-    return F.substring(F.col("b"), place, F.lit(4 * SHINGLE))
+    Shingles are cut from the bytes of the line in a code of so many bytes a character, where any place is reached at once.
+    """
+    last = F.greatest(F.lit(1), F.length("_b") - width * SHINGLE + 1)
+    x = lines.select(*keep, F.encode("line", code).alias("_b")).withColumn("_last", last)
+    x = x.select(*keep, "_b", "_last", F.explode(F.sequence(F.lit(1), "_last", F.lit(width * step))).alias("_p"))
+    return x.withColumn("first", F.col("_p") == 1), lambda i: F.substring(F.col("_b"), F.least(F.col("_p") + width * i, F.col("_last")), F.lit(width * SHINGLE))
 
 
 def _signed(lines: DataFrame) -> DataFrame:
@@ -48,13 +51,11 @@ def _signed(lines: DataFrame) -> DataFrame:
     A shingle's hash crossed with MINIMA constants orders shingles in so many ways; the least under
     each is taken over every place of the line, BLOCK places a row.
     """
-    first = _shingle(F.col("p"))
-    each = _places(lines, ["kl", "kr"], BLOCK)
-    hashes = [F.hash(first)] + [F.hash(F.when(F.col("p") + 4 * i <= F.col("last"), _shingle(F.col("p") + 4 * i)).otherwise(first)) for i in range(1, BLOCK)]
-    each = each.select("kl", "kr", "p", *(h.alias(f"h{i}") for i, h in enumerate(hashes)))
+    each, shingle = _places(lines, ["kl", "kr"], BLOCK, "UTF-16BE", 2)
+    each = each.select("kl", "kr", "first", *(F.hash(shingle(i)).alias(f"h{i}") for i in range(BLOCK)))
     order = [(k * 0x9E3779B9 + 0x7F4A7C15) % 2**32 - 2**31 for k in range(MINIMA)]
     minima = [F.min(F.least(*(F.col(f"h{i}").bitwiseXOR(F.lit(c)) for i in range(BLOCK)))).alias(f"m{k}") for k, c in enumerate(order)]
-    signed = each.groupBy("kl", "kr").agg(F.sum(F.when(F.col("p") == 1, 1).otherwise(0)).alias("n"), *minima)
+    signed = each.groupBy("kl", "kr").agg(F.sum(F.when(F.col("first"), 1).otherwise(0)).alias("n"), *minima)
     bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{(b + d) % MINIMA}") for d in DIFFERENCES)) for b in range(BANDS)))
     return signed.select("kl", "kr", "n", bands.alias("bands"))
 
@@ -82,12 +83,14 @@ def _shared(each: DataFrame) -> DataFrame:
     return each.select("band", "kl").join(ends, "band")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least percent / 100."""
-    x = pairs.select("a", "b").join(texts.select(F.col("kl").alias("b"), F.col("line").alias("lb")), "b").join(texts.select(F.col("kl").alias("a"), F.col("line").alias("la")), "a")
-    sets = F.struct(F.array_distinct(shingles(F.col("la"))).alias("a"), F.array_distinct(shingles(F.col("lb"))).alias("b"))
-    x = x.select("a", "b", F.explode(F.array(sets)).alias("s"))  # so that sets are made once, not for each use
-    return x.filter((100 + percent) * F.size(F.array_intersect("s.a", "s.b")) >= percent * (F.size("s.a") + F.size("s.b"))).select("a", "b")
+def _linked(pairs: DataFrame, texts: DataFrame, percent: int, rows: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least percent / 100. rows: how many texts there are."""
+    of = texts.select(F.col("kl").alias("a"), F.col("line").alias("la")).join(pairs.select("a").distinct(), "a", "left_semi").repartition("a")
+    x = sized(pairs.select("a", "b").join(texts.select(F.col("kl").alias("b"), F.col("line").alias("lb")), "b"), rows)
+    # The set of a is made once for all its pairs, where the pairs meet it: texts are dealt, not sets.
+    x = x.join(of.select("a", F.array_distinct(shingles(F.col("la"))).alias("sa")), "a")
+    x = x.select("a", "b", F.explode(F.array(F.struct("sa", F.array_distinct(shingles(F.col("lb"))).alias("sb")))).alias("s"))  # so that sets are made once, not for each use
+    return x.filter((100 + percent) * F.size(F.array_intersect("s.sa", "s.sb")) >= percent * (F.size("s.sa") + F.size("s.sb"))).select("a", "b")
 
 
 def _apart(lines: DataFrame, roots: DataFrame) -> DataFrame:
@@ -97,20 +100,41 @@ def _apart(lines: DataFrame, roots: DataFrame) -> DataFrame:
     return x.join(bounds, "band")
 
 
-def _sketched(lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """(kl, n, k) for each of lines: its number of distinct shingles, and the parity sketch of these."""
-    x = texts.join(lines.select("kl").distinct(), "kl", "left_semi").repartition("kl")
-    x = _places(x, ["kl"], 1).select("kl", F.xxhash64(_shingle(F.col("p"))).alias("h")).distinct()
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    longs = [F.bit_xor(F.when(F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH - 1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{i}") for i in range(SKETCH)]
-    return x.groupBy("kl").agg(F.count("*").alias("n"), *longs).select("kl", "n", F.struct(*(f"k{i}" for i in range(SKETCH))).alias("k"))
+def _sketched(texts: DataFrame) -> DataFrame:
+    """(kl, n, k) for each of texts: its number of places, and a sketch in which each shingle sets one of 64 * SKETCH bits."""
+    x, shingle = _places(texts, ["kl"], BLOCK, "UTF-32", 4)
+    x = x.select("kl", F.when(F.col("first"), F.col("_last")).otherwise(0).alias("n"), *(F.hash(shingle(i)).alias(f"h{i}") for i in range(BLOCK)))
+    x = x.select("kl", "n", *(_slot(f"h{i}").alias(f"w{i}") for i in range(BLOCK)), *(_bit(f"h{i}").alias(f"b{i}") for i in range(BLOCK)))
+    word = lambda j: reduce(Column.bitwiseOR, (F.when(F.col(f"w{i}") == j, F.col(f"b{i}")).otherwise(F.lit(0).cast("long")) for i in range(BLOCK)))
+    x = x.groupBy("kl").agg(((F.sum("n") + 3) / 4).cast("long").alias("n"), *(F.bit_or(word(j)).alias(f"k{j}") for j in range(SKETCH)))
+    return x.select("kl", "n", F.struct(*(f"k{j}" for j in range(SKETCH))).alias("k"))
+
+
+def _parity(texts: DataFrame) -> DataFrame:
+    """(kl, n, k) for each of texts: its number of distinct shingles, and a sketch in which each of these turns a bit over. Closer than _sketched, and dearer."""
+    x, shingle = _places(texts.repartition("kl"), ["kl"], 1, "UTF-32", 4)
+    x = x.select("kl", F.xxhash64(shingle(0)).alias("h")).distinct().select("kl", _slot("h").alias("w"), _bit("h").alias("b"))
+    longs = [F.bit_xor(F.when(F.col("w") == j, F.col("b")).otherwise(F.lit(0).cast("long"))).alias(f"k{j}") for j in range(SKETCH)]
+    return x.groupBy("kl").agg(F.count("*").alias("n"), *longs).select("kl", "n", F.struct(*(f"k{j}" for j in range(SKETCH))).alias("k"))
+
+
+def _slot(h: str) -> Column:
+    return F.shiftright(h, 6).bitwiseAND(F.lit(SKETCH - 1))
+
+
+def _bit(h: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast({h} & 63 as int))")
 
 
 def _can_link(percent: int) -> Column:
-    """False only for lines whose similarity is less: they differ in at least as many shingles as bits of their sketches differ."""
+    """False only for lines whose similarity is less: they differ in at least as many shingles as bits of their sketches (of either kind) differ, and have at most n shingles each."""
     n = F.col("n") + F.col("h.n")
-    differ = sum((F.bit_count(F.col(f"k.k{i}").bitwiseXOR(F.col(f"h.k.k{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("k.k0").bitwiseXOR(F.col("h.k.k0"))))
-    return F.greatest(differ, F.abs(F.col("n") - F.col("h.n"))) * (100 + percent) <= n * (100 - percent)
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"k.k{i}").bitwiseXOR(F.col(f"h.k.k{i}"))) for i in range(SKETCH)))
+    return differ * (100 + percent) <= n * (100 - percent)
+
+
+def _pair() -> list[Column]:
+    return [F.least("kl", "h.kl").alias("a"), F.greatest("kl", "h.kl").alias("b")]
 
 
 def line_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -133,34 +157,42 @@ def line_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame
     # before they are dealt, and Spark splits their join.
     lead = F.shiftrightunsigned("band", 64 - BUCKET_BITS)
     mean = keys.count() * BANDS / 2**BUCKET_BITS
-    large = each.groupBy(lead.alias("_lead")).agg(F.count("*").alias("n")).filter(F.col("n") > 8 * mean + 1000).select("_lead")
+    some = each.filter(F.col("kl").bitwiseAND(F.lit(15)) == 0)  # enough to see what is large; all rows go on
+    large = some.groupBy(lead.alias("_lead")).agg(F.count("*").alias("n")).filter(16 * F.col("n") > 8 * mean + 1000).select("_lead")
     each = each.withColumn("_lead", lead)
     large = F.broadcast(checkpoint(large))  # under 2 ** BUCKET_BITS / 8 numbers
     members = _shared(each.join(large, "_lead", "left_anti").repartition("band")).union(_shared(each.join(large, "_lead", "left_semi")))
     members = checkpoint(members)
-    tested = checkpoint(members.filter("kl != hub").select(F.col("hub").alias("a"), F.col("kl").alias("b")).distinct())
     ends = members.select("kl").distinct()
     texts = checkpoint(_among(lines.select("kl", "line"), ends).join(ends, "kl", "left_semi").dropDuplicates(["kl"]))
-    roots = checkpoint(components(checkpoint(_linked(tested, texts, percent))))
-    left = checkpoint(_apart(members.filter("kl != hub").select("band", "kl"), roots).drop("root", "c"))  # hubs met all lines of their bands
-    if not left.isEmpty():
-        left = checkpoint(left.join(_sketched(left, texts), "kl"))
+    rows = texts.count()
+    texts = sized(texts, rows)
+    known = checkpoint(_sketched(texts))
+    tested = members.filter("kl != hub").select("kl", "hub").distinct().join(known, "kl").join(known.select(F.col("kl").alias("hub"), F.struct(F.col("kl"), "n", "k").alias("h")), "hub")
+    tested = checkpoint(sized(tested.filter(_can_link(percent)).select(*_pair()), rows))
+    roots = sized(checkpoint(components(checkpoint(sized(_linked(tested, texts, percent, rows), rows)))), rows)
+    left = _apart(members.filter("kl != hub").select("band", "kl"), roots).drop("root", "c")  # hubs met all lines of their bands
+    left = checkpoint(left.select("band", "kl"))
+    n = left.count()
+    if n:
+        left = checkpoint(left.join(_parity(texts.join(left.select("kl").distinct(), "kl", "left_semi")), "kl"))
+    left = sized(left, n)
     hubs, most = MORE_HUBS, 2
-    while hubs // MORE_HUBS < most:
-        out = checkpoint(_apart(left, roots))
+    while n and hubs // MORE_HUBS < most:
+        out = checkpoint(sized(_apart(left, roots), n))
         most = out.agg(F.max("c")).first()[0] or 0
         if not most:
             break
         chosen = F.pmod(F.xxhash64("kl", "band"), F.lit(1 << 20)) * F.col("c") < hubs << 20
         other = out.filter(chosen).select("band", F.struct("kl", "n", "k", "root").alias("h"))
-        more = out.join(other, "band").filter((F.col("root") != F.col("h.root")) & _can_link(percent)).select(F.least("kl", "h.kl").alias("a"), F.greatest("kl", "h.kl").alias("b")).distinct()
+        more = sized(out.join(other, "band"), n).filter((F.col("root") != F.col("h.root")) & _can_link(percent)).select(*_pair()).distinct()
         hubs *= MORE_HUBS
-        more = checkpoint(more.join(tested, ["a", "b"], "left_anti"))
+        more = checkpoint(sized(more.join(tested, ["a", "b"], "left_anti"), n))
         if more.isEmpty():
             continue
         tested = tested.union(more)
         stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = checkpoint(components(stars.union(_linked(more, texts, percent))))
+        roots = sized(checkpoint(components(stars.union(_linked(more, texts, percent, rows)))), rows)
     return keys.select("kl", "kr", "n"), roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
