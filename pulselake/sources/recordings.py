@@ -35,12 +35,27 @@ def local(path: str) -> str:
 
 
 def wav_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of the files named .wav in any case, below root; no rows if root is missing. Contents are not read."""
+    """(path, length) of the files named .wav in any case, below root; no rows if root is missing. Contents are not read.
+
+    Spark deals no task an empty file, so empty ones are added from the listing that it has made anyway.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], "path string, length bigint")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]").load(root)
-    return files.select("path", "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]").load(root).select("path", "length")
+    return with_empty(files)
+
+
+def with_empty(files: DataFrame) -> DataFrame:
+    """(path, length) of the files of a binaryFile scan, empty ones included."""
+    listed = files._jdf.inputFiles()
+    if len(listed) == files.count():
+        return files
+    names = files.sparkSession.createDataFrame([(unquote(x),) for x in listed], "path string")
+    plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")  # noqa: E731  both file:/a and file:///a are written
+    found = files.select(plain(F.col("path")).alias("_path"))
+    empty = names.join(found, plain(F.col("path")) == F.col("_path"), "left_anti")
+    return files.union(empty.select("path", F.lit(0).cast("bigint").alias("length")))
 
 
 def map_rows(df: DataFrame, compute: Callable[[dict], list[dict]], schema: StructType | str, batch: int = 16) -> DataFrame:

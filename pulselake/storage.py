@@ -4,15 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the folder that spark.checkpoint.dir names, without its lineage, so that a lost executor costs no earlier stage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors see.
 
-    A folder of its own is taken only where the session names none, as in local tests.
+    Where the session names none, a temporary folder is taken on a local master, as in tests; on a
+    cluster that would be a folder that each machine has for itself, so it is a RuntimeError.
     """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, without its lineage, so that a lost executor costs no earlier stage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -17,12 +16,16 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from ..config import SAME_CENTRE_MS, SAME_OVERLAP, UNKNOWN
 from ..operators.reports import fold_label
 from ..sources.recordings import local
+from ..storage import shared_folder
 
 TAIL = "chunk int, starts array<double>, ends array<double>"
 
 
 def new_recordings(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> DataFrame:
-    """S1 as a stream: (path, length) of WAV files as they arrive below root. Contents are not read."""
+    """S1 as a stream: (path, length) of WAV files as they arrive below root. Contents are not read.
+
+    A file must be whole when it appears (move it in); one that is empty then gives no row.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[wW][aA][vV]").option("maxFilesPerTrigger", files_per_trigger)
     return files.load(root).select("path", "length")
@@ -119,7 +122,7 @@ def write_batches(stream: DataFrame, table: str, checkpoint: str, config: dict |
 def completed(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """The result of a stream over all that its source has now, as a table in the shared folder; in "complete" mode that of the last batch."""
     spark = stream.sparkSession
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4()}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/batch={number}")

@@ -83,6 +83,17 @@ def test_numbers_run_over_all_partitions(spark):
     assert [r.pulse_file for r in got] == [f"npulse{i + 1:06d}.wav" for i in range(len(got))] and all(r.confidence < 0.2 for r in got)
 
 
+def test_numbers_are_unique_over_many_rows(spark, tmp_path):
+    """A million rows with a payload and many ties, whose partitions adaptive execution joins as it likes."""
+    n = 1_000_000
+    x = spark.range(n, numPartitions=20).select("id", (F.col("id") % 1000).alias("tie"), F.repeat(F.lit("x"), 50).alias("payload"), F.lit(0.1).alias("confidence"))
+    matching.low_similarity(x, ["tie"], 0.2).write.parquet(str(tmp_path / "low"))
+    got = spark.read.parquet(str(tmp_path / "low"))
+    assert got.agg(F.count("*"), F.count_distinct("number"), F.min("number"), F.max("number"), F.count_distinct("pulse_file")).first()[:] == (n, n, 1, n, n)
+    ordered = got.groupBy("tie").agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
+    assert ordered.filter("lo != tie * 1000 + 1 or hi != tie * 1000 + 1000").count() == 0
+
+
 def test_ties_go_to_the_first_template_and_bad_values_to_none(spark):
     t = spark.createDataFrame([("b", "b1", 0, 5.0), ("a", "a1", 1, 5.0)], "label string, file string, ord int, duration_ms double")
     p = spark.createDataFrame([(1, 5.0), (2, float("nan")), (3, None), (4, 900.0)], "pulse_key int, duration_ms double")

@@ -97,3 +97,31 @@ def test_render_specs(spark):
     one = tables.render_specs(p).collect()
     assert len(one) == 1 and one[0].labels == "CF1,CF2" and (one[0].low_hz, one[0].high_hz) == (37_000.0, 76_000.0)
     assert tables.render_specs(p, "separate").count() == 2
+
+
+def test_empty_recordings_are_listed(spark, tmp_path):
+    from pulselake.sources import recordings
+
+    (tmp_path / "a dir%20").mkdir()
+    for name, data in (("a dir%20/none.wav", b""), ("some.WAV", b"RIFF"), ("other.txt", b"")):
+        (tmp_path / name).write_bytes(data)
+    got = {(r.path.rsplit("/", 1)[1], r.length) for r in recordings.wav_files(spark, str(tmp_path)).collect()}
+    assert got == {("none.wav", 0), ("some.WAV", 4)}
+    (tmp_path / "some.WAV").write_bytes(b"")
+    assert recordings.wav_files(spark, str(tmp_path)).count() == 2
+    failed = recordings.recordings(spark, str(tmp_path)).collect()
+    assert len(failed) == 2 and all(r.error for r in failed)
+    with pytest.raises(FileNotFoundError):
+        recordings.require_recordings(spark, str(tmp_path / "missing"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from pulselake import storage
+
+    session = lambda master, folder=None: N(conf=N(get=lambda *_: folder), sparkContext=N(master=master))
+    assert storage.shared_folder(session("yarn", "hdfs:/x")) == "hdfs:/x" and storage.shared_folder(session("local[2]"))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            storage.shared_folder(session(master))
