@@ -1,9 +1,8 @@
-"""Shared Spark plumbing: checkpoints in the shared folder, connected components, shipped code."""
+"""Shared Spark plumbing: connected components, shipped code, columns that ride along."""
 
 from __future__ import annotations
 
 import functools
-import tempfile
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..storage import checkpoint
+
 #: ASCII white space: the separators of words in most operators.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
@@ -59,19 +60,6 @@ def aside(*own: str) -> Callable:
     return wrap
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df in the folder that the cluster names in spark.checkpoint.dir.
-
-    A temporary folder is taken only where none is set, as in local tests.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
-
-
 #: Rows of links, keys and the like that a task is worth.
 TASK_ROWS = 1 << 17
 

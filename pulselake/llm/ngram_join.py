@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, table, with_fields
@@ -21,6 +23,10 @@ PAIRWISE = 16
 MARK_BITS = 23
 #: Orders after the first that a pair must also share a prefix token in.
 ORDERS = (0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9)
+#: Longs of a set's parity sketch, and of the marks of its prefix tokens in each of ORDERS.
+PARITY, MARKS = 8, 4
+#: Each turn has so many times the hubs of the turn before.
+MORE_HUBS = 8
 
 
 def shingle_sets(column: pa.Array, size: int):
@@ -65,6 +71,28 @@ def _levels(tokens: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return lookup(seen[0, 0], tokens).astype(np.int8) + lookup(seen[1, 0], tokens)
 
 
+def sketches(tokens: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """PARITY longs in which each token turns one bit over, then MARKS longs for each of ORDERS, in which its shared prefix tokens set bits.
+
+    Sets differ in at least as many tokens as bits of their parity sketches differ. Sets that link
+    share a prefix token in every order, and so a bit of its marks.
+    """
+    out = [np.bincount((tokens & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1]
+    for factor in ORDERS:
+        first = prefix(tokens, level, factor, percent)
+        out.append(np.bincount((tokens[first[level[first] > 0]] & np.uint64(64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) > 0)
+    return np.packbits(np.concatenate(out).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _can_link(x, y, percent: int) -> Column:
+    """False only for sets whose similarity is less, or that share no prefix token in some order. x, y: give the columns n, m and s of two sets by name."""
+    n = x("n") + y("n")
+    known = F.least(x("m"), y("m")) * (100 + percent) >= n * percent  # at most the known shingles of either are shared
+    differ = reduce(lambda a, b: a + b, (F.bit_count(x("s")[i].bitwiseXOR(y("s")[i])) for i in range(PARITY)))
+    meet = [reduce(lambda a, b: a.bitwiseOR(b), (x("s")[PARITY + k * MARKS + i].bitwiseAND(y("s")[PARITY + k * MARKS + i]) for i in range(MARKS))) != 0 for k in range(len(ORDERS))]
+    return reduce(lambda a, b: a & b, [known, differ * (100 + percent) <= n * (100 - percent), *meet])
+
+
 def _marked(nodes: DataFrame) -> np.ndarray:
     """A bitmap of 2 ** MARK_BITS bits (1 MB) of the leading bits of nodes, built by slices of 4 KB in Spark."""
     mark = F.shiftright(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long"), 32 - MARK_BITS) + 1
@@ -97,7 +125,7 @@ def _token_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return checkpoint(docs.select("text").mapInArrow(sets, "node binary, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
-def _verify(pairs: DataFrame, tokens: DataFrame, seen, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
 
     def check(batches):
@@ -107,9 +135,7 @@ def _verify(pairs: DataFrame, tokens: DataFrame, seen, percent: int) -> DataFram
                 keep = []
                 for ta, tb in zip(b.column(2), b.column(3)):
                     x, y = np.frombuffer(ta.as_py(), "<u8"), np.frombuffer(tb.as_py(), "<u8")
-                    lx, ly = _levels(x, seen.value), _levels(y, seen.value)
-                    pass_all = all(len(np.intersect1d(x[prefix(x, lx, f, percent)], y[prefix(y, ly, f, percent)], assume_unique=True)) for f in ORDERS)
-                    common = len(np.intersect1d(x, y, assume_unique=True)) if pass_all else 0
+                    common = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
@@ -128,12 +154,12 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     Equal sets are one node from the start, so copies are never paired. Shingles are counted over
     all rows; every order puts those of one document first, then others, then common ones, each by
     another hash. Two linked sets share a prefix token in every order. Prefix tokens of the first
-    order are joined, without those that a single document holds. Pairs that could not link even if
-    they shared all shingles that are not their own alone are left out. Up to PAIRWISE sets of a token
-    are paired. More are linked with the token's hub, the set with the fewest shingles of its own;
-    sets that it did not join are compared with another hub, and what then still lies in different
-    components of one token is paired across components. Pairs already in one component need no
-    test. The other orders filter pairs before their whole sets are intersected.
+    order are joined, without those that a single document holds; a pair must also share marks of the
+    prefix tokens of every other order, and must not differ by its sketches in more shingles than
+    linked sets can (_can_link), all before any whole set is moved or intersected. Up to PAIRWISE sets
+    of a token are paired. More are tested with the token's hub, the set with the fewest shingles of
+    its own; while sets of a token lie in different components, more of its sets become hubs,
+    MORE_HUBS times as many each turn, until all have met. Pairs already in one component need no test.
 
     Null and empty texts have no shingles, link with nothing and are their own component. Rows with
     the same doc_id and text fall together; a null doc_id is ignored as the smallest, unless all
@@ -149,7 +175,7 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
 
     def nodes(batches):
         for b in batches:
-            names, sizes, known, tokens, done = [], [], [], [], set()
+            names, sizes, known, tokens, sketched, done = [], [], [], [], [], set()
             for _, t in shingle_sets(b.column(1), size):
                 node = node_of(t) if len(t) else None
                 names.append(node)
@@ -157,61 +183,62 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
                 if node in done or not len(t):
                     known.append(0)
                     tokens.append(None)  # a copy: its set's tokens are there
+                    sketched.append(None)
                 else:
                     done.add(node)
                     level = _levels(t, seen.value)
                     first = prefix(t, level, None, percent)
                     known.append(int((level > 0).sum()))
                     tokens.append(t[first[level[first] > 0]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=schema.names)
+                    sketched.append(sketches(t, level, percent))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketched, pa.list_(pa.int64()))], names=schema.names)
 
     from pyspark.sql.types import ArrayType, LongType
 
-    schema = with_fields(docs.select("doc_id").schema, node="binary", n_shingles="long", known="long").add("tokens", ArrayType(LongType()))
+    schema = with_fields(docs.select("doc_id").schema, node="binary", n_shingles="long", known="long").add("tokens", ArrayType(LongType())).add("s", ArrayType(LongType()))
     d = checkpoint(docs.mapInArrow(nodes, schema))
     posts = d.filter("tokens is not null").select(F.explode("tokens").alias("token"), "node", F.col("n_shingles").alias("n"), F.col("known").alias("m")).distinct()
     # A hub has the fewest shingles of its own, so what links with any set of its token links with it as a rule.
-    counts = posts.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct((F.col("n") - F.col("m")).alias("u"), "node", "n", "m")).alias("h")).filter("c > 1")
-    posts = posts.join(counts, "token")
+    counts = posts.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct((F.col("n") - F.col("m")).alias("u"), "node")).alias("h")).filter("c > 1")
+    posts = posts.join(counts.select("token", "c", F.col("h.node").alias("hub")), "token")
     few = posts.filter(F.col("c") <= PAIRWISE).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n", "m"))).alias("s"))
-    # At most the known shingles of either are shared; this alone rules out most pairs.
-    can = lambda n, m, n2, m2: F.least(m, m2) * (100 + percent) >= (n + n2) * percent
-    near = lambda x, y: can(x["n"], x["m"], y["n"], y["m"])
+    near = lambda x, y: F.least(x["m"], y["m"]) * (100 + percent) >= (x["n"] + y["n"]) * percent
     rest = lambda i: F.slice("s", i + 2, F.size("s"))
     each = F.flatten(F.transform("s", lambda x, i: F.transform(F.filter(rest(i), lambda y: near(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     few = few.select(F.explode(each).alias("p")).select("p.a", "p.b")
-    many = checkpoint(posts.filter(F.col("c") > PAIRWISE).select("token", "node", "n", "m", "h"))
-    pair = [F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")]
-    meet = can(F.col("n"), F.col("m"), F.col("h.n"), F.col("h.m"))
-    tested = checkpoint(few.union(many.filter("node != h.node").filter(meet).select(*pair)).distinct())
+    many = checkpoint(posts.filter(F.col("c") > PAIRWISE).select("token", "node", "hub"))
+    pairs = few.union(many.filter("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct()
+    known = d.filter("tokens is not null").select("node", F.struct(F.col("n_shingles").alias("n"), F.col("known").alias("m"), "s").alias("x")).dropDuplicates(["node"])
+    pairs = pairs.join(known.select(F.col("node").alias("b"), F.col("x").alias("y")), "b").join(known.withColumnRenamed("node", "a"), "a")
+    tested = checkpoint(pairs.filter(_can_link(lambda c: F.col("x")[c], lambda c: F.col("y")[c], percent)).select("a", "b"))
     # Sets of large tokens may meet other sets later on, so theirs are kept too.
     sets = _token_sets(tested.select(F.col("a").alias("node")).union(tested.select("b")).union(many.select("node")).distinct(), docs, size)
-    links = checkpoint(_verify(tested, sets, seen, percent))
-
-    def split(roots: DataFrame) -> DataFrame:
-        """Tokens' sets with their components, of tokens whose sets aren't all in one."""
-        m = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        bounds = m.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-        return m.join(bounds, "token")
-
-    roots = checkpoint(components(links))
-    for turn in range(0 if many.isEmpty() else 2):
-        out = checkpoint(split(roots))
-        if out.isEmpty():
+    roots = checkpoint(components(checkpoint(_verify(tested, sets, percent))))
+
+    def split(left: DataFrame) -> DataFrame:
+        """Tokens' sets with their components and the token's number of sets c, of tokens whose sets aren't all in one."""
+        m = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        bounds = m.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
+        return m.join(bounds.select("token", "c"), "token")
+
+    left = many if many.isEmpty() else checkpoint(split(many.filter("node != hub").drop("hub")).drop("root", "c").join(known, "node").select("token", "node", "x.n", "x.m", "x.s"))
+    hubs, most = MORE_HUBS, 0 if many.isEmpty() else 2
+    while hubs // MORE_HUBS < most:
+        out = checkpoint(split(left))
+        most = out.agg(F.max("c")).first()[0] or 0
+        if not most:
             break
-        if turn == 0:  # another hub, among the sets that the first did not join
-            first = out.filter(F.col("node") == F.col("h.node")).select("token", F.col("root").alias("hub_root"))
-            apart = out.join(first, "token").filter("root != hub_root").groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("u"), "node", "n", "m", "root")).alias("h"))
-        else:  # all that is left; of two sets that link, one at least has few shingles of its own
-            apart = out.filter(F.col("m") * (100 + percent) >= F.col("n") * (2 * percent)).select("token", F.struct("node", "n", "m", "root").alias("h"))
-        p = out.drop("h").join(apart, "token").filter((F.col("root") != F.col("h.root")) & meet).select(*pair).distinct()
+        chosen = (F.pmod(F.xxhash64("node", "token"), F.lit(1 << 20)) * F.col("c") < hubs << 20) & (F.col("m") * (100 + percent) >= F.col("n") * (2 * percent))
+        other = out.filter(chosen).select("token", F.struct("node", "n", "m", "s", "root").alias("h"))  # of two sets that link, one at least has few shingles of its own
+        link = (F.col("root") != F.col("h.root")) & _can_link(F.col, lambda c: F.col(f"h.{c}"), percent)
+        p = out.join(other, "token").filter(link).select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+        hubs *= MORE_HUBS
         p = checkpoint(p.join(tested, ["a", "b"], "left_anti"))
         if p.isEmpty():
             continue
         tested = tested.union(p)
-        links = _verify(p, sets, seen, percent)
         # What is known already are stars, so joining the new links takes few rounds.
-        roots = checkpoint(components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)))
+        roots = checkpoint(components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verify(p, sets, percent))))
     d = d.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = d.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     d = d.join(least, "root", "left")
