@@ -22,8 +22,12 @@ RULES = {
     "few_words": lambda: F.lit(1) / F.greatest(F.col("n_words"), F.lit(1)),
     "word_chars": lambda: _ratio("word_chars", "n_words") / 40,
 }
-#: Cutoffs tried for each rule: 0, 1/50, ..., 1.
+#: Ratios are counted in bins of 1 / STEPS.
 STEPS = 50
+#: Joint rule sets tried, from the laxest: each rule rejects at most the share risk * 2 ** ((t - STRICT) / 4) of the design rows.
+LEVELS, STRICT = 24, 16
+#: Of so many parts of the labelled rows, by a hash of doc_id, one designs the rule sets and the others certify them.
+PARTS = 4
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -89,43 +93,87 @@ def _stratum(column: str, known: list) -> Column:
     return F.when(F.col(column).isin(known), F.col(column)).otherwise(F.lit("*")) if known else F.lit("*")
 
 
+def _bin(rule: str) -> Column:
+    return F.ceil(RULES[rule]() * STEPS).cast("int")
+
+
+def design(good: dict[str, dict[int, int]], risk: float) -> list[dict[str, int]]:
+    """Joint rule sets {rule: highest bin that stays}, the laxest first, from each rule's histogram of good rows.
+
+    At each level a rule's cutoff is the lowest that rejects at most the level's share of rows, one more
+    row counted as rejected; so rules of any scale tighten together, and each set rejects what the sets
+    before it reject.
+    """
+    out = []
+    for t in range(LEVELS):
+        share, cuts = risk * 2 ** ((t - STRICT) / 4), {}
+        for rule, bins in good.items():
+            n, tail, cut = sum(bins.values()), 1, STEPS
+            while cut > 0 and tail + bins.get(cut, 0) <= share * (n + 1):
+                tail += bins.get(cut, 0)
+                cut -= 1
+            cuts[rule] = cut
+        out.append(cuts)
+    return out
+
+
+def certify(rejected: list[tuple[int, int]], n: int, risk: float, level: float) -> int | None:
+    """The strictest safe rule set: rejected has the (good, bad) rows that each rejects, of n good ones.
+
+    A set is safe if "it rejects more than risk of the good rows" fails the exact binomial test at the
+    level. Sets are tested from the laxest on, up to the first that fails, so testing many costs
+    nothing. A set that rejects no more bad rows than a laxer one is not taken; None if none is.
+    """
+    taken, most = None, 0
+    for t, (good, bad) in enumerate(rejected):
+        if not n or at_most(good, n, risk) > level:
+            break
+        if bad > most:
+            taken, most = t, bad
+    return taken
+
+
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, alpha: float = 0.05, max_strata: int = 32) -> tuple[list, dict]:
     """Strata and {stratum: {rule: cutoff}} with a guaranteed limit on false rejections.
 
-    The holdout is every labelled good row (quality 1). For each stratum, rule and cutoff the number
-    of good rows above the cutoff is exactly known from a histogram of STEPS + 1 bins, counted in
-    Spark. A cutoff is safe if the binomial test rejects "the rule rejects more than risk / rules of
-    good rows" at level alpha / (strata * rules) (Bonferroni). Cutoffs are tested from the laxest on,
-    stopping at the first that fails (a fixed sequence, so testing many cutoffs costs nothing); the
-    strictest safe one is taken. With probability 1 - alpha, no stratum loses more than ``risk`` of
-    its good rows. A rule without a safe cutoff is off in that stratum. A cutoff that rejects no more
-    bad rows than the next laxer one is not taken.
-
-    Strata are the max_strata most frequent values among labelled rows; all others, and null, are
-    pooled into "*". So strata, bins and cutoffs have a fixed bound whatever the number of rows.
-    Without labelled rows every rule is off.
+    One of PARTS parts of the labelled rows designs a sequence of joint rule sets for each stratum
+    (design). The others are the holdout: the good rows (quality 1) that each set rejects, by any of
+    its rules, are counted in Spark, and the strictest set that is safe at level alpha / strata
+    (Bonferroni over strata) is taken (certify). With probability 1 - alpha, no stratum loses more
+    than ``risk`` of its good rows by the cutoffs.
+
+    Strata are the most frequent values among labelled rows, at most max_strata, that have as many
+    good holdout rows as a set which rejects none of them needs to be proved safe; all others, and
+    null, are pooled into "*", for which the limit then holds as a whole. So strata, bins and sets
+    have a fixed bound whatever the number of rows. Without labelled rows every rule is off.
     """
     x = measured.join(labels.select("doc_id", "quality").filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
-    x = x.filter(~base_failed())
-    known = [r[0] for r in x.filter(F.col(stratum).isNotNull()).groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(max_strata).collect()]
-    bins = F.array(*(F.struct(F.lit(name).alias("rule"), F.ceil(rule() * STEPS).cast("int").alias("bin")) for name, rule in RULES.items()))
-    h = x.select(_stratum(stratum, known).alias("s"), "quality", F.explode(bins).alias("b")).groupBy("s", "b.rule", "b.bin").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"))
-    hist: dict = {}
-    for s, rule, b, good, bad in h.collect():  # at most (max_strata + 1) * rules * (STEPS + 1) rows
-        hist.setdefault(s, {}).setdefault(rule, {})[b] = (good, bad)
-    cutoffs: dict = {}
-    level = alpha / (len(RULES) * max(1, len(hist)))
-    for s, rules in hist.items():
-        for rule, by in rules.items():
-            n = sum(g for g, _ in by.values())
-            good = bad = 0
-            for b in range(STEPS, -1, -1):  # the cutoff b / STEPS rejects bins over b
-                if n and at_most(good, n, risk / len(RULES)) > level:
-                    break
-                if n and bad > cutoffs.get((s, rule), (None, 0))[1]:
-                    cutoffs[s, rule] = (b, bad)
-                good, bad = good + by.get(b, (0, 0))[0], bad + by.get(b, (0, 0))[1]
-    return known, {s: {r: cutoffs[s, r][0] for r in RULES if (s, r) in cutoffs} for s in hist}
+    holdout = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(PARTS)) != 0
+    x = x.filter(~base_failed() & F.col("quality").isin(0, 1)).select(F.col(stratum).alias("s"), "quality", holdout.alias("holdout"), *(_bin(r).alias(r) for r in RULES))
+    x = checkpoint(x)  # narrow rows of what is labelled
+    least = math.log(alpha / (max_strata + 1)) / math.log1p(-risk)
+    enough = x.filter("holdout and quality = 1 and s is not null").groupBy("s").count().filter(F.col("count") >= least)
+    known = [r[0] for r in enough.orderBy(F.desc("count"), "s").limit(max_strata).collect()]
+    x = x.withColumn("s", _stratum("s", known))
+    bins = F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES))
+    h = x.filter("quality = 1 and not holdout").select("s", F.explode(bins).alias("b")).groupBy("s", "b.rule", "b.bin").count()
+    good: dict = {}
+    for s, rule, b, n in h.collect():  # at most (max_strata + 1) * rules * (STEPS + 1) rows
+        good.setdefault(s, {r: {} for r in RULES})[rule][b] = n
+    sets = {s: design(g, risk) for s, g in good.items()}
+    first = F.lit(LEVELS)  # the first set that rejects the row
+    for s, cuts in sets.items():
+        by_rule = [F.element_at(F.array(*(F.lit(next((t for t in range(LEVELS) if b > cuts[t][r]), LEVELS)) for b in range(STEPS + 1))), F.col(r) + 1) for r in RULES]
+        first = F.when(F.col("s") == s, F.least(*by_rule)).otherwise(first)
+    counted: dict = {}
+    for s, t, n, bad in x.filter("holdout").withColumn("t", first).groupBy("s", "t").agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).collect():
+        counted.setdefault(s, {})[t] = (n, bad)
+    cutoffs = {}
+    for s, by in counted.items():
+        upto = [tuple(sum(by.get(u, (0, 0))[k] for u in range(t + 1)) for k in (0, 1)) for t in range(LEVELS)]
+        t = certify(upto, sum(n for n, _ in by.values()), risk, alpha / len(counted)) if s in sets else None
+        cutoffs[s] = {r: c for r, c in sets[s][t].items() if c < STEPS} if t is not None else {}
+    return known, cutoffs
 
 
 def verdict(known: list, cutoffs: dict, stratum: str = "lang") -> Column:
@@ -134,7 +182,7 @@ def verdict(known: list, cutoffs: dict, stratum: str = "lang") -> Column:
     s = _stratum(stratum, known)
     for name, rules in cutoffs.items():
         for rule, cut in rules.items():
-            bad = bad | ((s == F.lit(name)) & (F.ceil(RULES[rule]() * STEPS) > cut))
+            bad = bad | ((s == F.lit(name)) & (_bin(rule) > cut))
     return ~bad
 
 

@@ -125,6 +125,53 @@ def test_binomial_bound():
         assert quality.at_most(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
 
 
+def test_joint_sets_against_brute_force():
+    """Cutoffs and the chosen set, from the definition over plain rows."""
+    import random
+
+    r = random.Random(4)
+    rows = [({"a": min(50, int(r.expovariate(0.3))), "b": r.randrange(20)}, r.random() < 0.8) for _ in range(3000)]
+    rows += [({"a": 45, "b": 5}, False) for _ in range(200)] + [({"a": 3, "b": 50}, False) for _ in range(100)]
+    good = {k: Counter(x[k] for x, g in rows[::4] if g) for k in "ab"}
+    sets = quality.design(good, 0.01)
+    n = sum(good["a"].values())
+    for t, cuts in enumerate(sets):
+        share = 0.01 * 2 ** ((t - quality.STRICT) / 4)
+        for k in "ab":
+            safe = [c for c in range(quality.STEPS + 1) if 1 + sum(v for b, v in good[k].items() if b > c) <= share * (n + 1) or c == quality.STEPS]
+            assert cuts[k] == min(safe)
+    test = [x for i, x in enumerate(rows) if i % 4]
+    gone = lambda x, cuts: any(x[k] > cuts[k] for k in "ab")
+    upto = [(sum(gone(x, c) for x, g in test if g), sum(gone(x, c) for x, g in test if not g)) for c in sets]
+    n = sum(g for _, g in test)
+    chosen = quality.certify(upto, n, 0.01, 0.01)
+    safe = [quality.at_most(k, n, 0.01) <= 0.01 for k, _ in upto]
+    run = safe.index(False) if False in safe else len(safe)
+    best = max(b for _, b in upto[:run])
+    assert chosen == next(t for t in range(run) if upto[t][1] == best) and best >= 200
+    assert quality.certify(upto, 100, 0.01, 0.01) is None and quality.certify([], 0, 0.01, 0.01) is None
+
+
+def test_cutoffs_are_set_and_safe(spark):
+    """Two languages with 1,200 good rows each and one with 30, which is pooled; bad rows shout or repeat symbols."""
+    rows, labels = [], []
+    for i in range(3400):
+        lang = "en" if i < 1600 else "de" if i < 3200 else "fr"
+        bad = i % 4 == 0 and lang != "fr"
+        text = C.prose(60, i)
+        if bad:
+            text = text.upper() if i % 8 else text + " #$%" * 30
+        rows.append((i, text, lang, "web", 1))
+        labels.append((i, int(not bad), 0))
+    docs = spark.createDataFrame(rows, C.KIND)
+    known, cutoffs = quality.fit_cutoffs(quality.measure(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert sorted(known) == ["de", "en"] and cutoffs["en"] and cutoffs["de"] and not cutoffs.get("*")
+    kept = {r.doc_id: r.kept for r in quality.measure(docs).select("doc_id", quality.verdict(known, cutoffs).alias("kept")).collect()}
+    lost = [i for i, q, _ in labels if q and not kept[i]]
+    caught = [i for i, q, _ in labels if not q and not kept[i]]
+    assert len(lost) <= 0.01 * 2600 and len(caught) > 700
+
+
 def test_cutoffs_limit_false_rejections(spark):
     """Good rows have few symbols, bad ones many; hardly a good row may be rejected, and many bad ones are."""
     import random
