@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 
@@ -15,21 +16,38 @@ from .common import aside, checkpoint, table, with_fields
 
 CAPACITY = 2048
 #: Lengths over CAPACITY / SMALL are large; they are rounded up within GROUPS groups of equal cardinality.
-SMALL, GROUPS = 4, 256
+SMALL, GROUPS = 4, 128
+#: Configurations that the optimisation adds at most, a gain below which it stops, and steps without gain after which it does.
+COLUMNS, GAIN, STALL = 400, 1e-3, 40
 #: Blocks that pieces of one length are dealt to by hash for their numbering.
 BLOCKS = 256
 END = 0
 
 
 def encoder(path: str):
-    """The vocabulary as a tiktoken encoding; a .json path takes the ranks file beside it, whose ids are the same."""
+    """The vocabulary as a tiktoken encoding.
+
+    A .json path takes the merges from the ranks file beside it, whose ids are the same, and the
+    special tokens from the .json file itself.
+    """
     import public_tokenizers
     import tiktoken
 
+    special = {}
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     path = path.removesuffix(".json").removesuffix(".tiktoken") + ".tiktoken"
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def encode(encoding, text: str) -> list[int]:
+    """The ids of a text; the string of a special token is that token, as the public file has it."""
+    if any(t in text for t in encoding.special_tokens_set):
+        return encoding.encode(text, allowed_special="all")
+    return encoding.encode_ordinary(text)
 
 
 PIECE = {"piece": "integer", "start": "long", "length": "long", "ids_crc32": "long"}
@@ -61,7 +79,7 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int
                 for i, x in enumerate(b.column(b.schema.get_field_index("text"))):
                     text = x.as_py() or ""
                     if (made := seen.get(text)) is None:
-                        ids = np.array([*encoding.encode_ordinary(text), END], "<u4")
+                        ids = np.array([*encode(encoding, text), END], "<u4")
                         cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
                         made = seen[text] = [(k, s, e - s, zlib.crc32(ids[s:e]), ids[s:e] if with_ids else None) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
                     rows += [i] * len(made)
@@ -94,6 +112,57 @@ def _fullest(sizes: list[int], counts: list[int], capacity: int) -> list[int]:
     return out
 
 
+def _best(values: np.ndarray, sizes: list[int], capacity: int, most: int) -> tuple[np.ndarray, float]:
+    """The configuration with the largest sum of values, and that sum: a knapsack by the number of pieces and their total."""
+    worth, choices = np.zeros(capacity + 1), []
+    for _ in range(most):
+        new, choice = worth.copy(), np.full(capacity + 1, -1)
+        for g in np.flatnonzero(values > 0):
+            with_it = worth[: capacity + 1 - sizes[g]] + values[g]
+            better = np.flatnonzero(with_it > new[sizes[g] :] + 1e-12) + sizes[g]
+            new[better], choice[better] = with_it[better - sizes[g]], g
+        worth = new
+        choices.append(choice)
+    out, at = np.zeros(len(sizes)), capacity
+    for choice in reversed(choices):
+        if (g := choice[at]) >= 0:
+            out[g] += 1
+            at -= sizes[g]
+    return out, float(worth[capacity])
+
+
+def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
+    """Configurations of the sizes and how often each is used, of the fewest sequences but for rounding.
+
+    A linear program over all configurations, in which each size must be covered counts times, solved
+    by generating columns: the dual prices of the basis are a knapsack's values, whose best configuration
+    enters the basis while it is worth more than a sequence. Uses are rounded down; the pieces this
+    leaves over, fewer than a configuration's for each size, are left to the caller.
+    """
+    if not sizes:
+        return []
+    most = capacity // min(sizes)
+    each = np.array([capacity // s for s in sizes], float)
+    basis, inverse, uses = np.diag(each), np.diag(1 / each), np.array(counts, float) / each
+    least, since = np.inf, 0
+    for _ in range(COLUMNS):
+        since = 0 if uses.sum() < least * (1 - 1e-9) else since + 1
+        least = min(least, float(uses.sum()))
+        column, worth = _best(inverse.sum(axis=0), sizes, capacity, most)
+        if worth <= 1 + GAIN or since > STALL:  # degenerate steps may go round in circles
+            break
+        step = inverse @ column
+        ratio = np.full(len(uses), np.inf)
+        np.divide(uses, step, out=ratio, where=step > 1e-9)
+        leaves = int(ratio.argmin())
+        enters = max(0.0, ratio[leaves])
+        uses = np.maximum(0, uses - enters * step)
+        uses[leaves] = enters
+        basis[:, leaves] = column
+        inverse = np.linalg.inv(basis)
+    return [([int(k) for k in basis[:, j]], int(uses[j] + 1e-6)) for j in range(len(uses))]
+
+
 def plan(lengths: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
     """Places for numbered pieces: (length, first, end, sequence, offset).
 
@@ -102,9 +171,10 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY, small: int = SMALL,
     depend on capacity and groups, not on the number of pieces.
 
     Linear grouping: large pieces, the longest first, make groups of equal cardinality and count as
-    the longest of their group. Configurations, multisets of these few sizes, are chosen one after
-    another: the fullest that holds the largest size left, as often as its sizes last. Then actual
-    pieces take the places, which frees what rounding added, and small pieces, the longest first, go
+    the longest of their group. Configurations, multisets of these few sizes, are chosen by a linear
+    program for the fewest sequences; what rounding its uses down leaves over gets the fullest
+    configuration that holds the largest size left, as often as its sizes last. Then actual
+    pieces take the places, which frees what rounding lengths up added, and small pieces, the longest first, go
     each to the sequence with the least room that holds it; what is left opens new sequences.
     """
     bins: list[tuple[int, list[tuple[int, int]]]] = []  # so many sequences, each with pieces (length, number of the first)
@@ -125,9 +195,12 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY, small: int = SMALL,
             at, left, room = at + k, left - k, room - k
     sizes, counts = [r[0][0] for r in runs], [sum(x[2] for x in r) for r in runs]
 
+    chosen = configurations(sizes, counts, capacity)
     while any(counts):
-        shape = _fullest(sizes, counts, capacity)
-        times = min(c // k for c, k in zip(counts, shape) if k)
+        shape, times = chosen.pop() if chosen else (_fullest(sizes, counts, capacity), sum(counts))
+        times = min(times, *(c // k for c, k in zip(counts, shape) if k))
+        if not times:
+            continue
         slots = [g for g, k in enumerate(shape) for _ in range(k)]
         counts = [c - k * times for c, k in zip(counts, shape)]
         taken = []
@@ -197,19 +270,18 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int =
     Texts are tokenised once; the pieces, narrow unless with_ids, are kept in the shared folder. The
     driver sees the number of pieces of each length only (at most capacity numbers) and plans from
     these. Pieces of one length are numbered by hash block, so a length that a third of all pieces
-    share is dealt over BLOCKS groups. Null texts are empty, repeated rows are documents of their own,
+    share is dealt over BLOCKS groups; numbers follow a row id of the kept pieces, so other columns may have any type. Null texts are empty, repeated rows are documents of their own,
     an empty table gives no rows. Columns of docs with the names of the result are replaced.
     """
     docs = docs.drop("sequence_id", "offset")
-    p = checkpoint(pieces(docs, vocabulary, capacity, with_ids))
-    p = p.withColumn("_block", F.pmod(F.xxhash64(*(c for c in p.columns if c != "ids")), F.lit(BLOCKS)))
+    p = checkpoint(pieces(docs, vocabulary, capacity, with_ids).withColumn("_row", F.monotonically_increasing_id()))
+    p = p.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(BLOCKS)))
     counts = p.groupBy("length", "_block").agg(F.count("*").alias("n"))
     places = plan({int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}, capacity)
     places = np.array(sorted(places), np.int64).reshape(-1, 5)
     before = counts.select("length", "_block", (F.sum("n").over(Window.partitionBy("length").orderBy("_block")) - F.col("n")).alias("_before"))
-    order = [c for c in p.columns if c not in ("ids", "length", "_block")]
-    p = p.withColumn("_in", F.row_number().over(Window.partitionBy("length", "_block").orderBy(*order)) - 1)
-    p = p.join(before, ["length", "_block"]).withColumn("_number", F.col("_in") + F.col("_before")).drop("_in", "_before", "_block")
+    p = p.withColumn("_in", F.row_number().over(Window.partitionBy("length", "_block").orderBy("_row")) - 1)
+    p = p.join(before, ["length", "_block"]).withColumn("_number", F.col("_in") + F.col("_before")).drop("_in", "_before", "_block", "_row")
     names = [*(c for c in p.columns if c != "_number"), "sequence_id", "offset"]
     schema = with_fields(p.drop("_number").schema, sequence_id="long", offset="long")
     sent = docs.sparkSession.sparkContext.broadcast(places)  # its size depends on capacity, not on the rows

@@ -114,17 +114,17 @@ def test_tokens_are_those_of_the_public_file():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     own = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in C.texts():
-        assert own.encode_ordinary(text or "") == t.encode(text or "", add_special_tokens=False).ids
+    for text in [*C.texts(), "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext |>", " \n<|endoftext|>\n "]:
+        assert packing.encode(own, text or "") == t.encode(text or "", add_special_tokens=False).ids
+    assert 50256 in packing.encode(own, "a <|endoftext|> b")
 
 
 def check_packing(rows, docs, capacity):
     import public_tokenizers
 
     own = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    left = sorted((i or 0, own.encode_ordinary(t or "") + [0]) for i, t in docs)
+    left = sorted((i or 0, packing.encode(own, t or "") + [0]) for i, t in docs)
     mine = {}
     for r in rows:
         mine.setdefault((r.doc_id or 0, r.start == 0), []).append(r)
@@ -168,6 +168,21 @@ def best_fit(lengths, capacity):
     return used
 
 
+def test_packing_with_a_map_column(spark):
+    d = C.frame(spark).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    x = packing.pack(d, capacity=256)
+    assert x.filter("m['a'] != 1").count() == 0 and x.count() == packing.pack(d.drop("m"), capacity=256).count()
+
+
+def test_configurations_are_as_few_as_can_be():
+    """Against all ways of cutting a small instance, and the bound by total length."""
+    used = lambda sizes, counts: sum(n for _, n in packing.configurations(sizes, counts, 100))
+    assert used([50, 33], [300, 300]) == 250  # 150 of two halves and 100 of three thirds
+    assert 130 <= used([60, 40, 30], [300, 300, 300]) // 3 <= 134  # 60 + 40, 60 + 30 and 40 + 30 + 30 together; fullest first takes 300 of 60 + 40 and 100 of three 30
+    for shape, n in packing.configurations([70, 45, 30, 26], [40, 50, 60, 70], 100):
+        assert sum(a * b for a, b in zip(shape, (70, 45, 30, 26))) <= 100 and n >= 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_fills_sequences(seed):
     r = np.random.default_rng(seed)
