@@ -20,12 +20,12 @@ RULES = {
     "capitals": lambda: _ratio("n_capitals", "word_chars"),
     "shouts": lambda: _ratio("n_shouts", "n_words"),
     "few_words": lambda: F.lit(1) / F.greatest(F.col("n_words"), F.lit(1)),
-    "word_chars": lambda: _ratio("word_chars", "n_words") / 40,
+    "word_chars": lambda: F.coalesce(F.least(F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)) / 40, F.lit(1.0)), F.lit(0.0)),
 }
 #: Ratios are counted in bins of 1 / STEPS.
 STEPS = 50
-#: Joint rule sets tried, from the laxest: each rule rejects at most the share risk * 2 ** ((t - STRICT) / 4) of the design rows.
-LEVELS, STRICT = 24, 16
+#: Joint rule sets tried at most, and times the risk that the design rows may lose in them.
+LEVELS, LOSS = 64, 4
 #: Of so many parts of the labelled rows, by a hash of doc_id, one designs the rule sets and the others certify them.
 PARTS = 4
 
@@ -97,22 +97,31 @@ def _bin(rule: str) -> Column:
     return F.ceil(RULES[rule]() * STEPS).cast("int")
 
 
-def design(good: dict[str, dict[int, int]], risk: float) -> list[dict[str, int]]:
-    """Joint rule sets {rule: highest bin that stays}, the laxest first, from each rule's histogram of good rows.
+def design(counts: dict[str, dict[int, tuple[int, int]]], risk: float) -> list[dict[str, int]]:
+    """Joint rule sets {rule: highest bin that stays}, the laxest first, from each rule's histogram of (good, bad) rows.
 
-    At each level a rule's cutoff is the lowest that rejects at most the level's share of rows, one more
-    row counted as rejected; so rules of any scale tighten together, and each set rejects what the sets
-    before it reject.
+    Starting with no cutoff, each step lowers the cutoff of one rule so that it gains the most bad rows
+    for each good one that it loses, one more counted as lost; of equal ones the laxer, then the rule
+    listed first. So each set rejects what the sets before it reject. Sets that lose over LOSS * risk
+    of the good rows end the sequence.
     """
-    out = []
-    for t in range(LEVELS):
-        share, cuts = risk * 2 ** ((t - STRICT) / 4), {}
-        for rule, bins in good.items():
-            n, tail, cut = sum(bins.values()), 1, STEPS
-            while cut > 0 and tail + bins.get(cut, 0) <= share * (n + 1):
-                tail += bins.get(cut, 0)
-                cut -= 1
-            cuts[rule] = cut
+    n = max((sum(g for g, _ in bins.values()) for bins in counts.values()), default=0)
+    cuts, out, lost = dict.fromkeys(counts, STEPS), [], 0
+    while len(out) < LEVELS:
+        steps = []
+        for order, (rule, bins) in enumerate(counts.items()):
+            good = bad = 0
+            for b in range(cuts[rule], 0, -1):  # the cutoff b - 1 rejects bin b too
+                good, bad = good + bins.get(b, (0, 0))[0], bad + bins.get(b, (0, 0))[1]
+                if bad and bins.get(b, (0, 0))[1]:
+                    steps.append((bad / (good + 1), b - 1, -order, rule, good))
+        if not steps:
+            break
+        _, cut, _, rule, good = max(steps)
+        lost += good
+        if lost > LOSS * risk * n:
+            break
+        cuts = {**cuts, rule: cut}
         out.append(cuts)
     return out
 
@@ -156,22 +165,23 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", r
     known = [r[0] for r in enough.orderBy(F.desc("count"), "s").limit(max_strata).collect()]
     x = x.withColumn("s", _stratum("s", known))
     bins = F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES))
-    h = x.filter("quality = 1 and not holdout").select("s", F.explode(bins).alias("b")).groupBy("s", "b.rule", "b.bin").count()
-    good: dict = {}
-    for s, rule, b, n in h.collect():  # at most (max_strata + 1) * rules * (STEPS + 1) rows
-        good.setdefault(s, {r: {} for r in RULES})[rule][b] = n
-    sets = {s: design(g, risk) for s, g in good.items()}
+    both = [F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)]
+    h = x.filter("not holdout").select("s", "quality", F.explode(bins).alias("b")).groupBy("s", "b.rule", "b.bin").agg(*both)
+    found: dict = {}
+    for s, rule, b, good, bad in h.collect():  # at most (max_strata + 1) * rules * (STEPS + 1) rows
+        found.setdefault(s, {r: {} for r in RULES})[rule][b] = (good, bad)
+    sets = {s: design(g, risk) for s, g in found.items()}
     first = F.lit(LEVELS)  # the first set that rejects the row
     for s, cuts in sets.items():
-        by_rule = [F.element_at(F.array(*(F.lit(next((t for t in range(LEVELS) if b > cuts[t][r]), LEVELS)) for b in range(STEPS + 1))), F.col(r) + 1) for r in RULES]
+        by_rule = [F.element_at(F.array(*(F.lit(next((t for t, c in enumerate(cuts) if b > c[r]), LEVELS)) for b in range(STEPS + 1))), F.col(r) + 1) for r in RULES]
         first = F.when(F.col("s") == s, F.least(*by_rule)).otherwise(first)
     counted: dict = {}
-    for s, t, n, bad in x.filter("holdout").withColumn("t", first).groupBy("s", "t").agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).collect():
+    for s, t, n, bad in x.filter("holdout").withColumn("t", first).groupBy("s", "t").agg(*both).collect():
         counted.setdefault(s, {})[t] = (n, bad)
     cutoffs = {}
     for s, by in counted.items():
-        upto = [tuple(sum(by.get(u, (0, 0))[k] for u in range(t + 1)) for k in (0, 1)) for t in range(LEVELS)]
-        t = certify(upto, sum(n for n, _ in by.values()), risk, alpha / len(counted)) if s in sets else None
+        upto = [tuple(sum(by.get(u, (0, 0))[k] for u in range(t + 1)) for k in (0, 1)) for t in range(len(sets.get(s, [])))]
+        t = certify(upto, sum(n for n, _ in by.values()), risk, alpha / len(counted))
         cutoffs[s] = {r: c for r, c in sets[s][t].items() if c < STEPS} if t is not None else {}
     return known, cutoffs
 

@@ -132,14 +132,18 @@ def test_joint_sets_against_brute_force():
     r = random.Random(4)
     rows = [({"a": min(50, int(r.expovariate(0.3))), "b": r.randrange(20)}, r.random() < 0.8) for _ in range(3000)]
     rows += [({"a": 45, "b": 5}, False) for _ in range(200)] + [({"a": 3, "b": 50}, False) for _ in range(100)]
-    good = {k: Counter(x[k] for x, g in rows[::4] if g) for k in "ab"}
-    sets = quality.design(good, 0.01)
-    n = sum(good["a"].values())
-    for t, cuts in enumerate(sets):
-        share = 0.01 * 2 ** ((t - quality.STRICT) / 4)
-        for k in "ab":
-            safe = [c for c in range(quality.STEPS + 1) if 1 + sum(v for b, v in good[k].items() if b > c) <= share * (n + 1) or c == quality.STEPS]
-            assert cuts[k] == min(safe)
+    part = rows[::4]
+    sets = quality.design({k: {b: (sum(x[k] == b and g for x, g in part), sum(x[k] == b and not g for x, g in part)) for b in range(51)} for k in "ab"}, 0.01)
+    cuts, n = {"a": 50, "b": 50}, sum(g for _, g in part)
+    for got in sets:
+        def gain(k, c):
+            return sum(c < x[k] <= cuts[k] and not g for x, g in part) / (1 + sum(c < x[k] <= cuts[k] and g for x, g in part))
+
+        best = max(((gain(k, c), c, -"ab".index(k)) for k in "ab" for c in range(cuts[k])), default=None)
+        k = "ab"[-best[2]]
+        assert got == {**cuts, k: best[1]}
+        cuts = got
+    assert sets and sum(x["b"] > 49 and not g for x, g in part) and sets[0]["b"] == 49 or sets[0]["a"] >= 40
     test = [x for i, x in enumerate(rows) if i % 4]
     gone = lambda x, cuts: any(x[k] > cuts[k] for k in "ab")
     upto = [(sum(gone(x, c) for x, g in test if g), sum(gone(x, c) for x, g in test if not g)) for c in sets]
