@@ -26,6 +26,8 @@ BUCKET_BITS = 16
 SKETCH = 16
 #: Each turn has so many times the hubs of the turn before.
 MORE_HUBS = 8
+#: Narrow rows that a row with a line's text counts as when tasks are sized.
+TEXT = 16
 
 
 def shingles(line: Column) -> Column:
@@ -86,7 +88,7 @@ def _shared(each: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int, rows: int) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least percent / 100. rows: how many texts there are."""
     of = texts.select(F.col("kl").alias("a"), F.col("line").alias("la")).join(pairs.select("a").distinct(), "a", "left_semi").repartition("a")
-    x = sized(pairs.select("a", "b").join(texts.select(F.col("kl").alias("b"), F.col("line").alias("lb")), "b"), rows)
+    x = sized(pairs.select("a", "b").join(texts.select(F.col("kl").alias("b"), F.col("line").alias("lb")), "b"), TEXT * rows)
     # The set of a is made once for all its pairs, where the pairs meet it: texts are dealt, not sets.
     x = x.join(of.select("a", F.array_distinct(shingles(F.col("la"))).alias("sa")), "a")
     x = x.select("a", "b", F.explode(F.array(F.struct("sa", F.array_distinct(shingles(F.col("lb"))).alias("sb")))).alias("s"))  # so that sets are made once, not for each use
@@ -166,7 +168,7 @@ def line_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame
     ends = members.select("kl").distinct()
     texts = checkpoint(_among(lines.select("kl", "line"), ends).join(ends, "kl", "left_semi").dropDuplicates(["kl"]))
     rows = texts.count()
-    texts = sized(texts, rows)
+    texts = sized(texts, TEXT * rows)
     known = checkpoint(_sketched(texts))
     tested = members.filter("kl != hub").select("kl", "hub").distinct().join(known, "kl").join(known.select(F.col("kl").alias("hub"), F.struct(F.col("kl"), "n", "k").alias("h")), "hub")
     tested = checkpoint(sized(tested.filter(_can_link(percent)).select(*_pair()), rows))
