@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, components, table, with_fields
 from .kernel import lower, mix, text_blocks, windows, word_hashes, words
-from .sketch import ROWS, bitmaps, lookup, slice_rows
+from .sketch import ROWS, WIDEST, bitmaps, lookup, slice_rows, width
 
-#: Shingles are counted by 46 bits and marked in bitmaps of 2 ** (SLICE_BITS + INDEX_BITS) bits.
-SLICE_BITS, LOW_BITS, INDEX_BITS = 13, 32, 13
+#: Shingles are counted by LOW_BITS bits within a slice and marked by up to INDEX_BITS of these; a slice is for some 2 ** SLICE_LOAD words, and there are at most 2 ** SLICES.
+LOW_BITS, INDEX_BITS, SLICE_LOAD, SLICES = 32, 13, 14, 18
 #: A shingle of at least so many documents is common: it comes last in every order.
 COMMON = 32
 #: Sets that share a prefix token are compared pair by pair up to this number, beyond it with hubs.
@@ -168,10 +168,14 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
 
+    bits = width(docs)
+    slice_bits = min(SLICES, bits - SLICE_LOAD)
+    index_bits = min(INDEX_BITS, WIDEST - slice_bits)
+
     def count(batches):
-        yield from slice_rows((t for b in batches for _, t in shingle_sets(b.column(0), size)), 1, SLICE_BITS, LOW_BITS, lambda keys, d: keys)
+        yield from slice_rows((t for b in batches for _, t in shingle_sets(b.column(0), size)), 1, slice_bits, LOW_BITS, COMMON, lambda keys, d: keys)
 
-    seen = spark.sparkContext.broadcast(bitmaps(docs.select("text").mapInArrow(count, ROWS), 1, SLICE_BITS, LOW_BITS, INDEX_BITS, (2, COMMON)))
+    seen = spark.sparkContext.broadcast(bitmaps(docs.select("text").mapInArrow(count, ROWS), 1, slice_bits, LOW_BITS, index_bits, (2, COMMON)))
 
     def nodes(batches):
         for b in batches:

@@ -1,8 +1,9 @@
 """Counts of 64-bit keys over all data, as bitmaps of bounded size.
 
-Map tasks deal their keys to slices by their top bits, as sorted arrays of the following bits; a
-reducer for each slice counts these and gives bits for "seen at least so often". Nothing but the
-bitmaps, whose size is set by ``bits``, reaches the driver.
+Map tasks deal their keys to slices by their top bits, as sorted arrays of the following bits, each
+key at most as often as counts are told apart; a reducer for each slice merges these as they come
+and gives bits for "seen at least so often". Nothing but the bitmaps, whose width follows the number
+of keys up to 2 ** WIDEST bits, reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,13 +13,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FLUSH = 1 << 22
+#: log2 of the bits of the narrowest and the widest bitmap; beyond it more keys share a bit, and filters by it let more through.
+NARROWEST, WIDEST = 18, 30
+#: Bytes of text that a word takes, about.
+WORD_BYTES = 6
 
 
-def slices(keys: np.ndarray, slice_bits: int, low_bits: int) -> Iterator[tuple[int, bytes]]:
-    """(slice, the next low_bits bits of its keys in order) of 64-bit keys."""
-    cells = np.sort(keys >> np.uint64(64 - slice_bits - low_bits))
+def width(docs: DataFrame) -> int:
+    """log2 of the number of words of docs, about, within bounds: the text's bytes are counted without Python."""
+    n = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(WIDEST, max(NARROWEST, (n // WORD_BYTES).bit_length() - 1))
+
+
+def capped(cells: np.ndarray, most: int) -> np.ndarray:
+    """Sorted cells, each at most so often."""
+    keep = np.ones(len(cells), bool)
+    keep[most:] = cells[most:] != cells[:-most]
+    return cells[keep]
+
+
+def slices(keys: np.ndarray, slice_bits: int, low_bits: int, most: int) -> Iterator[tuple[int, bytes]]:
+    """(slice, the next low_bits bits of its keys in order, each at most so often) of 64-bit keys."""
+    cells = capped(np.sort(keys >> np.uint64(64 - slice_bits - low_bits)), most)
     cuts = np.searchsorted(cells, np.arange((1 << slice_bits) + 1, dtype=np.uint64) << np.uint64(low_bits))
     low = cells.astype(np.uint16 if low_bits <= 16 else np.uint32)
     if low_bits < 16:
@@ -27,14 +46,14 @@ def slices(keys: np.ndarray, slice_bits: int, low_bits: int) -> Iterator[tuple[i
         yield int(s), low[cuts[s] : cuts[s + 1]].tobytes()
 
 
-def slice_rows(arrays: Iterator[np.ndarray], depth: int, slice_bits: int, low_bits: int, rehash) -> Iterator[pa.RecordBatch]:
+def slice_rows(arrays: Iterator[np.ndarray], depth: int, slice_bits: int, low_bits: int, most: int, rehash) -> Iterator[pa.RecordBatch]:
     """Rows (d, slice, cells) of arrays of keys, some millions of keys at a time; rehash(keys, d) gives row d's keys."""
     held: list[np.ndarray] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
         keys = np.concatenate(held)
         for d in range(depth):
-            found = list(slices(rehash(keys, d), slice_bits, low_bits))
+            found = list(slices(rehash(keys, d), slice_bits, low_bits, most))
             yield pa.RecordBatch.from_arrays([pa.array([d] * len(found), pa.int32()), pa.array([s for s, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary())], names=["d", "slice", "cells"])
 
     n = 0
@@ -71,10 +90,17 @@ def bitmaps(rows: DataFrame, depth: int, slice_bits: int, low_bits: int, index_b
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: list[np.ndarray] = []
         d = s = None
+        n, limit = 0, FLUSH
         for b in batches:
             if b.num_rows:
                 d, s = b.column(0)[0].as_py(), b.column(1)[0].as_py()
-                cells += [np.frombuffer(x.as_py(), kind) for x in b.column(2)]
+            for x in b.column(2):
+                cells.append(np.frombuffer(x.as_py(), kind))
+                n += len(cells[-1])
+                if n > limit:
+                    cells = [capped(np.sort(np.concatenate(cells)), max(least))]
+                    n = len(cells[0])
+                    limit = max(FLUSH, 2 * n)
         if d is not None:
             yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in _seen(np.concatenate(cells), low_bits, index_bits, least))], names=names)
 

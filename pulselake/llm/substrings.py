@@ -6,17 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import aside, table, with_fields
 from .kernel import mix, text_blocks, windows, word_hashes, words
-from .sketch import ROWS, bitmaps, lookup, slice_rows
+from .sketch import ROWS, bitmaps, lookup, slice_rows, width
 
 #: Words of an anchor: the window's inner run of words with the smallest hash.
 ANCHOR = 8
-#: The sketch has DEPTH rows of 2 ** (SLICE_BITS + CELL_BITS) cells.
-DEPTH, SLICE_BITS, CELL_BITS = 2, 11, 16
+#: The sketch has DEPTH rows of about as many cells as there are words, in slices of 2 ** CELL_BITS.
+DEPTH, CELL_BITS = 2, 16
 
 
 def _row_key(keys: np.ndarray, d: int) -> np.ndarray:
@@ -66,6 +67,8 @@ def repeated_windows(docs: DataFrame, size: int = 20) -> DataFrame:
     group repeat. With more data than the sketch tells apart, more windows are grouped; none is lost.
     """
 
+    slice_bits = width(docs) - CELL_BITS
+
     def count(batches):
         def arrays() -> Iterator[np.ndarray]:
             for b in batches:
@@ -74,15 +77,17 @@ def repeated_windows(docs: DataFrame, size: int = 20) -> DataFrame:
                     new = np.flatnonzero(np.diff(place, prepend=-1))
                     yield low[new]
 
-        yield from slice_rows(arrays(), DEPTH, SLICE_BITS, CELL_BITS, _row_key)
+        yield from slice_rows(arrays(), DEPTH, slice_bits, CELL_BITS, 2, _row_key)
 
-    seen = bitmaps(docs.select("text").mapInArrow(count, ROWS), DEPTH, SLICE_BITS, CELL_BITS, CELL_BITS, (2,))[0]
-    sent = docs.sparkSession.sparkContext.broadcast(seen)  # DEPTH * 2 ** (SLICE_BITS + CELL_BITS - 3) bytes
+    seen = bitmaps(docs.select("text").mapInArrow(count, ROWS), DEPTH, slice_bits, CELL_BITS, CELL_BITS, (2,))[0]
+    sent = docs.sparkSession.sparkContext.broadcast(seen)  # DEPTH * 2 ** (WIDEST - 3) bytes at most
 
     def find(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            known, texts = b.column(0).is_valid().to_numpy(zero_copy_only=False), b.column(1).to_numpy()
+            if not b.num_rows:
+                continue
+            ids = pc.rank(b.column(0), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()  # of any type, null first
+            texts = b.column(1).fill_null(0).to_numpy()
             found: list[list[np.ndarray]] = [[], [], [], []]
             for first, hashes, rows, base in _hashed(b):
                 at, key, _, low = anchors(hashes, rows, size)
@@ -101,12 +106,12 @@ def repeated_windows(docs: DataFrame, size: int = 20) -> DataFrame:
             key, more, row, start = map(np.concatenate, found)
             if not len(key):
                 continue
-            order = np.lexsort((start, texts[row], np.where(known[row], ids[row], 0).astype(np.int64), known[row], more, key))
+            order = np.lexsort((start, texts[row], ids[row], more, key))
             key, more, row, start = key[order], more[order], row[order], start[order]
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])))
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             # Rows with equal ids and texts are one document: their windows don't repeat each other.
-            same = (start == start[lead]) & (texts[row] == texts[row[lead]]) & (ids[row] == ids[row[lead]]) & (known[row] == known[row[lead]])
+            same = (start == start[lead]) & (texts[row] == texts[row[lead]]) & (ids[row] == ids[row[lead]])
             go, later = np.flatnonzero(new), np.flatnonzero(~same)
             later = later[np.argsort(row[later], kind="stable")]
             cuts = np.flatnonzero(np.diff(row[later], prepend=-1))

@@ -110,6 +110,39 @@ def test_substrings_repeated_rows_and_nothing(spark):
     assert substrings.remove_substrings(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind, ids", [("long", [None, 2**53, 2**53 + 1, 2**62]), ("string", [None, "9", "b", "é"]), ("date", None), ("decimal(30,2)", None)])
+def test_substrings_with_ids_of_any_kind(spark, kind, ids):
+    """Equal texts under a null id and three others in order: only the first of them keeps its words."""
+    x = spark.createDataFrame([(i, C.prose(25, 1)) for i in range(4)], "n long, text string").coalesce(1)
+    if ids:
+        x = x.join(spark.createDataFrame(list(enumerate(ids)), f"n long, doc_id {kind}"), "n")
+    else:
+        x = x.withColumn("doc_id", F.when(F.col("n") > 0, F.lit(7).cast(kind) if kind != "date" else F.expr("date_add(DATE'2020-01-01', cast(n as int))")))
+        x = x if kind == "date" else x.withColumn("doc_id", F.col("doc_id") + F.col("n").cast(kind))
+    for parts in (1, 3):
+        got = {r.n: r.n_removed for r in substrings.remove_substrings(x.repartition(parts)).collect()}
+        assert got == {0: 0, 1: 25, 2: 25, 3: 25}
+
+
+def test_sketch_counts_are_merged_as_they_come(spark, monkeypatch):
+    """Slices merged in small steps give the bits of plain counts."""
+    import numpy as np
+
+    from pulselake.llm import sketch
+
+    monkeypatch.setattr(sketch, "FLUSH", 50)
+    r = np.random.default_rng(1)
+    keys = r.integers(0, 40, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys = np.concatenate((keys, r.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2)))
+    rows = [(b["d"][i].as_py(), b["slice"][i].as_py(), b["cells"][i].as_py()) for p in np.array_split(keys, 7) for b in sketch.slice_rows(iter([p]), 1, 4, 16, 3, lambda k, d: k) for i in range(b.num_rows)]
+    seen = sketch.bitmaps(spark.createDataFrame(rows, sketch.ROWS), 1, 4, 16, 16, (2, 3))
+    values, n = np.unique(keys >> np.uint64(44), return_counts=True)
+    for k, least in enumerate((2, 3)):
+        want = np.zeros(1 << 20, bool)
+        want[values[n >= least]] = True
+        assert (np.unpackbits(seen[k, 0]).astype(bool) == want).all()
+
+
 def line_sets(line):
     """Shingles from word starts only, for lines of which either kind of shingle gives the same links."""
     starts = [i for i, c in enumerate(line) if not c.isspace() and (i == 0 or line[i - 1].isspace())]
