@@ -38,8 +38,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that resemble an earlier line of any document."""
-    return _back(dedup_lines(_aside(docs)), docs)
+    """Texts without the lines that resemble an earlier line of any document.
+
+    A document that has no words left by this is a copy of others and goes; documents that had none stay.
+    """
+    x = dedup_lines(_aside(docs))
+    return _back(x.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
