@@ -224,12 +224,43 @@ def test_pipeline_stages(spark, sf):
     assert used <= 1.05 * least + 1
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The first three stages against plain definitions, with nulls, empties, ties, copies and a very long text."""
+    import corpus_pipeline as P
+    import test_joins as J
+
+    from pulselake.llm import quality
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = C.frame(spark).filter("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = {r.doc_id: r.text for r in d.collect()}
+    fine = {}
+    for i, t in rows.items():
+        n, *_, repeated, _, _, _ = quality.measure_text(t or "")
+        if n >= 10 and 100 * repeated <= 20 * n:
+            fine[i] = t
+    x = P.checkpoint(P.quality(spark, d, str(tmp_path)))
+    assert {r.doc_id: r.text for r in x.collect()} == fine and len(fine) > 20
+    seen = [(i, k, line) for i in sorted(fine) for k, line in enumerate(fine[i].split("\n")) if line.strip()]
+    _, gone = J.brute_lines([((i, k), line) for i, k, line in seen])
+    left = {i: "\n".join(line for k, line in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in fine.items()}
+    left = {i: t for i, t in left.items() if t.strip()}
+    x = P.checkpoint(P.line_dedup(spark, x, str(tmp_path)))
+    assert {r.doc_id: r.text for r in x.collect()} == left and len(left) < len(fine)
+    more = spark.createDataFrame([(900 + i, C.prose(100, 77) + tail, "en", "web", 1) for i, tail in enumerate(("", " one", " two", ""))] + [(910, None, None, None, 0), (911, "", None, None, 0)], C.KIND)
+    x = x.union(more)
+    texts = {r.doc_id: r.text for r in x.collect()}
+    first = {c for _, _, c in J.groups(list(texts.items()), 5, 80)}
+    x = P.checkpoint(P.near_duplicates(spark, x, str(tmp_path)))
+    assert sorted(r.doc_id for r in x.collect()) == sorted(first) and {900, 910, 911} <= first and 901 not in first
+
+
 def test_pipeline_with_nothing_and_clashes(spark, tmp_path):
     import corpus_pipeline as P
 
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     d = C.clashing(C.frame(spark), "kept", "copies", "size", "n_lines", "component_id")
-    for docs in (d, d.limit(0)):
+    for docs, empty in ((d, False), (d.limit(0), True)):
         for _, stage in P.STAGES:
-            docs = stage(spark, docs, str(tmp_path))
-        docs.count()
+            docs = P.checkpoint(stage(spark, docs, str(tmp_path)))
+        assert (docs.count() > 0) == (not empty) and {"sequence_id", "offset"} <= set(docs.columns)
