@@ -88,8 +88,8 @@ NAMES = (
     ("osl", "open software", r"open software licen[cs]e"),
     ("afl-3.0", "academic free", r"academic free licen[cs]e(?: afl)?(?: v(?:ersion)?)? ?3(?: 0)?"),
     ("afl", "academic free", r"academic free licen[cs]e"),
-    ("artistic-1.0", "artistic", r"artistic licen[cs]e(?: v(?:ersion)?)? ?1(?: 0)?"),
-    ("artistic-2.0", "artistic", r"artistic licen[cs]e(?: v(?:ersion)?)? ?2(?: 0)?"),
+    ("artistic-1.0", "intent of this document", r"artistic licen[cs]e(?: v(?:ersion)?)? ?1(?: 0)?"),
+    ("artistic-2.0", "given free software package", r"artistic licen[cs]e(?: v(?:ersion)?)? ?2(?: 0)?"),
     ("artistic", "artistic", r"(?:perl )?artistic licen[cs]e"),
     ("bsl-1.0", "boost", r"boost software licen[cs]e(?: v(?:ersion)?)?(?: ?1(?: 0)?)?"),
     ("busl-1.1", "business source", r"business source licen[cs]e(?: v?(?:ersion)? ?1 1)?"),
@@ -142,7 +142,7 @@ CLAUSES = (
     ("mit", "free of charge", r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?"),
     ("mit", "without restriction", r"to deal in the software without restriction"),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse or promote", r"neither the name of .{1,90}? may be used to endorse or promote products"),
+    ("bsd-3-clause", "endorse or promote", r"neither the name of (?:\S+ ){1,60}?may be used to endorse or promote products"),
     ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software"),
     ("isc", "with or without fee", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
     ("apache-2.0", "you may not use this file", r"you may not use this file except in compliance with the license"),
@@ -156,6 +156,137 @@ CLAUSES = (
     ("bsl-1.0", "boost", r"distributed under the boost software license version 1 0"),
     ("warranty-disclaimer", "without warranty", r"without warranty of any kind(?: express or implied)?"),
     ("warranty-disclaimer", "as is", r"(?:software|work|data) is provided as is"),
+    ("mit", "substantial portions", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "publish distribute", r"the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit", "dealings in the software", r"out of or in connection with the software or the use or other dealings in the software"),
+    ("mit-modern-variant", "without written agreement", r"permission is hereby granted without written agreement and without licen[cs]e or royalty fees"),
+    ("x11", "x consortium", r"except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("bsd", "source code must retain", r"redistributions of source code must retain the above copyright notice(?: this list of conditions and the following disclaimer)?"),
+    ("bsd", "binary form must reproduce", r"redistributions in binary form must reproduce the above copyright notice(?: this list of conditions and the following disclaimer)?"),
+    ("bsd", "copyright holders and contributors", r"this software is provided by the copyright holders and contributors as is"),
+    ("bsd", "regents", r"this software is provided by the regents and contributors as is"),
+    ("bsd", "substitute goods", r"procurement of substitute goods or services loss of use data or profits"),
+    ("bsd-3-clause", "specific prior written permission", r"endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-3-clause-clear", "patent rights are granted", r"no express or implied licen[cs]es to any party s patent rights are granted by this licen[cs]e"),
+    ("bsd-4-clause", "acknowledgement", r"must display the following acknowledgement this product includes software developed by"),
+    ("bsd-2-clause-patent", "hereby grants to those", r"each copyright holder and contributor hereby grants to those receiving rights under this licen[cs]e a perpetual worldwide"),
+    ("isc", "permission notice appear in all copies", r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "disclaims all warranties", r"the author disclaims all warranties with regard to this software"),
+    ("0bsd", "with or without fee", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("hpnd", "without fee", r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee"),
+    ("hpnd", "supporting documentation", r"both that copyright notice and this permission notice appear in supporting documentation"),
+    ("ntp", "with or without fee", r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee"),
+    ("zlib", "held liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such"),
+    ("zlib", "removed or altered", r"this notice may not be removed or altered from any source distribution"),
+    ("libpng-2.0", "png reference library", r"the png reference library is supplied as is"),
+    ("apache-2.0", "apache", r"licensed under the apache license version 2 0 the license"),
+    ("apache-2.0", "limitations under the license", r"see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2.0", "agreed to in writing", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "contributor license agreements", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2.0", "each contributor hereby grants", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("apache-2.0", "notice text file", r"if the work includes a notice text file as part of its distribution"),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation"),
+    ("gpl", "free software you can", r"is free software you can redistribute it and or modify it under the terms of the gnu"),
+    ("gpl", "merchantability or fitness", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "you should have received", r"you should have received a copy of the gnu general public licen[cs]e"),
+    ("gpl", "franklin street", r"free software foundation inc 51 franklin st(?:reet)?"),
+    ("gpl", "temple place", r"free software foundation inc 59 temple place"),
+    ("gpl", "gnu org licenses", r"(?:see )?(?:http|https) www gnu org licenses"),
+    ("gpl-2.0", "version 2", r"as published by the free software foundation (?:either )?version 2(?: of the license)?"),
+    ("gpl-3.0", "version 3", r"as published by the free software foundation (?:either )?version 3(?: of the license)?"),
+    ("gpl-2.0", "gnu general public license version 2", r"gnu general public license version 2 june 1991"),
+    ("gpl-3.0", "gnu general public license version 3", r"gnu general public license version 3 29 june 2007"),
+    ("gpl", "freedom to share", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "copyleft license", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-3.0", "technological measure", r"no covered work shall be deemed part of an effective technological measure"),
+    ("gpl-classpath-exception", "classpath", r"(?:with|gnu) (?:the )?classpath exception"),
+    ("gpl-classpath-exception", "linking this library", r"linking this library statically or dynamically with other modules is making a combined work"),
+    ("gpl-gcc-exception", "gcc runtime", r"gcc runtime library exception"),
+    ("gpl-autoconf-exception", "autoconf", r"(?:generated by|output of) autoconf (?:\S+ ){0,20}?distribute (?:it|that file) under the same distribution terms"),
+    ("gpl-bison-exception", "bison parser skeleton", r"you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("lgpl", "you should have received", r"you should have received a copy of the gnu lesser general public licen[cs]e"),
+    ("lgpl", "you should have received", r"you should have received a copy of the gnu library general public licen[cs]e"),
+    ("lgpl-2.1", "gnu lesser general public license version 2", r"gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3.0", "gnu lesser general public license version 3", r"gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl", "uses the library", r"a work that uses the library"),
+    ("agpl", "you should have received", r"you should have received a copy of the gnu affero general public licen[cs]e"),
+    ("agpl-3.0", "remote network interaction", r"remote network interaction use with the gnu general public license"),
+    ("agpl-3.0", "corresponding source", r"an opportunity to receive the corresponding source of your version"),
+    ("gfdl", "copy distribute and or modify", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e"),
+    ("gfdl", "invariant sections", r"with no invariant sections(?: no)? front cover texts and no back cover texts"),
+    ("mpl-2.0", "mozilla org mpl", r"you can obtain one at (?:http|https) mozilla org mpl 2 0"),
+    ("mpl-2.0", "incompatible with secondary licenses", r"this source code form is incompatible with secondary licenses"),
+    ("mpl-1.1", "contents of this file are subject", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.0", "contents of this file are subject", r"the contents of this file are subject to the mozilla public license version 1 0"),
+    ("npl-1.1", "netscape", r"the contents of this file are subject to the netscape public license"),
+    ("cddl-1.0", "common development and distribution", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl-1.0", "common public license", r"the accompanying program is provided under the terms of this common public license"),
+    ("epl-1.0", "eclipse public license", r"the accompanying program is provided under the terms of this eclipse public license"),
+    ("epl-1.0", "eclipse public license v1", r"made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", "eclipse public license 2", r"made available under the terms of the eclipse public license 2 0"),
+    ("ipl-1.0", "ibm public license", r"the accompanying program is provided under the terms of this ibm public license"),
+    ("eupl", "licensed under the eupl", r"licensed under the eupl (?:version )?\d \d"),
+    ("artistic-1.0", "intent of this document", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", "given free software package", r"this license establishes the terms under which a given free software package may be copied modified distributed"),
+    ("perl", "under the same terms as", r"under the same terms as (?:the )?perl(?: \d)?(?: programming language system)? itself"),
+    ("ruby", "2 clause bsdl", r"you can redistribute it and or modify it under either the terms of the 2 clause bsdl"),
+    ("python-2.0", "making python available", r"psf is making python available to licensee on an as is basis"),
+    ("php-3.01", "php", r"this product includes php software freely available from"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("ssleay", "eric young", r"this product includes cryptographic software written by eric young"),
+    ("ijg", "jpeg", r"this software is based in part on the work of the independent jpeg group"),
+    ("ftl", "freetype", r"portions of this software are copyright (?:\S+ ){0,6}?the freetype project"),
+    ("icu", "notice s and this permission", r"provided that the above copyright notice s and this permission notice appear in all copies of the software"),
+    ("unicode", "data files or software", r"to deal in the data files or software without restriction"),
+    ("ofl-1.1", "font software", r"this font software is licensed under the sil open font license"),
+    ("ofl-1.1", "reserved font name", r"with reserved font name"),
+    ("bitstream-vera", "bitstream vera", r"bitstream vera is a trademark of bitstream"),
+    ("lppl", "latex project public", r"this work may be distributed and or modified under the conditions of the latex project public license"),
+    ("wtfpl", "distribute verbatim", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    ("unlicense", "anyone is free to copy", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", "dedicate any and all copyright", r"dedicate any and all copyright interest in the software to the public domain"),
+    ("cc0-1.0", "waived all copyright", r"has waived all copyright and related or neighboring rights"),
+    ("cc0-1.0", "affirmer", r"affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    ("cc-by", "creative commons", r"this work is licensed under a creative commons attribution(?: \d \d)?(?: international| unported)? licen[cs]e"),
+    ("cc-by-sa", "same or similar", r"you may distribute the resulting work only under the same or similar licen[cs]e"),
+    ("cc-by-nc", "commercial", r"you may not use (?:the|this) (?:material|work) for commercial purposes"),
+    ("cc-by-nd", "transform or build upon", r"if you remix transform or build upon the material you may not distribute the modified material"),
+    ("odbl-1.0", "under the open database", r"made available under the open database licen[cs]e"),
+    ("pddl-1.0", "public domain dedication", r"made available under the public domain dedication and licen[cs]e"),
+    ("boost", "obtaining a copy of the software and accompanying documentation", r"obtaining a copy of the software and accompanying documentation covered by this licen[cs]e"),
+    ("bsl-1.0", "boost org", r"(?:http|https) www boost org license 1 0 txt"),
+    ("ms-pl", "you accept this", r"if you use the software you accept this licen[cs]e if you do not accept the licen[cs]e do not use the software"),
+    ("upl-1.0", "larger work", r"each a larger work to which the software is contributed"),
+    ("busl-1.1", "business source", r"business source licen[cs]e(?: v?1 1)?"),
+    ("busl-1.1", "change date", r"effective on the change date or the fourth anniversary of the first publicly available distribution"),
+    ("sspl-1.0", "server side public", r"server side public licen[cs]e(?: v?(?:ersion)? ?1)?"),
+    ("sspl-1.0", "service source code", r"you must make the service source code available via network download"),
+    ("elastic-2.0", "elastic licen", r"elastic licen[cs]e(?: v?2 0| 2 0)?"),
+    ("commons-clause", "commons clause", r"commons clause licen[cs]e condition(?: v1 0)?"),
+    ("polyform", "polyform", r"polyform (?:noncommercial|small business|shield|strict|perimeter) licen[cs]e"),
+    ("json", "good not evil", r"the software shall be used for good not evil"),
+    ("beerware", "buy me a beer", r"if we meet some day and you think this stuff is worth it you can buy me a beer"),
+    ("public-domain", "public domain", r"(?:this|the) (?:work|software|file|code|program) is (?:hereby )?(?:in|placed in|released to|dedicated to) the public domain"),
+    ("public-domain", "united states government", r"(?:is )?a work of the (?:united states|u s) government(?: and is not subject to copyright)?"),
+    ("openrail", "openrail", r"(?:creativeml |bigscience )?openrail(?: m)?(?: licen[cs]e)?"),
+    ("llama-community", "llama", r"llama \d(?: \d)? community licen[cs]e(?: agreement)?"),
+    ("rail-restrictions", "use based restrictions", r"use based restrictions as referenced in paragraph \d+"),
+    ("research-only", "research purposes", r"for (?:non commercial )?(?:academic )?research purposes only"),
+    ("non-commercial", "non commercial use", r"for non commercial use only"),
+    ("internal-use", "internal use only", r"for internal use only(?: not for (?:re)?distribution)?"),
+    ("proprietary", "confidential", r"confidential and proprietary (?:information|material)"),
+    ("proprietary", "strictly prohibited", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: of this \S+)?(?: via any medium)? is strictly prohibited"),
+    ("proprietary", "no part of this", r"no part of this (?:publication|document|work|book) may be reproduced"),
+    ("proprietary", "trade secret", r"contains (?:the )?(?:valuable )?trade secrets (?:and|or) (?:proprietary|confidential) information"),
+    ("eula", "end user licen", r"end user licen[cs]e agreement"),
+    ("eula", "reverse engineer", r"you may not (?:\S+ ){0,6}?reverse engineer decompile or disassemble"),
+    ("warranty-disclaimer", "implied warranties", r"disclaims? all (?:express or )?implied warranties"),
+    ("warranty-disclaimer", "no warranty", r"there is no warranty for the program to the extent permitted by applicable law"),
+    ("liability-disclaimer", "consequential damages", r"for any direct indirect incidental special exemplary or consequential damages"),
+    ("liability-disclaimer", "liable", r"in no event shall the (?:authors?|copyright holders?|copyright owners?)(?: or (?:contributors|copyright holders))? be liable"),
+    ("patent-grant", "patent licen", r"(?:hereby )?grants? (?:to )?you (?:\S+ ){0,12}?patent licen[cs]e"),
+    ("trademark", "does not grant", r"does not grant (?:any )?(?:permission|rights?) (?:to use|in) the trade ?(?:names|marks)"),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d"),
 )
 #: Ways to name a license: priority (the lowest wins), weight, pattern around the name.

@@ -56,6 +56,27 @@ def test_licenses_containment():
         assert s.detections(text) == sorted(kept)
 
 
+def test_patterns_written_by_hand():
+    """Apart from what the forms make of names: 200 patterns and more, all different, each behind a keyword that it cannot match without."""
+    written = [*licenses.NAMES, *licenses.COMMONS, *licenses.CLAUSES]
+    assert len({x[-1] for x in written}) >= 230 and len(licenses.CLAUSES) >= 140
+    s = licenses.Scanner()
+    for label, text in (
+        ("bsd-3-clause", "Neither the name of the University of California, Lawrence Berkeley National Laboratory, U.S. Dept. of Energy nor the names of its contributors may be used to endorse or promote products"),
+        ("zlib", "Altered source versions must be plainly marked as such"), ("gfdl", "with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts"), ("busl-1.1", "Business Source License 1.1"),
+        ("mpl-2.0", "You can obtain one at https://mozilla.org/MPL/2.0/."), ("eula", "You may not copy, modify, reverse engineer, decompile or disassemble"), ("perl", "under the same terms as Perl itself"),
+    ):
+        normal = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(C.LOWER))).encode()
+        assert label in {x[2] for x in s.detections(normal)}, label
+
+
+def test_every_clause_needs_its_keyword():
+    """The keyword of a clause is part of some text that its pattern matches: of the pattern's literal words."""
+    for label, keyword, pattern in licenses.CLAUSES:
+        plain = re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", pattern)
+        assert keyword in plain or keyword in pattern, (label, keyword)
+
+
 def test_number_of_rules():
     assert len(licenses.rules()) >= 300
 
