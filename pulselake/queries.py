@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .config import FEATURE_FLOORS, FEATURE_WEIGHTS, FEATURES
 from .functions import scalars as S
-from .operators import frames, intervals, matching, overview, reports, review
+from .operators import frames, intervals, matching, overview, reports, review, separation
+from .sinks import tables
 from .streaming import pulses as streams
 
 LABELS = ["click", "error", "purchase", "view"]  # signup is left out on purpose: it counts as unknown
@@ -603,3 +604,144 @@ def stream_sessions(spark, sf):
 def stream_totals(spark, sf):
     """T6 as a stream."""
     return streams.completed(streams.running_totals(_stream(spark, sf), "user_id", "event_type", LABELS))
+
+
+# Tracks of one pulse: three neighbours in the table of embeddings. The first is a contour, the second
+# its double with small deviations and the same envelope, the third lies elsewhere.
+_TRACKS = """v AS (SELECT vec_id // 3 AS pulse, (vec_id % 3)::INT AS track, embedding AS e FROM embeddings),
+pt AS (SELECT pulse, track, f::INT AS frame, CASE track WHEN 0 THEN 30000 + 3000 * l[f + 1]::DOUBLE WHEN 1 THEN 2 * (30000 + 3000 * l[f + 1]::DOUBLE) * (1 + 0.002 * e[f + 1]::DOUBLE) ELSE 47000 + 2000 * e[f + 1]::DOUBLE END AS hz,
+  exp(3 * l[f + 33]::DOUBLE) * (1 + 0.1 * abs(e[f + 1]::DOUBLE)) AS power
+  FROM (SELECT v.*, w.e AS l FROM v JOIN v w ON w.pulse = v.pulse AND w.track = 0), range(32) r(f) WHERE NOT (track = 2 AND f > 24))"""
+_TOTALS = ", tt AS (SELECT pulse, track, count(*)::BIGINT AS n, min(frame) AS first, max(frame) AS last, sum(power) AS total_power, median(hz) AS median_hz FROM pt GROUP BY ALL)"
+
+
+def _track_points(spark, sf):
+    v = _t(spark, sf, "embeddings").select(F.expr("vec_id div 3").alias("pulse"), (F.col("vec_id") % 3).cast("int").alias("track"), F.col("embedding").cast("array<double>").alias("e"))
+    lead = v.filter("track = 0").select("pulse", F.col("e").alias("l"))
+    x = v.join(lead, "pulse").select("pulse", "track", "e", "l", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("frame")).filter("not (track = 2 and frame > 24)")
+    own, led, level = F.col("e")[F.col("frame")], F.col("l")[F.col("frame")], F.col("l")[F.col("frame") + 32]
+    base = 30000 + 3000 * led
+    hz = F.when(F.col("track") == 0, base).when(F.col("track") == 1, 2 * base * (1 + 0.002 * own)).otherwise(47000 + 2000 * own)
+    return x.select("pulse", "track", "frame", hz.alias("hz"), (F.exp(3 * level) * (1 + 0.1 * F.abs(own))).alias("power"))
+
+
+@query(f"WITH {_TRACKS}{_TOTALS} SELECT pulse, track, n, first, last, round(total_power, 4) AS total_power, round(median_hz, 4) AS median_hz FROM tt")
+def track_totals(spark, sf):
+    """A28."""
+    x = separation.track_totals(_track_points(spark, sf), ["pulse"])
+    return x.withColumns({"total_power": F.round("total_power", 4), "median_hz": F.round("median_hz", 4)})
+
+
+_PAIRS = f"""{_TRACKS}{_TOTALS}, s AS (SELECT p.*, n, first, last, median_hz FROM pt p JOIN tt USING (pulse, track)),
+j AS (SELECT a.pulse, a.track AS a_track, b.track AS b_track, a.hz AS ah, b.hz AS bh, a.n AS an, b.n AS bn, a.first AS af, b.first AS bf, a.last AS al, b.last AS bl, a.median_hz AS am, b.median_hz AS bm, b.hz / a.hz AS ratio,
+  abs(b.hz - a.hz) / 1000 AS gap, 10 * log10(greatest(a.power, 1e-18)) AS adb, 10 * log10(greatest(b.power, 1e-18)) AS bdb
+  FROM s a JOIN s b ON a.pulse = b.pulse AND a.frame = b.frame AND (a.median_hz < b.median_hz OR (a.median_hz = b.median_hz AND a.track < b.track))),
+o AS (SELECT pulse, a_track, b_track, count(*) AS common, median(ratio) AS mr, median(ah) AS low, median(bh) AS high, greatest(1, round_even(median(ratio), 0)) AS k, round_even(median(ratio), 0) AS ord FROM j GROUP BY ALL),
+x AS (SELECT *, bh / k AS scaled, bh / k - ah AS res FROM j JOIN o USING (pulse, a_track, b_track)),
+t AS (SELECT pulse, a_track, b_track, common, low, high, k, ord, an, bn, af, bf, al, bl, am, bm, avg((abs(ratio / k - 1) <= 0.06)::INT) AS cover, median(abs(ratio - mr)) / any_value(k) AS mad, max(ah) - min(ah) AS lows, max(scaled) - min(scaled) AS highs,
+  covar_pop(ah, scaled) / nullif(stddev_pop(ah) * stddev_pop(scaled), 0) AS cc, median(res) AS mres, stddev_pop(adb) AS asd, stddev_pop(bdb) AS bsd, covar_pop(adb, bdb) / nullif(stddev_pop(adb) * stddev_pop(bdb), 0) AS ec,
+  median(gap) AS gap_khz, avg((gap >= 1.5)::INT) AS resolved FROM x GROUP BY ALL),
+q AS (SELECT pulse, a_track, b_track, quantile_cont(abs(res - mres), 0.9) AS p90 FROM x JOIN t USING (pulse, a_track, b_track) GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_PAIRS} SELECT pulse, a_track, b_track, common >= 2 AND common / least(an, bn) >= 0.45 AND gap_khz >= 1.5 AND resolved >= 0.6 AS independent,
+    abs(greatest(bm / am, am / bm) - 2) / 2 <= 0.06 OR abs(greatest(bm / am, am / bm) - 3) / 3 <= 0.06 AS basic_harmonic, round(common / least(an, bn), 6) AS overlap, round(gap_khz, 4) AS gap_khz FROM t"""
+)
+def track_independence(spark, sf):
+    """J6, J8, F17, F18."""
+    x = separation.track_pairs(_track_points(spark, sf), ["pulse"])
+    return x.select("pulse", "a_track", "b_track", "independent", "basic_harmonic", F.round("overlap", 6).alias("overlap"), F.round("gap_khz", 4).alias("gap_khz"))
+
+
+@query(
+    f"""WITH {_PAIRS} SELECT pulse, a_track, b_track, ord::INT AS harmonic_order, common::INT AS common_frames, round(cover, 6) AS ratio_coverage, round(mad, 6) AS ratio_mad,
+    round(CASE WHEN greatest(lows, highs) > 750 THEN cc END, 5) AS contour_correlation, round(ec, 5) AS envelope_correlation FROM t JOIN q USING (pulse, a_track, b_track)
+    WHERE common >= 6 AND common / greatest(an, bn) >= 0.8 AND abs(af - bf) <= greatest(2, ceil(0.2 * greatest(al - af, bl - bf) + 0.2)) AND abs(al - bl) <= greatest(2, ceil(0.2 * greatest(al - af, bl - bf) + 0.2))
+    AND ord BETWEEN 2 AND 6 AND cover >= 0.9 AND mad <= 0.015 AND (greatest(lows, highs) <= 750 OR (least(lows, highs) >= 375 AND coalesce(cc >= 0.8, false)))
+    AND abs(mres) <= greatest(500, low * 0.015) AND p90 <= greatest(500, low * 0.015) AND least(asd, bsd) >= 1 AND coalesce(ec >= 0.75, false)"""
+)
+def harmonic_evidence(spark, sf):
+    """Pairs of which the upper track is a harmonic of the lower."""
+    x = separation.track_pairs(_track_points(spark, sf), ["pulse"]).filter("evidence is not null")
+    e = {"harmonic_order": F.col("evidence.order"), "common_frames": F.col("evidence.common_frames")}
+    e |= {c: F.round(f"evidence.{c}", d) for c, d in (("ratio_coverage", 6), ("ratio_mad", 6), ("contour_correlation", 5), ("envelope_correlation", 5))}
+    return x.select("pulse", "a_track", "b_track", *(v.alias(k) for k, v in e.items()))
+
+
+@query(f"WITH {_DESC} SELECT count(*)::BIGINT AS template_count, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, round(1.5 * max(duration_ms) + 10, 6) AS max_pulse_ms FROM e")
+def template_totals(spark, sf):
+    """A17, X4."""
+    x = matching.template_totals(_descriptors(spark, sf))
+    return x.select("template_count", F.array_join("labels", ",").alias("labels"), F.round("max_pulse_ms", 6).alias("max_pulse_ms"))
+
+
+@query(f"WITH {_ORDERS} SELECT recording_key, o_orderkey FROM o QUALIFY row_number() OVER (PARTITION BY recording_key ORDER BY start_s, o_orderkey) <= 3")
+def export_budget(spark, sf):
+    """A budget of three."""
+    return tables.within_budget(_orders(spark, sf), 3, order=("start_s", "o_orderkey")).select("recording_key", "o_orderkey")
+
+
+@query("SELECT p_brand AS segment_id, p_brand || '/npulse' || p_partkey || '.png' AS path FROM part WHERE p_type = (SELECT min(p_type) FROM part) AND p_size % 2 = 0")
+def gallery(spark, sf):
+    """Figures of one label whose file is there."""
+    p = _t(spark, sf, "part").select(F.col("p_brand").alias("segment_id"), F.col("p_type").alias("label"), "p_size", F.concat("p_brand", F.lit("/npulse"), "p_partkey", F.lit(".png")).alias("path"))
+    label = p.agg(F.min("label")).first()[0]
+    return review.gallery(p.select("segment_id", "label", "path"), p.filter("p_size % 2 = 0"), label).select("segment_id", "path")
+
+
+@query(
+    f"""WITH {_ORDERS}, d AS (SELECT DISTINCT o_orderkey AS pulse_key FROM o WHERE o_orderkey % 3 = 0), r AS (SELECT o_orderkey AS pulse_key FROM o WHERE snr_db > 200000)
+    SELECT DISTINCT pulse_key, 'candidate' AS status FROM r ANTI JOIN d USING (pulse_key)"""
+)
+def review_moves(spark, sf):
+    """Expensive orders become candidates; every third is one already."""
+    o = _orders(spark, sf).withColumn("pulse_key", F.col("o_orderkey"))
+    done = o.filter("o_orderkey % 3 = 0").select("pulse_key", F.lit("candidate").alias("status"), F.lit(1).alias("decided_at"))
+    return review.move_to_candidates(o.filter("snr_db > 200000"), o, done, F.lit(2)).select("pulse_key", "status")
+
+
+@query(
+    """WITH n AS (SELECT p_partkey, (p_size * 37 + p_partkey % 11)::BIGINT AS n FROM part)
+    SELECT p_partkey, greatest(128, least(1024, power(2, floor(log2(greatest(n, 1))))))::INT AS n_fft, greatest(8, floor(greatest(128, least(1024, power(2, floor(log2(greatest(n, 1)))))) / 16))::INT AS hop,
+    greatest(256, least(1024, power(2, floor(log2(greatest(n / 3, 1))))))::INT AS separation_window FROM n"""
+)
+def stft_sizes(spark, sf):
+    """windows for pieces of as many samples as a part's size tells."""
+    x = _t(spark, sf, "part").select("p_partkey", (F.col("p_size") * 37 + F.col("p_partkey") % 11).cast("long").alias("n"))
+    return x.select("p_partkey", S.stft_size(F.col("n"), 1024, 128, 8).alias("s"), S.separation_window(F.col("n")).alias("separation_window")).select("p_partkey", "s.n_fft", "s.hop", "separation_window")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, round(least(1, greatest(0, 0.45 * least(1, l_discount::DOUBLE * 10) + 0.35 * least(1, l_quantity::DOUBLE / 50 / 6 * 5) + 0.2 * least(1, greatest(0, 1 - l_tax::DOUBLE * 250 / 18)))), 6) AS confidence,
+    round(greatest(0, l_quantity::DOUBLE - l_tax::DOUBLE * 250), 6) AS snr_db, abs(greatest(l_quantity::DOUBLE / 10, 10 / l_quantity::DOUBLE) - 2) / 2 <= 0.06 OR abs(greatest(l_quantity::DOUBLE / 10, 10 / l_quantity::DOUBLE) - 3) / 3 <= 0.06 AS harmonic,
+    round(120000 - least(1, greatest(0, (l_quantity::DOUBLE - 2) / 40)) * 105000, 4) AS hz FROM lineitem"""
+)
+def source_measures(spark, sf):
+    """F17, F19, F21, F23."""
+    x = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *(F.col(f"l_{c}").cast("double").alias(c) for c in ("quantity", "discount", "tax")))
+    db = -F.col("tax") * 250
+    return x.select(
+        "l_orderkey", "l_linenumber", F.round(S.separation_confidence(F.col("discount") * 10, F.col("quantity") / 50 * 5, db), 6).alias("confidence"), F.round(S.relative_snr(F.col("quantity"), db), 6).alias("snr_db"),
+        S.is_harmonic(F.col("quantity") / 10).alias("harmonic"), F.round(S.pixel_to_hz(F.col("quantity"), F.lit(2.0), F.lit(40.0), F.lit(15000.0), F.lit(120000.0)), 4).alias("hz"),
+    )
+
+
+@query("SELECT p_partkey, sha256('{\"p_partkey\":' || p_partkey || ',\"p_size\":' || p_size || '}') AS fingerprint FROM part")
+def model_fingerprint(spark, sf):
+    """F7."""
+    return _t(spark, sf, "part").select("p_partkey", S.fingerprint("p_partkey", "p_size").alias("fingerprint"))
+
+
+# Time warping by diagonals of the cells: c1, l1 are costs and lengths of the last diagonal by row, c2, l2 of the one before. Cells off the band cost 1e300.
+_DTW = _MATCH.split(",\nm AS", 1)[0] + """, a AS (SELECT vec_id AS i, embedding[33:64]::DOUBLE[] AS x FROM embeddings),
+pr AS (SELECT q.vec_id AS q, t.vec_id AS t, list_transform(q1.x, lambda v: v * 10) AS x, list_transform(t1.x, lambda v: v * 10) AS y FROM e q, t, a q1, a t1 WHERE q.vec_id % 10 <> 0 AND q1.i = q.vec_id AND t1.i = t.vec_id),
+st AS (SELECT q, t, x, y, 1 AS d, list_transform(range(33), lambda i: 1e300) AS c1, list_transform(range(33), lambda i: 0.0::DOUBLE) AS l1, list_transform(range(33), lambda i: CASE WHEN i = 0 THEN 0.0 ELSE 1e300 END) AS c2, list_transform(range(33), lambda i: 0.0::DOUBLE) AS l2 FROM pr
+UNION ALL SELECT q, t, x, y, d + 1,
+  list_transform(range(33), lambda i: CASE WHEN i < 1 OR d + 1 - i < 1 OR d + 1 - i > 32 OR abs(d + 1 - 2 * i) > 4 THEN 1e300 ELSE abs(x[i] - y[d + 1 - i]) + least(c2[i], c1[i], c1[i + 1]) END),
+  list_transform(range(33), lambda i: CASE WHEN i < 1 OR d + 1 - i < 1 OR d + 1 - i > 32 OR abs(d + 1 - 2 * i) > 4 THEN 0.0 WHEN c2[i] <= c1[i] AND c2[i] <= c1[i + 1] THEN l2[i] + 1 WHEN c1[i] <= c1[i + 1] THEN l1[i] + 1 ELSE l1[i + 1] + 1 END),
+  c1, l1 FROM st WHERE d < 64),
+w AS (SELECT q AS vec_id, t AS ord, c1[33] / l1[33] AS far FROM st WHERE d = 64),
+m AS (SELECT q.vec_id, t.label, t.ord, 0.5 * """ + _SIM + """ + 0.5 * exp(-w.far / 6) AS score FROM e q JOIN w ON w.vec_id = q.vec_id JOIN t ON t.vec_id = w.ord JOIN sc ON sc.label = t.label),
+b AS (SELECT vec_id, label AS template_label, score FROM m QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 12) DESC, ord) = 1)"""
+SQL["dtw_similarity"] = _DTW.replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT vec_id, template_label, round(score, 6) AS score, CASE WHEN score >= 0.6 THEN template_label ELSE 'unknown' END AS predicted_label FROM b"
