@@ -26,13 +26,14 @@ def check_threshold(value: float) -> float:
 
 
 def select_low(analysis: Analysis, threshold: float = SCAN_THRESHOLD) -> DataFrame:
-    """Pulses below the threshold with COLUMNS and pcm if the analysis kept it, numbered by recording, chunk and time."""
+    """Pulses below the threshold with COLUMNS (empty if the analysis has none) and pcm if it kept that, numbered by recording, chunk and time."""
     x = matching.low_similarity(analysis.pulses, ["path", "chunk_index", "start_s", "component_id"], check_threshold(threshold))
-    return x.withColumns({
+    x = x.withColumns({
         "segment_id": F.concat_ws("__", "segment_id", "recording_key"), "segment_file": F.element_at(F.split("path", "/"), -1), "source_path": F.col("path"), "confidence_kind": F.lit("template_similarity"),
         "template_match_score": F.col("confidence"), "template_filename": F.col("pulse_file"), "harmonic_frequencies_khz": F.to_json("harmonic_frequencies_khz"),
         "pulse_file": F.concat(F.lit("templates/"), "pulse_file"), "pulse_spectrogram_file": F.lit(""), "pulse_spectrogram_status": F.lit("not_rendered"), "audio_export_error": F.lit(""),
     })
+    return x.select(*(F.col(c) if c in x.columns else F.lit("").alias(c) for c in COLUMNS), *(["pcm"] if "pcm" in x.columns else []))
 
 
 def scan(spark: SparkSession, root: str, templates: DataFrame, threshold: float = SCAN_THRESHOLD, config: SegmentConfig | None = None, with_audio: bool = True) -> tuple[DataFrame, DataFrame]:

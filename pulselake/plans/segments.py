@@ -19,7 +19,7 @@ from ..config import CORE_CONTEXT_MS, CORE_GAP_MS, CORE_PADDING_MS, FEATURES, ME
 from ..functions import descriptors, signal, tracks
 from ..functions.scalars import event_id, relative_snr, stft_size
 from ..operators import frames, intervals, matching, reports, separation
-from ..sources.recordings import PLACE, map_rows, read_clip, read_piece, recording_stats, recordings, spread, template_groups, whole_recordings
+from ..sources.recordings import PLACE, map_rows, read_clip, read_piece, recording_stats, recordings, require_recordings, spread, template_groups, whole_recordings
 from ..storage import checkpoint
 
 KEYS = ["recording_key", "chunk_index"]
@@ -268,8 +268,12 @@ def find_pulses(found: DataFrame, config: SegmentConfig = SegmentConfig(), with_
 
 
 def analyze(spark: SparkSession, root: str, templates: DataFrame, config: SegmentConfig = SegmentConfig(), with_audio: bool = False) -> Analysis:
-    """The whole analysis of the recordings below root, or of the one file root is."""
-    found = recordings(spark, root)
+    """The whole analysis of the recordings below root, or of the one file root is; FileNotFoundError if there are none."""
+    return analyze_found(require_recordings(spark, root), templates, config, with_audio)
+
+
+def analyze_found(found: DataFrame, templates: DataFrame, config: SegmentConfig = SegmentConfig(), with_audio: bool = False) -> Analysis:
+    """The analysis of some rows of recordings()."""
     pulses, metrics = find_pulses(found, config, with_audio)
     pulses = reports.number_pulses(pulses, "recording_key", ["start_s", "chunk_index", "candidate_id", "component_id"])
     pulses = pulses.withColumn("pulse_key", F.concat_ws("_", "recording_key", "pulse_id"))

@@ -244,10 +244,10 @@ def dtw_similarity(spark, sf):
     return _matched(spark, sf, "track").select("vec_id", "template_label", F.round("confidence", 6).alias("score"), "predicted_label")
 
 
-@query(_MATCH + " SELECT vec_id, template_label, round(score, 6) AS score, format('npulse{:06d}.wav', row_number() OVER (ORDER BY vec_id)) AS pulse_file FROM b WHERE score < 0.6")
+@query(_MATCH + " SELECT vec_id, template_label, round(score, 6) AS score, format('npulse{:06d}.wav', row_number() OVER (ORDER BY vec_id)) AS pulse_file FROM b WHERE score < 0.75")
 def low_similarity_scan(spark, sf):
     """P8, K10, Q15, at a threshold that some rows of the table are below."""
-    x = matching.low_similarity(_matched(spark, sf), ["vec_id"], 0.6)
+    x = matching.low_similarity(_matched(spark, sf), ["vec_id"], 0.75)
     return x.select("vec_id", "template_label", F.round("confidence", 6).alias("score"), "pulse_file")
 
 

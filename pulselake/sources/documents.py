@@ -20,7 +20,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, schema: StructType | str, pattern: str = "*.json") -> DataFrame:
     """One row per JSON file below path, with its path; _corrupt is the text of a file that is no JSON object of the schema."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     doc = F.from_json("value", schema)
     x = files.select(F.input_file_name().alias("path"), doc.alias("d"), "value")
     names = schema.names if isinstance(schema, StructType) else StructType.fromDDL(schema).names

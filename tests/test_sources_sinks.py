@@ -62,7 +62,7 @@ def test_csv_and_documents(spark, tmp_path):
     (tmp_path / "r.csv").write_text("﻿name,n,score\nä,3,0.5\nb,x,\n", encoding="utf-8")
     got = documents.read_csv(spark, str(tmp_path / "r.csv"), StructType.fromDDL("name string, n int, score double, more string")).collect()
     assert [tuple(r) for r in got] == [("ä", 3, 0.5, None), ("b", None, None, None)]
-    for name, doc in (("a", '{"version": 3, "status": "cancelled", "processed_until_s": 20.0}'), ("b", '{"version": 2, "status": "cancelled"}'), ("c", "{broken")):
+    for name, doc in (("a", '{\n "version": 3,\n "status": "cancelled",\n "processed_until_s": 20.0\n}'), ("b", '{"version": 2, "status": "cancelled"}'), ("c", "{broken")):
         (tmp_path / "runs" / name).mkdir(parents=True)
         (tmp_path / "runs" / name / "run_state.json").write_text(doc)
     found = documents.resumable_runs(spark, str(tmp_path / "runs")).collect()
