@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHUNK_SECONDS, OVERLAP_SECONDS, REFINE_OVERLAP, SAME_CENTRE_MS, SAME_OVERLAP
@@ -57,11 +57,15 @@ def greedy_dedup(pulses: DataFrame, keys: list[str], overlap: float = REFINE_OVE
     """A fold over a group's pulses by start, against the last one kept.
 
     A pulse that shares ``overlap`` of the shorter with the last kept one replaces it if its SNR is
-    higher and is dropped otherwise. Pulses have start_s, end_s, snr_db and the columns extra. A group
-    is one chunk, whose pulses have a fixed bound, so the array does too.
+    higher and is dropped otherwise. Pulses have start_s, end_s, snr_db and the columns extra. A pulse
+    that begins after all before it have ended overlaps none of them, so a group is first cut there by
+    a running maximum, and the fold holds one run of overlapping pulses, however many a group has.
     """
     item = F.struct("start_s", "end_s", "snr_db", *extra)
-    folded = pulses.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("p"))
+    by_start = Window.partitionBy(*keys).orderBy("start_s", "end_s")
+    apart = F.coalesce(F.col("start_s") >= F.max("end_s").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = pulses.withColumn("_apart", apart.cast("int")).withColumn("_run", F.sum("_apart").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    folded = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(item)).alias("p"))
 
     def step(kept: Column, x: Column) -> Column:
         last = F.element_at(kept, -1)
