@@ -40,6 +40,40 @@ def test_toxicity_on_the_held_out_fold(spark, labelled):
     assert len(model[0]) < 20_000  # sparse
 
 
+def test_ftrl_against_plain_updates():
+    """The published per-coordinate update, row by row and coordinate by coordinate, in plain Python."""
+    import math
+    import random
+
+    r = random.Random(2)
+    rows = []
+    for i in range(300):
+        y = int(r.random() < 0.3)
+        x = {r.randrange(10, 60) for _ in range(6)} | ({5} if y and r.random() < 0.8 else set()) | ({7} if r.random() < 0.5 else set())
+        rows.append((np.array(sorted(x)), y))
+    found, learned = toxicity.ftrl(rows, epochs=3)
+    rate = sum(y for _, y in rows) / len(rows)
+    l1 = toxicity.L1_SPREAD * math.sqrt(len(rows) * rate * (1 - rate))
+    z, n = {}, {}
+
+    def weight(i):
+        hold, zi = (0.0 if i == 0 else l1), z.get(i, 0.0)
+        if abs(zi) <= hold:
+            return 0.0
+        return -(zi - math.copysign(hold, zi)) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for x, y in rows:
+            ids = [0, *map(int, x)]
+            w = {i: weight(i) for i in ids}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in ids:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    assert dict(zip(found.tolist(), learned.tolist())) == pytest.approx(want, abs=1e-9) and 5 in want and len(want) < 30
+
+
 def test_toxicity_learns_nothing_from_the_fold(spark, labelled):
     docs, labels = labelled
     flipped = labels.withColumn("toxic", F.when(toxicity.bucket() == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
