@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import os
+from dataclasses import asdict, dataclass, fields
 
 # Results depend on them.
 SAMPLE_RATE = 250_000
@@ -86,3 +88,22 @@ class SegmentConfig:
             raise ValueError("unknown_label must not be blank, context_ms not negative")
         if self.overlap_seconds < minimum_overlap_seconds() or self.chunk_seconds <= self.overlap_seconds:
             raise ValueError(f"overlap_seconds must be at least {minimum_overlap_seconds():.5f} and less than chunk_seconds")
+
+
+def save_config(config: SegmentConfig, path: str) -> None:
+    """The configuration as a JSON file, put in place whole."""
+    part = f"{path}.part"
+    with open(part, "w", encoding="utf-8") as f:
+        json.dump(asdict(config), f, indent=2, sort_keys=True)
+    os.replace(part, path)
+
+
+def load_config(path: str) -> SegmentConfig:
+    """A saved configuration, checked; defaults for what the file lacks or if there is none. Names that are not known are ignored."""
+    if not os.path.exists(path):
+        return SegmentConfig()
+    with open(path, encoding="utf-8-sig") as f:
+        found = json.load(f)
+    if not isinstance(found, dict):
+        raise ValueError("the configuration must be a JSON object")
+    return SegmentConfig(**{k: v for k, v in found.items() if k in {x.name for x in fields(SegmentConfig)}})

@@ -54,6 +54,16 @@ def fingerprint(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
+def time_name(at: Column) -> Column:
+    """a time as part of a file's name, such as 20240131_235959."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
+def iso_time(at: Column) -> Column:
+    """ISO 8601 to the second."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def to_db(power: Column, reference: Column, floor: float = 1e-10, top: float | None = 80.0) -> Column:
     """Decibels below a reference, power at least floor, clipped at top below the reference."""
     db = 10 * F.log10(F.greatest(power, F.lit(floor))) - 10 * F.log10(F.greatest(reference, F.lit(floor)))

@@ -745,3 +745,10 @@ w AS (SELECT q AS vec_id, t AS ord, c1[33] / l1[33] AS far FROM st WHERE d = 64)
 m AS (SELECT q.vec_id, t.label, t.ord, 0.5 * """ + _SIM + """ + 0.5 * exp(-w.far / 6) AS score FROM e q JOIN w ON w.vec_id = q.vec_id JOIN t ON t.vec_id = w.ord JOIN sc ON sc.label = t.label),
 b AS (SELECT vec_id, label AS template_label, score FROM m QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 12) DESC, ord) = 1)"""
 SQL["dtw_similarity"] = _DTW.replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT vec_id, template_label, round(score, 6) AS score, CASE WHEN score >= 0.6 THEN template_label ELSE 'unknown' END AS predicted_label FROM b"
+
+
+@query("SELECT event_id, strftime(ts::TIMESTAMP, '%Y%m%d_%H%M%S') AS time_name, strftime(ts::TIMESTAMP, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")
+def time_names(spark, sf):
+    """F27."""
+    at = F.col("ts").cast("timestamp")
+    return _t(spark, sf, "events").select("event_id", S.time_name(at).alias("time_name"), S.iso_time(at).alias("iso"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 from pathlib import Path
 
 import pyarrow as pa
@@ -104,6 +105,34 @@ def write_pulse_audio(pulses: DataFrame, folder: str, name: Column, pcm: str = "
     return x.mapInArrow(run, schema)
 
 
+def copy_files(files: DataFrame, folder: str, path: str = "path", name: str = "name") -> DataFrame:
+    """Copies each file to folder/name, both on file systems that all executors share: files with copy_error, empty where the copy is there.
+
+    A copy is put in place whole, so a retried task copies again; a name that leaves the folder is an error of its row.
+    """
+    from pyspark.sql.types import StructType
+
+    schema = StructType([*files.schema.fields]).add("copy_error", "string")
+    root = local(folder)
+
+    def run(batches):
+        for b in batches:
+            errors = []
+            for a, n in zip(b.column(b.schema.get_field_index(path)), b.column(b.schema.get_field_index(name))):
+                try:
+                    target = contained(root, n.as_py())
+                    target.parent.mkdir(parents=True, exist_ok=True)
+                    part = target.with_name(f"{target.name}.{os.getpid()}.part")
+                    shutil.copyfile(local(a.as_py()), part)
+                    os.replace(part, target)
+                    errors.append("")
+                except (OSError, ValueError) as e:
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(errors, pa.string())], names=schema.names)
+
+    return files.mapInArrow(run, schema)
+
+
 def contained(root: str, relative: str) -> Path:
     """The path of relative below root; ValueError if it leaves root."""
     path = (Path(root) / relative).resolve()

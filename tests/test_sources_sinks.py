@@ -125,3 +125,20 @@ def test_a_cluster_needs_a_shared_folder():
     for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError):
             storage.shared_folder(session(master))
+
+
+def test_copies_and_saved_configuration(spark, tmp_path):
+    from pulselake.config import SegmentConfig, load_config, save_config
+
+    (tmp_path / "a.txt").write_text("a")
+    rows = [(str(tmp_path / "a.txt"), "x/b.txt"), (str(tmp_path / "missing"), "c.txt"), (str(tmp_path / "a.txt"), "../out.txt")]
+    got = {r.name: r.copy_error for r in tables.copy_files(spark.createDataFrame(rows, "path string, name string"), str(tmp_path / "to")).collect()}
+    assert got["x/b.txt"] == "" and (tmp_path / "to/x/b.txt").read_text() == "a"
+    assert "FileNotFoundError" in got["c.txt"] and "ValueError" in got["../out.txt"] and not (tmp_path / "out.txt").exists()
+    path = str(tmp_path / "settings.json")
+    assert load_config(path) == SegmentConfig()
+    save_config(SegmentConfig(min_confidence=0.7), path)
+    assert load_config(path) == SegmentConfig(min_confidence=0.7)
+    (tmp_path / "settings.json").write_text('{"min_confidence": 2, "other": 1}')
+    with pytest.raises(ValueError):
+        load_config(path)
