@@ -82,7 +82,7 @@ def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
 def _shared(each: DataFrame) -> DataFrame:
     """The rows (band, kl) of bands with several lines, and each band's first line as hub."""
     ends = each.groupBy("band").agg(F.min("kl").alias("hub"), F.max("kl").alias("hi")).filter("hub < hi").select("band", "hub")
-    return each.select("band", "kl").join(ends, "band")
+    return each.select("band", "kl").join(ends.hint("shuffle_hash"), "band")  # few bands are shared, and the rows of all need no sort
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int, rows: int) -> DataFrame:
