@@ -128,7 +128,7 @@ def repeated_windows(docs: DataFrame, size: int = 20) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(find, f"doc_id {kind}, text_id long, k long, m long, start int, starts binary")
+    rows = docs.select("doc_id", F.hash("text").alias("text_id"), "text").mapInArrow(find, f"doc_id {kind}, text_id int, k long, m long, start int, starts binary")
     earlier = F.rank().over(Window.partitionBy("k", "m").orderBy("doc_id", "text_id", "start"))
     rows = rows.withColumn("r", earlier).filter("starts is not null or r > 1")
     one = F.coalesce("starts", F.to_binary(F.concat(*(F.substring(F.lpad(F.hex(F.col("start").cast("long")), 8, "0"), i, 2) for i in (7, 5, 3, 1))), F.lit("hex")))
@@ -145,7 +145,7 @@ def remove_substrings(docs: DataFrame, size: int = 20) -> DataFrame:
     and other texts they are ordered by a hash of the text. Null texts have no words. Columns of docs
     with the names of the result are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept").withColumn("_t", F.xxhash64("text"))
+    docs = docs.drop("n_words", "n_removed", "kept").withColumn("_t", F.hash("text"))
     found = repeated_windows(docs, size).select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_i"), F.col("starts").alias("_starts"))
     joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_i")), "left").drop("_d", "_i", "_t")
     schema = with_fields(docs.drop("_t").schema, n_words="long", n_removed="long", kept="string")
