@@ -159,7 +159,9 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
         uses = np.maximum(0, uses - enters * step)
         uses[leaves] = enters
         basis[:, leaves] = column
-        inverse = np.linalg.inv(basis)
+        inverse[leaves] /= step[leaves]
+        others = np.arange(len(uses)) != leaves
+        inverse[others] -= step[others, None] * inverse[leaves]
     return [([int(k) for k in basis[:, j]], int(uses[j] + 1e-6)) for j in range(len(uses))]
 
 
