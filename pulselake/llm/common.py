@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -101,3 +101,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(sized(low, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = checkpoint(sized(sized(small.filter("u > v"), n).distinct(), n))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def numbered(rows: DataFrame, order: list, per: list[str] = [], out: str = "number") -> DataFrame:  # noqa: B006
+    """rows with out: their place, from 0 on, within each value of per by order (columns or names).
+
+    One range sort of all rows: rows that tie in everything are dealt by their id, so no value holds a
+    task up. The sorted rows are kept, and each task's rows of a value are numbered from the number of
+    such rows in the tasks before it, which is one row for each task and value.
+    """
+    placed = rows.withColumn("_tie", F.monotonically_increasing_id())
+    placed = placed.repartitionByRange(*per, *order, "_tie").sortWithinPartitions(*per, *order, "_tie").drop("_tie")
+    placed = checkpoint(placed.withColumn("_place", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_place", 33))
+    counts = placed.groupBy(*per, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*per).orderBy("_part")) - F.col("_n")
+    starts = counts.select(*per, "_part", (before - F.col("_first")).alias("_start"))
+    return placed.join(F.broadcast(starts), [*per, "_part"]).withColumn(out, F.col("_place") + F.col("_start")).drop("_part", "_place", "_start")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, lines, media, mixing, ngram_join, packing, quality, substrings, toxicity
+from . import chat, importance, licenses, lines, media, mixing, ngram_join, packing, quality, sharding, substrings, toxicity, trie
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_substrings": substrings.op9_substrings,
     "op10_media": media.op10_media,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_importance": importance.op12_importance,
+    "op13_trie": trie.op13_trie,
 }
-SQL = {"op3_chat": chat.OP3_SQL, "op7_mixing": mixing.OP7_SQL}
+SQL = {"op3_chat": chat.OP3_SQL, "op7_mixing": mixing.OP7_SQL, "op11_sharding": sharding.OP11_SQL, "op12_importance": importance.OP12_SQL, "op13_trie": trie.OP13_SQL}
