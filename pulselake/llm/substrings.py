@@ -14,7 +14,7 @@ from .common import aside, table, with_fields
 from .kernel import mix, text_blocks, windows, word_hashes, words
 from .sketch import ROWS, bitmaps, lookup, slice_rows, width
 
-#: Words of an anchor: the window's inner run of words with the smallest hash.
+#: Words of an anchor, or all of a smaller window: the window's inner run of words with the smallest hash.
 ANCHOR = 8
 #: The sketch has DEPTH rows of about as many cells as there are words, in slices of 2 ** CELL_BITS.
 DEPTH, CELL_BITS = 2, 16
@@ -31,15 +31,16 @@ def anchors(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray
     places, and the count of an anchor is at least that of each window it stands for.
     """
     whole, at = windows(hashes, rows, size)
-    n = len(hashes) - ANCHOR + 1
+    anchor = min(ANCHOR, size)
+    n = len(hashes) - anchor + 1
     if not len(at):
         return at, whole, at, whole
-    inner = np.full(n, ANCHOR, np.uint64)
-    for k in range(ANCHOR):
+    inner = np.full(n, anchor, np.uint64)
+    for k in range(anchor):
         inner *= np.uint64(0x8EBC6AF09C88C6E3)
         inner += hashes[k : n + k]
     mix(inner)
-    span = size - ANCHOR + 1
+    span = size - anchor + 1
     low = inner[at].copy()
     for k in range(1, span):
         np.minimum(low, inner[at + k], out=low)
@@ -49,6 +50,14 @@ def anchors(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray
     return at, whole, place, low
 
 
+def runs(starts: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Pairs (first, how many) of runs of consecutive numbers; a run also ends at each of cuts."""
+    new = np.diff(starts, prepend=-2) != 1
+    new[cuts] = True
+    first = np.flatnonzero(new)
+    return np.stack((starts[first], np.diff(first, append=len(starts))), axis=1)
+
+
 def _hashed(batch: pa.RecordBatch):
     for first, data, offsets in text_blocks(batch.column(batch.schema.get_field_index("text"))):
         starts, ends, rows = words(data, offsets)
@@ -57,12 +66,13 @@ def _hashed(batch: pa.RecordBatch):
 
 
 def repeated_windows(docs: DataFrame, size: int = 20) -> DataFrame:
-    """Starts of windows that also start earlier: (doc_id, text_id, starts: array of packed int32 arrays).
+    """Starts of windows that also start earlier: (doc_id, text_id, starts: array of packed int32 pairs, first and how many in a row).
 
     Pass 1 merges the sketches of all partitions: counts of anchors in DEPTH rows of cells. Pass 2
     takes the windows whose anchor has a count of 2 or more in every row. That overestimates, so no
     repeated window is lost. Of equal ones in a batch only the first goes on, the others are known to
-    repeat; so a passage that a third of all rows holds is dealt as one row for each batch. Then
+    repeat, and go on as runs of starts; so a passage that a third of all rows holds is dealt as one row
+    for each batch. Then
     windows are grouped exactly, by 96 bits of two independent hashes, and all but the first of each
     group repeat. With more data than the sketch tells apart, more windows are grouped; none is lost.
     """
@@ -113,9 +123,11 @@ def repeated_windows(docs: DataFrame, size: int = 20) -> DataFrame:
             # Rows with equal ids and texts are one document: their windows don't repeat each other.
             same = (start == start[lead]) & (texts[row] == texts[row[lead]]) & (ids[row] == ids[row[lead]])
             go, later = np.flatnonzero(new), np.flatnonzero(~same)
-            later = later[np.argsort(row[later], kind="stable")]
+            later = later[np.lexsort((start[later], row[later]))]
             cuts = np.flatnonzero(np.diff(row[later], prepend=-1))
-            blobs = [x.astype("<i4").tobytes() for x in np.split(start[later], cuts[1:])] if len(later) else []
+            pairs = runs(start[later], cuts)
+            at = np.searchsorted(np.cumsum(pairs[:, 1]) - pairs[:, 1], cuts)  # the first run of each row
+            blobs = [x.astype("<i4").tobytes() for x in np.split(pairs, at[1:])] if len(later) else []
             owner = row[later][cuts]
             n, m = len(go), len(blobs)
             take = pa.array(np.concatenate((row[go], owner)))
@@ -128,10 +140,11 @@ def repeated_windows(docs: DataFrame, size: int = 20) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.hash("text").alias("text_id"), "text").mapInArrow(find, f"doc_id {kind}, text_id int, k long, m long, start int, starts binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(find, f"doc_id {kind}, text_id long, k long, m long, start int, starts binary")
     earlier = F.rank().over(Window.partitionBy("k", "m").orderBy("doc_id", "text_id", "start"))
     rows = rows.withColumn("r", earlier).filter("starts is not null or r > 1")
-    one = F.coalesce("starts", F.to_binary(F.concat(*(F.substring(F.lpad(F.hex(F.col("start").cast("long")), 8, "0"), i, 2) for i in (7, 5, 3, 1))), F.lit("hex")))
+    digits = F.lpad(F.hex(F.col("start").cast("long")), 8, "0")
+    one = F.coalesce("starts", F.to_binary(F.concat(*(F.substring(digits, i, 2) for i in (7, 5, 3, 1)), F.lit("01000000")), F.lit("hex")))
     return rows.groupBy("doc_id", "text_id").agg(F.collect_list(one).alias("starts"))
 
 
@@ -142,10 +155,13 @@ def remove_substrings(docs: DataFrame, size: int = 20) -> DataFrame:
     A word goes if a window of size words over it also starts earlier: in a smaller doc_id, or before
     in the same document. Windows are judged on the input. A null doc_id is smaller than all others;
     rows with the same doc_id and text are one document and get the same result; with the same doc_id
-    and other texts they are ordered by a hash of the text. Null texts have no words. Columns of docs
-    with the names of the result are replaced.
+    and other texts they are ordered by a 64-bit hash of the text, which also tells them apart. Null texts
+    have no words. Any size from 1 on; windows of fewer than 8 words are their own anchors. Columns of
+    docs with the names of the result are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept").withColumn("_t", F.hash("text"))
+    if size < 1:
+        raise ValueError("a window has one word at least")
+    docs = docs.drop("n_words", "n_removed", "kept").withColumn("_t", F.xxhash64("text"))
     found = repeated_windows(docs, size).select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_i"), F.col("starts").alias("_starts"))
     joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_i")), "left").drop("_d", "_i", "_t")
     schema = with_fields(docs.drop("_t").schema, n_words="long", n_removed="long", kept="string")
@@ -161,9 +177,11 @@ def remove_substrings(docs: DataFrame, size: int = 20) -> DataFrame:
                     n = len(found)
                     if starts.is_valid:
                         cover = np.zeros(n + 1, np.int64)
-                        for s in map(lambda x: np.frombuffer(x, "<i4"), starts.as_py()):
-                            np.add.at(cover, s, 1)
-                            np.add.at(cover, s + size, -1)
+                        for at, k in (np.frombuffer(x, "<i4").reshape(-1, 2).T for x in starts.as_py()):
+                            if (at + k + size > n + 1).any():
+                                raise ValueError("two texts of one doc_id have the same 64-bit hash")  # never mix them up
+                            np.add.at(cover, at, 1)
+                            np.add.at(cover, at + k + size - 1, -1)
                         gone = np.cumsum(cover[:n]) > 0
                         found = [w for w, g in zip(found, gone) if not g]
                     out.append((n, n - len(found), b" ".join(found)))

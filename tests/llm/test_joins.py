@@ -92,7 +92,7 @@ def windows_gone(rows, size=20):
     return out
 
 
-@pytest.mark.parametrize("size", [20, 9])
+@pytest.mark.parametrize("size", [20, 9, 5, 1])
 def test_substrings(spark, size):
     rows = [(i, t) for i, t in enumerate(C.texts(), 1)]
     d = C.clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), "n_words", "n_removed", "kept")
@@ -110,6 +110,21 @@ def test_substrings_repeated_rows_and_nothing(spark):
     assert substrings.remove_substrings(d.limit(0)).count() == 0
 
 
+def test_substrings_of_texts_with_one_short_hash(spark):
+    """Texts that 32 bits don't tell apart, under one id and under null ids, are documents of their own."""
+    shared = C.prose(30, 11)
+    rows = [(1, f"{shared} 65510"), (5, f"{shared} 65510"), (5, "w 19262"), (None, f"{shared} 100099"), (None, f"{shared} 241535")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert d.select(F.hash("text").alias("h")).distinct().count() < 4
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for parts in (1, 4) for r in substrings.remove_substrings(d.repartition(parts)).collect())
+    assert got == sorted(2 * [(0, 31, 0), (0, 31, 30), (1, 31, 30), (5, 31, 31), (5, 2, 0)])
+
+
+def test_substrings_of_no_words_are_refused(spark):
+    with pytest.raises(ValueError):
+        substrings.remove_substrings(C.frame(spark), 0)
+
+
 @pytest.mark.parametrize("kind, ids", [("long", [None, 2**53, 2**53 + 1, 2**62]), ("string", [None, "9", "b", "é"]), ("date", None), ("decimal(30,2)", None)])
 def test_substrings_with_ids_of_any_kind(spark, kind, ids):
     """Equal texts under a null id and three others in order: only the first of them keeps its words."""
