@@ -177,11 +177,11 @@ def remove_substrings(docs: DataFrame, size: int = 20) -> DataFrame:
                     n = len(found)
                     if starts.is_valid:
                         cover = np.zeros(n + 1, np.int64)
-                        for at, k in (np.frombuffer(x, "<i4").reshape(-1, 2).T for x in starts.as_py()):
-                            if (at + k + size > n + 1).any():
-                                raise ValueError("two texts of one doc_id have the same 64-bit hash")  # never mix them up
-                            np.add.at(cover, at, 1)
-                            np.add.at(cover, at + k + size - 1, -1)
+                        at, k = np.frombuffer(b"".join(starts.as_py()), "<i4").reshape(-1, 2).T
+                        if (at + k + size > n + 1).any():
+                            raise ValueError("two texts of one doc_id have the same 64-bit hash")  # never mix them up
+                        np.add.at(cover, at, 1)
+                        np.add.at(cover, at + k + size - 1, -1)
                         gone = np.cumsum(cover[:n]) > 0
                         found = [w for w, g in zip(found, gone) if not g]
                     out.append((n, n - len(found), b" ".join(found)))
