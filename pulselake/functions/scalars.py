@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import FEATURE_FLOORS, FEATURE_WEIGHTS
+from ..config import FEATURE_WEIGHTS
 
 #: Class names that a file's name alone gives (fixed values).
 NOISE_PULSE, SUSPICIOUS = "noise pulse", "可疑声波"
@@ -42,11 +42,25 @@ def event_id(key: Column, chunk: Column, candidate: Column) -> Column:
     return F.format_string("%s_chunk%06d_candidate%06d", key, chunk, candidate)
 
 
-def file_identity(content: Column, block: int = 1 << 20) -> Column:
-    """digest of a file's first block and, beyond two blocks, of its last."""
+#: Bytes of a file's first and last block that its identity is taken from.
+IDENTITY_BLOCK = 1 << 20
+
+
+def content_digest(head: Column, tail: Column) -> Column:
+    """digest of a file's first block and of its last one, which is empty up to two blocks."""
+    return F.sha2(F.concat(head, tail), 256)
+
+
+def identity(length: Column, head: Column, tail: Column) -> Column:
+    """A file's size and digest; null if it could not be read."""
+    return F.concat_ws(":", length, content_digest(head, tail))
+
+
+def file_identity(content: Column, block: int = IDENTITY_BLOCK) -> Column:
+    """the digest of a file's content."""
     n = F.octet_length(content)
     tail = F.when(n > 2 * block, F.substr(content, n - block + 1, F.lit(block))).otherwise(F.lit("").cast("binary"))
-    return F.sha2(F.concat(F.substr(content, F.lit(1), F.lit(block)), tail), 256)
+    return content_digest(F.substr(content, F.lit(1), F.lit(block)), tail)
 
 
 def fingerprint(*columns: Column) -> Column:
@@ -70,10 +84,6 @@ def to_db(power: Column, reference: Column, floor: float = 1e-10, top: float | N
     return db if top is None else F.greatest(db, F.lit(-top))
 
 
-def from_db(db: Column) -> Column:
-    return F.pow(F.lit(10.0), db / 10)
-
-
 def overlap_ratio(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Overlap of two intervals as a share of the shorter; 0 without overlap or for an empty one."""
     shared = F.greatest(F.lit(0.0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
@@ -109,10 +119,6 @@ def match_distance(score: Column) -> Column:
     return -F.log(F.greatest(score, F.lit(1e-12)))
 
 
-def scale_floor(feature: str) -> float:
-    return FEATURE_FLOORS[feature]
-
-
 def relative_snr(snr: Column, relative_db: Column) -> Column:
     """F21."""
     return F.greatest(F.lit(0.0), snr + relative_db)

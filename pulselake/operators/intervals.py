@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHUNK_SECONDS, OVERLAP_SECONDS, REFINE_OVERLAP, SAME_CENTRE_MS, SAME_OVERLAP
 from ..functions.scalars import overlap_ratio
+from .frames import top_rows
 
 
 def chunk_grid(recordings: DataFrame, duration: str = "duration_s", chunk_s: float = CHUNK_SECONDS, overlap_s: float = OVERLAP_SECONDS) -> DataFrame:
@@ -31,9 +32,11 @@ def same_pulse(a: str, b: str) -> Column:
     return (overlap_ratio(c(a, "start_s"), c(a, "end_s"), c(b, "start_s"), c(b, "end_s")) >= SAME_OVERLAP) | (F.abs(centre(a) - centre(b)) <= SAME_CENTRE_MS / 1000)
 
 
-def drop_repeats_across_chunks(pulses: DataFrame, key: str = "recording_key", bucket_s: float = 1.0, tail: int | None = 8) -> DataFrame:
+def drop_repeats_across_chunks(pulses: DataFrame, key: str = "recording_key", bucket_s: float = 1.0, tail: int | None = 8, before: DataFrame | None = None) -> DataFrame:
     """Pulses without those that an earlier pulse of the chunk before already shows; the first chunk wins.
 
+    before has pulses (key, chunk_index, start_s, end_s) of earlier chunks that are not among pulses.
+
     Pulses have start_s, end_s and chunk_index. Only the last ``tail`` pulses of the chunk before
     count (all if None). A range condition alone would pair every pulse with every other; buckets of
     bucket_s seconds, with each pulse of the earlier side in all buckets that it or its neighbourhood
@@ -41,11 +44,11 @@ def drop_repeats_across_chunks(pulses: DataFrame, key: str = "recording_key", bu
     """
     reach = SAME_CENTRE_MS / 1000
     bucket = lambda c: F.floor(c / bucket_s)
-    earlier = pulses
+    earlier = pulses.select(key, "chunk_index", "start_s", "end_s")
+    if before is not None:
+        earlier = earlier.unionByName(before.select(*earlier.columns))
     if tail is not None:
-        from .frames import top_rows
-
-        earlier = top_rows(pulses, [key, "chunk_index"], [F.desc("start_s"), F.desc("end_s")], tail, "_rank")
+        earlier = top_rows(earlier, [key, "chunk_index"], [F.desc("start_s"), F.desc("end_s")], tail, "_rank")
     earlier = earlier.select(F.col(key).alias("_key"), (F.col("chunk_index") + 1).alias("_chunk"), "start_s", "end_s", F.explode(F.sequence(bucket(F.col("start_s") - reach), bucket(F.col("end_s") + reach))).alias("_bucket"))
     later = pulses.withColumn("_b", F.explode(F.sequence(bucket(F.col("start_s")), bucket(F.col("end_s"))))).alias("n")
     met = later.join(earlier.alias("p"), (F.col(f"n.{key}") == F.col("p._key")) & (F.col("n.chunk_index") == F.col("p._chunk")) & (F.col("n._b") == F.col("p._bucket")) & same_pulse("p", "n"), "left_semi")

@@ -68,12 +68,10 @@ def rollup_counts(pulses: DataFrame, key: str, label: str) -> DataFrame:
     return pulses.rollup(key, label).agg(F.count("*").alias("n"))
 
 
-def number_pulses(pulses: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Ids p001, p002, ... within each recording."""
+def number_pulses(pulses: DataFrame, key: str, order: list[str], used: DataFrame | None = None) -> DataFrame:
+    """Ids p001, p002, ... within each recording, after those that used (key, n) says it has already."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return pulses.withColumn("pulse_id", F.format_string("p%03d", n))
-
-
-def failed_results(paths: DataFrame, message: Column) -> DataFrame:
-    """Result rows of recordings that could not be read."""
-    return paths.withColumns({"processing_status": F.lit("failed"), "error_message": message, "total_calls": F.lit(0).cast("long"), "duration_s": F.lit(0.0)})
+    if used is None:
+        return pulses.withColumn("pulse_id", F.format_string("p%03d", n))
+    x = pulses.withColumn("_n", n).join(used.select(key, F.col("n").alias("_used")), key, "left")
+    return x.withColumn("pulse_id", F.format_string("p%03d", F.col("_n") + F.coalesce("_used", F.lit(0)))).drop("_n", "_used")

@@ -1,9 +1,10 @@
-"""A whole run: a folder of recordings analysed in steps that can be resumed, and the results written.
+"""A whole run: recordings below a folder analysed in steps that can be resumed, and the results written.
 
 Below the run's folder, on a file system that the driver and all executors share:
 run_state.json (T7), model.json (K4), run_metadata.json (K5), segment_summary.csv and
-overall_summary.csv (K1), the tables predictions, chunks and recordings (a part for each step), and
-audio/ with the pulses of the export budget (K6, K7).
+overall_summary.csv (K1), the tables predictions, chunks, recordings, stats, tails and exports with a
+part for each step, the commit list of parts that count, and audio/ with the pulses of the export
+budget (K6, K7).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +20,19 @@ from pyspark.sql import functions as F
 
 from ..config import EXPORT_BUDGET, FEATURES, SegmentConfig
 from ..functions.scalars import fingerprint, safe_component
+from ..operators import frames, intervals
 from ..operators.matching import template_totals
+from ..operators.reports import run_totals
 from ..sinks import tables
 from ..sources.documents import resumable_runs
-from ..sources.recordings import local, require_recordings
-from .segments import Analysis, analyze_found
+from ..sources.recordings import local, recording_stats, require_recordings
+from ..storage import checkpoint
+from .commits import commit, commits, committed, exists, identities, progress, require_unchanged
+from .segments import Analysis, chunk_pulses, chunk_rows, label_names, label_pulses
 
 VERSION = 3
-TABLES = ("predictions", "chunks", "recordings")
+STATS = ("recording_key", "mean", "peak", "block_peak_median", "block_count")
+TAIL = ("recording_key", "chunk_index", "start_s", "end_s")
 
 
 def run_digest(templates: DataFrame, config: SegmentConfig) -> str:
@@ -34,89 +41,98 @@ def run_digest(templates: DataFrame, config: SegmentConfig) -> str:
     return hashlib.sha256((json.dumps(dataclasses.asdict(config), sort_keys=True) + one).encode()).hexdigest()
 
 
-def _state(spark: SparkSession, out: str, status: str, digest: str, seconds: float) -> None:
-    row = spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(status).alias("status"), F.lit(digest).alias("digest"), F.lit(float(seconds)).alias("processed_until_s"))
-    tables.write_document(row, f"{local(out)}/run_state.json")
-
-
-def _read(spark: SparkSession, out: str, name: str) -> DataFrame | None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.parquet(f"{out}/{name}").drop("step")
-
-
-def finished(spark: SparkSession, out: str, found: DataFrame) -> DataFrame | None:
-    """(recording_key, length) that earlier steps have finished. A file that has changed since is a ValueError, as its old results are there."""
-    done = _read(spark, out, "recordings")
-    if done is None:
-        return None
-    done = done.select("recording_key", F.col("length").alias("_length"))
-    if not done.join(found, "recording_key").filter("length != _length").isEmpty():
-        raise ValueError("recordings have changed since the run began")
-    return done
+def _state(spark: SparkSession, out: str, status: str, digest: str) -> None:
+    seconds = commits(spark, out).agg(F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("processed_until_s"))
+    tables.write_document(seconds.select(F.lit(VERSION).alias("version"), F.lit(status).alias("status"), F.lit(digest).alias("digest"), "processed_until_s"), f"{local(out)}/run_state.json")
+
+
+def _left(found: DataFrame, done: DataFrame, config: SegmentConfig, step_chunks: int) -> DataFrame:
+    """What is not committed yet: found with first and end (the next range of chunks), n_chunks, and ranges: how many are left. A recording without chunks has one empty range."""
+    n = F.when(F.col("error").isNull() & (F.col("duration_s") > 0), F.ceil(F.col("duration_s") / config.chunk_seconds)).otherwise(F.lit(0)).cast("int")
+    x = found.withColumn("n_chunks", n).join(done.select("recording_key", "done"), "recording_key", "left").filter("done is null or done < n_chunks")
+    x = x.withColumn("first", F.coalesce("done", F.lit(0))).drop("done")
+    return x.withColumns({"end": F.least("n_chunks", F.col("first") + step_chunks), "ranges": F.greatest(F.lit(1), F.ceil((F.col("n_chunks") - F.col("first")) / step_chunks).cast("int"))})
+
+
+def _steps(left: DataFrame, step_files: int) -> list[int]:
+    """Steps of each round of ranges, from the number of recordings by ranges left: one number for each."""
+    by = {r[0]: r[1] for r in left.groupBy("ranges").count().collect()}
+    return [-(-sum(n for k, n in by.items() if k > i) // step_files) for i in range(max(by, default=0))]
+
+
+def _step(spark: SparkSession, out: str, part: DataFrame, done: DataFrame, templates: DataFrame, config: SegmentConfig, with_audio: bool) -> None:
+    """Analyse the next range of chunks of some recordings, and commit it as one part."""
+    name = str(uuid.uuid4())
+    put = lambda rows, table: tables.write_table(rows, f"{out}/{table}/part={name}")
+    new = part.filter("first = 0")
+    put(new.drop("first", "end", "ranges", "n_chunks"), "recordings")
+    put(recording_stats(new).select(*STATS), "stats")
+    stats, earlier, tails = spark.read.parquet(f"{out}/stats/part={name}"), committed(spark, out, "stats"), committed(spark, out, "tails")
+    stats = stats if earlier is None else stats.unionByName(earlier)
+    ranges = part.select("recording_key", "first", "end")
+    chunks = chunk_rows(part.filter("error is null").join(stats, "recording_key"), config).filter("chunk_index >= first and chunk_index < end")
+    pulses, metrics = chunk_pulses(chunks, config, with_audio)
+    put(metrics, "chunks")
+    last = pulses.join(ranges.withColumn("chunk_index", F.col("end") - 1).drop("first", "end"), ["recording_key", "chunk_index"], "left_semi")
+    put(frames.top_rows(last.select(*TAIL), ["recording_key", "chunk_index"], [F.desc("start_s"), F.desc("end_s")], 8), "tails")
+    if tails is not None:
+        tails = tails.select(*TAIL).join(ranges.withColumn("chunk_index", F.col("first") - 1).drop("first", "end"), ["recording_key", "chunk_index"], "left_semi")
+    used = done.select("recording_key", F.col("n_pulses").alias("n"))
+    labelled = label_pulses(intervals.drop_repeats_across_chunks(pulses, bucket_s=1.0, before=tails), templates, config, used)
+    if with_audio:
+        labelled = labelled.persist()
+        file = F.concat(safe_component(F.col("segment_id")), F.lit("_"), F.col("pulse_key"), F.lit(".wav"))
+        put(tables.write_pulse_audio(tables.within_budget(labelled, EXPORT_BUDGET, used=used), f"{out}/audio", file), "exports")
+    put(labelled.drop("pcm"), "predictions")
+    labelled.unpersist()
+    counted = spark.read.parquet(f"{out}/predictions/part={name}").groupBy("recording_key").agg(F.count("*").alias("n_pulses"))
+    seconds = F.greatest(F.lit(0.0), F.least(F.coalesce("duration_s", F.lit(0.0)), F.col("end") * config.chunk_seconds) - F.col("first") * config.chunk_seconds)
+    rows = part.join(identities(part), "recording_key").join(counted, "recording_key", "left")
+    commit(rows.select("recording_key", F.col("first").alias("first_chunk"), F.col("end").alias("end_chunk"), F.coalesce("n_pulses", F.lit(0)).alias("n_pulses"), seconds.alias("seconds"), "identity"), out, name)
 
 
 def run(
     spark: SparkSession, root: str, templates: DataFrame, out: str, config: SegmentConfig = SegmentConfig(), step_files: int = 500, with_audio: bool = True,
-    should_stop: Callable[[], bool] = lambda: False, on_step: Callable[[int, int], None] = lambda done, all: None,
+    should_stop: Callable[[], bool] = lambda: False, on_step: Callable[[int, int], None] = lambda done, all: None, step_chunks: int = 360,
 ) -> str:
     """Analyse the recordings below root and write the results below out; the status: completed or cancelled.
 
-    Recordings are dealt by hash to steps of about step_files files; each step writes its part of the
-    tables, the list of recordings last, so a step that broke off is done again and replaces what it
-    left (T9, T13). Between steps should_stop is asked and on_step told (T10, T11, X1). Started again
-    in the same folder, a run goes on where it stopped; with another configuration or library, or if a
-    finished file has changed, it is a ValueError. Reports cover failed files too.
+    A step takes the next step_chunks chunks of some step_files recordings, dealt by hash; a long
+    recording takes several, one after another, with its statistics and the last pulses of the chunk
+    before read from what is committed. A step's tables count from its commit on (T7, T9, T13); what one
+    that broke off has left is never read. Between steps should_stop is asked and on_step told (T10,
+    T11, X1). Started again in the same folder, a run goes on in each recording after its last
+    committed chunk; with another configuration or library, or if the size or the first or last block
+    of a file with results has changed, it is a ValueError. Reports cover failed files too.
     """
-    found = require_recordings(spark, root)
+    found = checkpoint(require_recordings(spark, root))
     digest = run_digest(templates, config)
-    before = spark.read.schema("version int, status string, digest string, processed_until_s double").option("multiLine", True).json(f"{out}/run_state.json").collect() if _exists(spark, f"{out}/run_state.json") else []
-    if before and (before[0].version, before[0].digest) != (VERSION, digest):
+    state = spark.read.schema("version int, status string, digest string, processed_until_s double").option("multiLine", True).json(f"{out}/run_state.json").collect() if exists(spark, f"{out}/run_state.json") else []
+    if state and (state[0].version, state[0].digest) != (VERSION, digest):
         raise ValueError("the folder holds a run of another version, configuration or library")
+    require_unchanged(found, progress(commits(spark, out)))
     tables.write_document(_model(templates).withColumn("digest", F.lit(digest)), f"{local(out)}/model.json")
-    steps = max(1, -(-found.count() // step_files))
-    done = finished(spark, out, found)
-    left = found if done is None else found.join(done, "recording_key", "left_anti")
-    for step in range(steps):
-        _state(spark, out, "running", digest, _seconds(spark, out))
-        part = left.filter(F.pmod(F.xxhash64("recording_key"), F.lit(steps)) == step)
-        if not part.isEmpty():
-            a = analyze_found(part, templates, config, with_audio)
-            pulses = a.pulses.persist()
-            if with_audio:
-                tables.write_pulse_audio(tables.within_budget(pulses, EXPORT_BUDGET), f"{out}/audio", F.concat(safe_component(F.col("segment_id")), F.lit("_"), F.col("pulse_key"), F.lit(".wav"))).write.mode("overwrite").parquet(f"{out}/exports/step={step}")
-                pulses_out = pulses.drop("pcm")
-            else:
-                pulses_out = pulses
-            key = f"{step}-{steps}-{hashlib.sha256(str(_count(spark, out)).encode()).hexdigest()[:8]}"
-            for name, rows in zip(TABLES, (pulses_out, a.metrics, part)):
-                tables.write_table(rows, f"{out}/{name}/step={key}")
-            pulses.unpersist()
-        on_step(step + 1, steps)
-        if step + 1 < steps and should_stop():
-            _state(spark, out, "cancelled", digest, _seconds(spark, out))
-            return "cancelled"
+    _state(spark, out, "running", digest)
+    rounds = _steps(_left(found, progress(commits(spark, out)), config, step_chunks), step_files)
+    at = 0
+    for steps in rounds:
+        done = checkpoint(progress(commits(spark, out)))
+        left = checkpoint(_left(found, done, config, step_chunks))
+        for step in range(steps):
+            part = left.filter(F.pmod(F.xxhash64("recording_key"), F.lit(steps)) == step)
+            if not part.isEmpty():
+                _step(spark, out, part, done, templates, config, with_audio)
+                _state(spark, out, "running", digest)
+            at += 1
+            on_step(at, sum(rounds))
+            if at < sum(rounds) and should_stop():
+                _state(spark, out, "cancelled", digest)
+                return "cancelled"
     reports(spark, out, templates, config)
-    _state(spark, out, "completed", digest, _seconds(spark, out))
+    _state(spark, out, "completed", digest)
     return "completed"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _count(spark: SparkSession, out: str) -> int:
-    x = _read(spark, out, "recordings")
-    return 0 if x is None else x.count()
-
-
-def _seconds(spark: SparkSession, out: str) -> float:
-    x = _read(spark, out, "recordings")
-    return 0.0 if x is None else x.agg(F.sum("duration_s")).first()[0] or 0.0
-
-
 def _model(templates: DataFrame) -> DataFrame:
     """K4: totals of the library and its templates, as one row."""
     rows = templates.agg(F.array_sort(F.collect_list(F.struct("label", "file", *FEATURES))).alias("templates"))
@@ -124,10 +140,8 @@ def _model(templates: DataFrame) -> DataFrame:
 
 
 def whole(spark: SparkSession, out: str, templates: DataFrame, config: SegmentConfig) -> Analysis:
-    """The analysis that the tables of a run hold."""
-    labels = sorted(r[0] for r in templates.select("label").distinct().collect())  # one per class of a hand-kept library
-    parts = {name: _read(spark, out, name) for name in TABLES}
-    return Analysis(parts["recordings"], parts["chunks"], parts["predictions"], labels, config)
+    """The analysis that the committed parts of a run's tables hold."""
+    return Analysis(*(committed(spark, out, name) for name in ("recordings", "chunks", "predictions")), label_names(templates), config)
 
 
 def reports(spark: SparkSession, out: str, templates: DataFrame, config: SegmentConfig) -> None:
@@ -136,8 +150,6 @@ def reports(spark: SparkSession, out: str, templates: DataFrame, config: Segment
     summary = a.summary().persist()
     tables.write_report_csv(summary.orderBy("segment_path"), f"{local(out)}/segment_summary.csv")
     tables.write_report_csv(a.overall(), f"{local(out)}/overall_summary.csv")
-    from ..operators.reports import run_totals
-
     about = run_totals(summary).withColumns({"version": F.lit(VERSION), "labels": F.array(*(F.lit(x) for x in (*a.labels, config.unknown_label))), "config": F.lit(json.dumps(dataclasses.asdict(config), sort_keys=True))})
     tables.write_document(about, f"{local(out)}/run_metadata.json")
     summary.unpersist()

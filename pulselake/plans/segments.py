@@ -259,12 +259,23 @@ class Analysis:
         return reports.run_totals(self.summary())
 
 
-def find_pulses(found: DataFrame, config: SegmentConfig = SegmentConfig(), with_audio: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(pulses, metrics) of recordings: detection, refinement, ownership, separation, features, and repeats across chunks out."""
-    chunks = checkpoint(chunk_rows(recording_stats(found), config))
+def chunk_pulses(chunks: DataFrame, config: SegmentConfig = SegmentConfig(), with_audio: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pulses, metrics) of chunks: detection, refinement, ownership, separation and features. Repeats across chunks are still there."""
+    chunks = checkpoint(chunks)
     candidates, metrics = detect(chunk_energies(chunks, config.fast_skip))
-    x = components(refine(candidates, chunks), chunks, config, with_audio)
-    return intervals.drop_repeats_across_chunks(x, bucket_s=1.0), metrics
+    return components(refine(candidates, chunks), chunks, config, with_audio), metrics
+
+
+def label_pulses(pulses: DataFrame, templates: DataFrame, config: SegmentConfig = SegmentConfig(), used: DataFrame | None = None) -> DataFrame:
+    """Numbered pulses with their best template; used (recording_key, n) says how many pulses a recording has already."""
+    pulses = reports.number_pulses(pulses, "recording_key", ["start_s", "chunk_index", "candidate_id", "component_id"], used)
+    pulses = pulses.withColumn("pulse_key", F.concat_ws("_", "recording_key", "pulse_id"))
+    return matching.best_matches(pulses, templates, track="track", min_score=config.min_confidence, unknown=config.unknown_label)
+
+
+def label_names(templates: DataFrame) -> list[str]:
+    """The classes of a library kept by hand, one name each to the driver."""
+    return sorted(r[0] for r in templates.select("label").distinct().collect())
 
 
 def analyze(spark: SparkSession, root: str, templates: DataFrame, config: SegmentConfig = SegmentConfig(), with_audio: bool = False) -> Analysis:
@@ -274,9 +285,6 @@ def analyze(spark: SparkSession, root: str, templates: DataFrame, config: Segmen
 
 def analyze_found(found: DataFrame, templates: DataFrame, config: SegmentConfig = SegmentConfig(), with_audio: bool = False) -> Analysis:
     """The analysis of some rows of recordings()."""
-    pulses, metrics = find_pulses(found, config, with_audio)
-    pulses = reports.number_pulses(pulses, "recording_key", ["start_s", "chunk_index", "candidate_id", "component_id"])
-    pulses = pulses.withColumn("pulse_key", F.concat_ws("_", "recording_key", "pulse_id"))
-    labelled = matching.best_matches(pulses, templates, track="track", min_score=config.min_confidence, unknown=config.unknown_label)
-    labels = sorted(r[0] for r in templates.select("label").distinct().collect())  # one per class of a hand-kept library
-    return Analysis(found, metrics, labelled, labels, config)
+    pulses, metrics = chunk_pulses(chunk_rows(recording_stats(found), config), config, with_audio)
+    pulses = intervals.drop_repeats_across_chunks(pulses, bucket_s=1.0)
+    return Analysis(found, metrics, label_pulses(pulses, templates, config), label_names(templates), config)

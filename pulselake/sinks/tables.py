@@ -31,8 +31,8 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_report_csv(report: DataFrame, path: str, most_rows: int = 1_000_000) -> int:
-    """K1, K3: a small report as one CSV file with a byte order mark, put in place whole. ValueError beyond most_rows; rows come one partition at a time."""
+def write_report_csv(report: DataFrame, path: str) -> int:
+    """K1, K3: a report as one CSV file with a byte order mark, put in place whole. Rows come one partition at a time, however many there are."""
     rows, target = 0, Path(path)
     part = target.with_name(target.name + ".part")
     target.parent.mkdir(parents=True, exist_ok=True)
@@ -43,8 +43,6 @@ def write_report_csv(report: DataFrame, path: str, most_rows: int = 1_000_000) -
         out.writerow(report.columns)
         for r in report.toLocalIterator():
             rows += 1
-            if rows > most_rows:
-                raise ValueError(f"more than {most_rows} rows: use write_csv")
             out.writerow(["" if v is None else v for v in r])
     os.replace(part, target)
     return rows
@@ -63,9 +61,15 @@ def write_document(row: DataFrame, path: str) -> dict:
     return found[0]
 
 
-def within_budget(pulses: DataFrame, budget: int = EXPORT_BUDGET, key: str = "recording_key", order: tuple[str, ...] = ("start_s", "component_id")) -> DataFrame:
-    """The first pulses of each recording; for export only, counts never see it. Spark keeps at most budget rows a key before the shuffle."""
-    return pulses.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= budget).drop("_n")
+def within_budget(pulses: DataFrame, budget: int = EXPORT_BUDGET, key: str = "recording_key", order: tuple[str, ...] = ("start_s", "component_id"), used: DataFrame | None = None) -> DataFrame:
+    """The first pulses of each recording; for export only, counts never see it. Spark keeps at most budget rows a key before the shuffle.
+
+    used (key, n) says how many pulses before these each recording has already.
+    """
+    x = pulses.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= budget)
+    if used is not None:
+        x = x.join(used.select(key, F.col("n").alias("_used")), key, "left").filter(F.col("_n") + F.coalesce("_used", F.lit(0)) <= budget).drop("_used")
+    return x.drop("_n")
 
 
 def write_pulse_audio(pulses: DataFrame, folder: str, name: Column, pcm: str = "pcm", least_bytes: int = 44 + 2 * 32) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType, _parse_datatype_string
 
 from ..config import FILTER_MARGIN_SECONDS, SAMPLE_RATE
-from ..functions.scalars import class_from_stem, recording_key
+from ..functions.scalars import IDENTITY_BLOCK, class_from_stem, recording_key
 from ..functions.signal import highpass, resample, wav_header, wav_samples
 
 HEAD = 1 << 16
@@ -97,6 +97,24 @@ def recordings(spark: SparkSession, root: str) -> DataFrame:
     return x.select(recording_key(F.col("path")).alias("recording_key"), stem.alias("segment_id"), "*")
 
 
+def file_edges(found: DataFrame) -> DataFrame:
+    """recording_key, length, and head and tail: the first and, beyond two, the last IDENTITY_BLOCK bytes of each file; null if it cannot be read."""
+
+    def read(row: dict) -> list[dict]:
+        try:
+            with open(local(row["path"]), "rb") as f:
+                head, tail = f.read(IDENTITY_BLOCK), b""
+                if row["length"] > 2 * IDENTITY_BLOCK:
+                    f.seek(-IDENTITY_BLOCK, 2)
+                    tail = f.read()
+        except OSError:
+            head = tail = None
+        return [{**row, "head": head, "tail": tail}]
+
+    x = spread(found.select("recording_key", "path", "length"), "path")
+    return map_rows(x, read, "recording_key string, length bigint, head binary, tail binary", 1)
+
+
 def require_recordings(spark: SparkSession, root: str) -> DataFrame:
     """Recordings, or FileNotFoundError if there are none."""
     found = recordings(spark, root)
@@ -160,18 +178,16 @@ def recording_stats(found: DataFrame, block_s: float = 30.0) -> DataFrame:
     return x.withColumns({"peak": F.when(F.col("peak") > 0, F.col("peak")).otherwise(F.lit(1.0)), "block_peak_median": F.coalesce("block_peak_median", F.lit(0.0)), "block_count": F.coalesce("block_count", F.lit(0))})
 
 
-def whole_recordings(found: DataFrame, longest_s: float = 60.0) -> DataFrame:
+def whole_recordings(found: DataFrame) -> DataFrame:
     """S3: recordings with samples: whole, at SAMPLE_RATE, without non-finite values and mean, filtered, over their peak.
 
-    For templates, which are short: a file over longest_s seconds, under 64 samples or without any
-    signal gets its error set and no samples.
+    For templates: a task holds one file at a time, whatever its length. A file under 64 samples or
+    without any signal gets its error set and no samples.
     """
 
     def load(row: dict) -> list[dict]:
         if row["error"]:
             return [row]
-        if row["duration_s"] > longest_s:
-            return [{**row, "error": f"longer than {longest_s} s"}]
         y = resample(read_samples(row, 0, row["duration_s"]), row["sr"])
         y = y[np.isfinite(y)]
         y = highpass(y - y.mean()) if len(y) >= 64 else y[:0]
