@@ -31,8 +31,8 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_report_csv(report: DataFrame, path: str) -> int:
-    """K1, K3: a report as one CSV file with a byte order mark, put in place whole. Rows come one partition at a time, however many there are."""
+def write_report_csv(report: DataFrame, path: str, most_rows: int | None = None) -> int:
+    """K1, K3: a report as one CSV file with a byte order mark, put in place whole. Rows come one partition at a time; ValueError beyond most_rows, if that is given."""
     rows, target = 0, Path(path)
     part = target.with_name(target.name + ".part")
     target.parent.mkdir(parents=True, exist_ok=True)
@@ -43,6 +43,8 @@ def write_report_csv(report: DataFrame, path: str) -> int:
         out.writerow(report.columns)
         for r in report.toLocalIterator():
             rows += 1
+            if most_rows is not None and rows > most_rows:
+                raise ValueError(f"more than {most_rows} rows: use write_csv")
             out.writerow(["" if v is None else v for v in r])
     os.replace(part, target)
     return rows

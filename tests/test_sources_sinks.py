@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import sounds as S
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from pulselake.functions.signal import wav_bytes, wav_header, wav_samples
 from pulselake.sinks import tables
@@ -142,3 +142,19 @@ def test_copies_and_saved_configuration(spark, tmp_path):
     (tmp_path / "settings.json").write_text('{"min_confidence": 2, "other": 1}')
     with pytest.raises(ValueError):
         load_config(path)
+
+
+def test_csv_files_by_their_own_headers(spark, tmp_path):
+    """Three orders of columns, with and without a byte order mark, quotes, line breaks, columns that lack or are too many, and an empty file."""
+    files = {
+        "a.csv": "a,b\n1,x\n2,\"y\nz\"\n", "b.csv": "﻿b,a\nq,3\nr,4\n", "c.csv": "﻿\"other\",\"b\",\"a\"\n9,s,5\n9,,six\n",
+        "d.csv": "a\n7\n", "e.csv": "", "f.csv": "b,a,b\nno,8,yes\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, encoding="utf-8", newline="")
+    kind = StructType([StructField("a", IntegerType()), StructField("b", StringType())])
+    got = sorted(map(tuple, documents.read_csv(spark, str(tmp_path), kind).collect()), key=repr)
+    assert got == sorted([(1, "x"), (2, "y\nz"), (3, "q"), (4, "r"), (5, "s"), (None, None), (7, None), (8, "yes")], key=repr)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none/e.csv").write_text("")
+    assert documents.read_csv(spark, str(tmp_path / "none"), kind).count() == 0
