@@ -98,9 +98,11 @@ def stft_size(samples: Column, largest: int, smallest: int, least_hop: int) -> C
     return F.struct(n.alias("n_fft"), F.greatest(F.lit(least_hop), F.floor(n / 16).cast("int")).alias("hop"))
 
 
-def separation_window(samples: Column, smallest: int = 256, largest: int = 1024) -> Column:
-    """adaptive window, the power of two under a third of the samples."""
-    return F.greatest(F.lit(smallest), F.least(F.lit(largest), F.pow(F.lit(2), F.floor(F.log2(F.greatest(samples / 3, F.lit(1.0))))).cast("int")))
+def separation_window(samples: Column, mode: str = "fixed", smallest: int = 256, largest: int = 1024) -> Column:
+    """window of a pulse's spectrum: smallest, or with "adaptive" the power of two under a third of the samples; never longer than the pulse."""
+    power = F.pow(F.lit(2), F.floor(F.log2(F.greatest(samples / 3, F.lit(1.0))))).cast("int")
+    window = F.greatest(F.lit(smallest), F.least(F.lit(largest), power)) if mode == "adaptive" else F.lit(smallest)
+    return F.least(samples, window).cast("int")
 
 
 def feature_similarity(value: dict[str, Column], template: dict[str, Column], scale: dict[str, Column]) -> Column:
@@ -130,7 +132,7 @@ def is_harmonic(ratio: Column, tolerance: float = 0.06) -> Column:
     return (F.abs(r - 2) / 2 <= tolerance) | (F.abs(r - 3) / 3 <= tolerance)
 
 
-def separation_confidence(overlap: Column, gap_khz: Column, relative_db: Column, gap_full: float = 6.0, db_range: float = 18.0) -> Column:
+def separation_confidence(overlap: Column, gap_khz: Column, relative_db: Column, gap_full: float = 3.0, db_range: float = 18.0) -> Column:
     """overlap, frequency gap and energy of a second source, weighed and clipped to 0 to 1."""
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     return unit(0.45 * unit(overlap) + 0.35 * unit(gap_khz / gap_full) + 0.20 * unit(1 + relative_db / db_range))

@@ -8,7 +8,7 @@ from ..config import SAMPLE_RATE
 from .signal import band, local_peaks, stft
 
 # Results depend on them.
-N_FFT, HOP, WINDOW, MAX_WINDOW = 1024, 32, 256, 1024
+N_FFT, HOP = 1024, 32
 MAX_PEAKS = 5
 MIN_GAP_HZ, MAX_JUMP_HZ = 1500.0, 5000.0
 PROMINENCE_DB, FRAME_RANGE_DB, FLOOR_DB = 2.5, 22.0, -38.0
@@ -16,13 +16,6 @@ MAX_GAP_FRAMES = 2
 MIN_TRACK_MS, MIN_COVERAGE = 0.55, 0.50
 
 
-def window_length(n: int, mode: str = "fixed") -> int:
-    """256 samples, or with "adaptive" the power of two below a third of the pulse, at most 1024; never longer than the pulse."""
-    if mode == "adaptive" and n > WINDOW:
-        return min(n, MAX_WINDOW, max(WINDOW, 1 << (max(1, n // 3).bit_length() - 1)))
-    return min(WINDOW, n)
-
-
 def spectral_peaks(y: np.ndarray, window: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(frame, frequencies, powers) of the loudest peaks of each frame that is loud enough, the loudest first."""
     bins = band(N_FFT)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import CORE_CONTEXT_MS, CORE_GAP_MS, CORE_PADDING_MS, FEATURES, MERGE_GAP_MS, PADDING_MS, PULSE_MS, SAMPLE_RATE, SegmentConfig
 from ..functions import descriptors, signal, tracks
-from ..functions.scalars import event_id, relative_snr, stft_size
+from ..functions.scalars import event_id, relative_snr, separation_window, stft_size
 from ..operators import frames, intervals, matching, reports, separation
 from ..sources.recordings import PLACE, map_rows, read_clip, read_piece, recording_stats, recordings, require_recordings, spread, template_groups, whole_recordings
 from ..storage import checkpoint
@@ -115,8 +115,8 @@ def components(pulses: DataFrame, chunks: DataFrame, config: SegmentConfig = Seg
     with the tracks of its sources, split by soft masks if there are several, and described. Only
     with with_audio do the samples, as a PCM-16 WAV, leave the task.
     """
-    mode = config.window_mode
     p = pulses.withColumns({"lo": _at(F.col("start_s")), "hi": F.least("n_samples", _at(F.col("end_s")))})
+    p = p.withColumn("window", separation_window(F.col("hi") - F.col("lo"), config.window_mode))
     p = p.join(chunks.select(*KEYS, *CHUNK, "coverage_start_s", "coverage_end_s", "segment_id"), KEYS)
     shift = F.col("read_start_s")
     p = p.filter(intervals.owned(F.col("start_s") + shift, F.col("end_s") + shift, F.col("coverage_start_s"), F.col("coverage_end_s")))
@@ -125,11 +125,10 @@ def components(pulses: DataFrame, chunks: DataFrame, config: SegmentConfig = Seg
 
     def find(row: dict) -> list[dict]:
         y = read_clip(row)
-        window = tracks.window_length(len(y), mode)
-        found = tracks.link_peaks(tracks.spectral_peaks(y, window)) if len(y) >= 64 and window >= 64 else []
+        found = tracks.link_peaks(tracks.spectral_peaks(y, row["window"])) if len(y) >= 64 else []
         return [{**row, "track": i, **t} for i, t in enumerate(found)]
 
-    t = map_rows(spread(p.select(*keys, *CHUNK, "lo", "hi"), *keys), find, "recording_key string, chunk_index int, candidate_id int, track int, frames array<int>, hz array<double>, power array<double>")
+    t = map_rows(spread(p.select(*keys, *CHUNK, "lo", "hi", "window"), *keys), find, "recording_key string, chunk_index int, candidate_id int, track int, frames array<int>, hz array<double>, power array<double>")
     t = checkpoint(t)
     chosen = checkpoint(separation.sources(t, keys, config.harmonic_mode))
     member = chosen.select(*keys, "component_id", F.explode("members").alias("track")).join(t, [*keys, "track"])
@@ -143,7 +142,7 @@ def components(pulses: DataFrame, chunks: DataFrame, config: SegmentConfig = Seg
         parts = row["sources"] or [{"component_id": 1, "component_count": 1, "track_median_freq_khz": float("nan"), "track_relative_db": 0.0, "separation_confidence": 1.0, "evidence": "[]", "tracks": None}]
         cuts = [(0, len(y), y)]
         if len(parts) > 1:
-            window = tracks.window_length(len(y), mode)
+            window = row["window"]
             z = signal.stft(y, tracks.N_FFT, tracks.HOP, window)
             cuts = []
             for part, mask in zip(parts, tracks.source_masks(z.shape, [c["tracks"] for c in parts])):

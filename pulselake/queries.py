@@ -6,13 +6,17 @@ intervals, part for spectra, embeddings for descriptors.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import FEATURE_FLOORS, FEATURE_WEIGHTS, FEATURES
 from .functions import scalars as S
 from .operators import frames, intervals, matching, overview, reports, review, separation
+from .plans import commits
 from .sinks import tables
+from .storage import shared_folder
 from .streaming import pulses as streams
 
 LABELS = ["click", "error", "purchase", "view"]  # signup is left out on purpose: it counts as unknown
@@ -539,6 +543,27 @@ def replay_antijoin(spark, sf):
     return review.without_replayed(o, o.filter("o_orderkey % 3 = 0"), ["recording_key"], ["start_s", "end_s"]).select("o_orderkey")
 
 
+@query(f"WITH {_ORDERS} SELECT recording_key, count(*)::BIGINT AS n, round(sum(snr_db), 2) AS total, max(chunk_index) + 1 AS done FROM o GROUP BY recording_key")
+def committed_replay(spark, sf):
+    """Orders written in parts: half are committed, a part of the others is left by a step that broke off, and they are done again from each watermark."""
+    out = f"{shared_folder(spark)}/run-{uuid.uuid4()}"
+    o = _orders(spark, sf).withColumn("recording_key", F.col("recording_key").cast("string"))
+    put = lambda rows, part: tables.write_table(rows, f"{out}/predictions/part={part}")
+
+    def finish(rows, part):
+        put(rows, part)
+        ranges = rows.groupBy("recording_key").agg(F.min("chunk_index").cast("int").alias("first_chunk"), (F.max("chunk_index") + 1).cast("int").alias("end_chunk"), F.count("*").alias("n_pulses"))
+        commits.commit(ranges.withColumns({"seconds": F.lit(0.0), "identity": F.lit("")}), out, part)
+
+    finish(o.filter("chunk_index < 40"), "first")
+    put(o.filter("chunk_index >= 40 and o_orderkey % 2 = 0"), "lost")
+    done = commits.progress(commits.commits(spark, out)).select("recording_key", "done")
+    finish(o.join(done, "recording_key", "left").filter("done is null or chunk_index >= done").drop("done"), "again")
+    done = commits.progress(commits.commits(spark, out)).select("recording_key", F.col("done").cast("long").alias("done"))
+    x = commits.committed(spark, out, "predictions").groupBy("recording_key").agg(F.count("*").alias("n"), F.round(F.sum("snr_db"), 2).alias("total"))
+    return x.join(done, "recording_key").withColumn("recording_key", F.col("recording_key").cast("long"))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def unknown_keys(spark, sf):
     """Documents without a label."""
@@ -662,13 +687,58 @@ def track_independence(spark, sf):
     AND abs(mres) <= greatest(500, low * 0.015) AND p90 <= greatest(500, low * 0.015) AND least(asd, bsd) >= 1 AND coalesce(ec >= 0.75, false)"""
 )
 def harmonic_evidence(spark, sf):
-    """Pairs of which the upper track is a harmonic of the lower."""
+    """Pairs of which the upper track is a harmonic of the lower."""
     x = separation.track_pairs(_track_points(spark, sf), ["pulse"]).filter("evidence is not null")
     e = {"harmonic_order": F.col("evidence.order"), "common_frames": F.col("evidence.common_frames")}
     e |= {c: F.round(f"evidence.{c}", d) for c, d in (("ratio_coverage", 6), ("ratio_mad", 6), ("contour_correlation", 5), ("envelope_correlation", 5))}
     return x.select("pulse", "a_track", "b_track", *(v.alias(k) for k, v in e.items()))
 
 
+_EVIDENCE = """common >= 6 AND common / greatest(an, bn) >= 0.8 AND abs(af - bf) <= greatest(2, ceil(0.2 * greatest(al - af, bl - bf) + 0.2)) AND abs(al - bl) <= greatest(2, ceil(0.2 * greatest(al - af, bl - bf) + 0.2))
+    AND ord BETWEEN 2 AND 6 AND cover >= 0.9 AND mad <= 0.015 AND (greatest(lows, highs) <= 750 OR (least(lows, highs) >= 375 AND coalesce(cc >= 0.8, false)))
+    AND abs(mres) <= greatest(500, low * 0.015) AND p90 <= greatest(500, low * 0.015) AND least(asd, bsd) >= 1 AND coalesce(ec >= 0.75, false)"""
+# Track by track from the lowest frequency on: st has the tracks so far, each with its family's anchor and its order there.
+_FAMILIES = f"""{_PAIRS}, ev AS (SELECT pulse, a_track, b_track, ord::INT AS ord FROM t JOIN q USING (pulse, a_track, b_track) WHERE {_EVIDENCE}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY pulse ORDER BY median_hz, track) AS i FROM tt),
+inp AS (SELECT rk.pulse, i, track, coalesce(list({{'low': a_track, 'ord': ord}}) FILTER (a_track IS NOT NULL), []) AS e FROM rk LEFT JOIN ev ON ev.pulse = rk.pulse AND b_track = track GROUP BY ALL),
+st AS (SELECT pulse, i, [{{'track': track, 'anchor': track, 'ord': 0}}] AS s FROM inp WHERE i = 1
+  UNION ALL SELECT st.pulse, st.i + 1, list_append(s, CASE WHEN len(c) = 1 AND len(list_filter(s, lambda x: x.anchor = c[1].low AND x.ord = c[1].ord)) = 0
+    THEN {{'track': track, 'anchor': c[1].low, 'ord': c[1].ord}} ELSE {{'track': track, 'anchor': track, 'ord': 0}} END)
+  FROM st JOIN inp ON inp.pulse = st.pulse AND inp.i = st.i + 1, LATERAL (SELECT list_filter(inp.e, lambda e: len(list_filter(s, lambda x: x.track = e.low AND x.anchor = x.track)) > 0) AS c) v),
+fm AS (SELECT pulse, unnest(arg_max(s, i)) AS m FROM st GROUP BY pulse)"""
+
+
+@query(f"WITH RECURSIVE {_FAMILIES} SELECT pulse, m.track AS track, m.anchor AS anchor, m.ord AS harmonic_order FROM fm")
+def harmonic_families(spark, sf):
+    """The family of each track, and its order there; 0 for an anchor."""
+    points = _track_points(spark, sf)
+    x = separation.families(separation.track_totals(points, ["pulse"]), separation.track_pairs(points, ["pulse"]), ["pulse"])
+    return x.select("pulse", "track", "anchor", F.coalesce("evidence.order", F.lit(0)).alias("harmonic_order"))
+
+
+@query(
+    f"""WITH RECURSIVE {_FAMILIES}, f AS (SELECT fm.pulse, m.anchor AS anchor, sum(total_power) AS power, arg_max(tt.track, total_power) AS lead, min(median_hz) AS lowest, string_agg(tt.track, ',' ORDER BY median_hz, tt.track) AS members FROM fm JOIN tt ON tt.pulse = fm.pulse AND tt.track = m.track GROUP BY ALL),
+    g AS (SELECT *, row_number() OVER (PARTITION BY pulse ORDER BY power DESC, lowest, anchor) AS i, count(*) OVER (PARTITION BY pulse) AS families, 10 * log10(power / max(power) OVER (PARTITION BY pulse)) AS db FROM f),
+    w AS (SELECT pulse, a_track, b_track, common / least(an, bn) AS overlap, gap_khz, common >= 2 AND common / least(an, bn) >= 0.45 AND gap_khz >= 1.5 AND resolved >= 0.6 AS apart FROM t),
+    b AS (SELECT pulse, a_track AS x, b_track AS y, overlap, gap_khz, apart FROM w UNION ALL SELECT pulse, b_track, a_track, overlap, gap_khz, apart FROM w),
+    k AS (SELECT g.pulse, list({{'y': y, 'apart': apart}}) AS met, g.i, lead, db FROM g LEFT JOIN b ON b.pulse = g.pulse AND x = lead GROUP BY ALL),
+    z AS (SELECT pulse, i, [lead] AS c FROM k WHERE i = 1
+      UNION ALL SELECT z.pulse, z.i + 1, CASE WHEN len(c) < 3 AND db >= -18 AND len(list_filter(met, lambda m: m.apart AND list_contains(c, m.y))) = len(c) THEN list_append(c, lead) ELSE c END FROM z JOIN k ON k.pulse = z.pulse AND k.i = z.i + 1),
+    h AS (SELECT pulse, arg_max(c, i) AS c FROM z GROUP BY pulse),
+    n AS (SELECT g.*, list_position(c, lead) AS component_id, len(c) AS component_count, c[1] AS main FROM g JOIN h USING (pulse) WHERE list_contains(c, lead)),
+    og AS (SELECT n.*, b.overlap, b.gap_khz FROM n LEFT JOIN b ON b.pulse = n.pulse AND b.x = lead AND b.y = main),
+    u AS (SELECT *, CASE WHEN component_id = 1 THEN max(overlap) OVER (PARTITION BY pulse) ELSE overlap END AS ov, CASE WHEN component_id = 1 THEN min(gap_khz) OVER (PARTITION BY pulse) ELSE gap_khz END AS gk, CASE WHEN component_id = 1 THEN 0 ELSE db END AS d FROM og)
+    SELECT pulse, component_id::INT AS component_id, component_count::INT AS component_count, CASE WHEN component_count > 1 OR families = 1 THEN members ELSE '' END AS members, round(CASE WHEN component_count > 1 THEN d ELSE 0 END, 5) AS track_relative_db,
+      round(CASE WHEN component_count > 1 THEN least(1, 0.45 * least(1, ov) + 0.35 * least(1, gk / 3) + 0.2 * greatest(0, 1 + d / 18)) ELSE 1 END, 5) AS separation_confidence FROM u"""
+)
+def independent_sources(spark, sf):
+    """The sources of each pulse."""
+    p = _track_points(spark, sf).groupBy("pulse", "track").agg(F.array_sort(F.collect_list(F.struct("frame", "hz", "power"))).alias("p"))
+    tracks = p.select("pulse", "track", F.col("p.frame").alias("frames"), F.col("p.hz").alias("hz"), F.col("p.power").alias("power"))
+    x = separation.sources(tracks, ["pulse"])
+    return x.select("pulse", "component_id", "component_count", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), F.round("track_relative_db", 5).alias("track_relative_db"), F.round("separation_confidence", 5).alias("separation_confidence"))
+
+
 @query(f"WITH {_DESC} SELECT count(*)::BIGINT AS template_count, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, round(1.5 * max(duration_ms) + 10, 6) AS max_pulse_ms FROM e")
 def template_totals(spark, sf):
     """A17, X4."""
@@ -709,7 +779,7 @@ def review_moves(spark, sf):
 def stft_sizes(spark, sf):
     """windows for pieces of as many samples as a part's size tells."""
     x = _t(spark, sf, "part").select("p_partkey", (F.col("p_size") * 37 + F.col("p_partkey") % 11).cast("long").alias("n"))
-    return x.select("p_partkey", S.stft_size(F.col("n"), 1024, 128, 8).alias("s"), S.separation_window(F.col("n")).alias("separation_window")).select("p_partkey", "s.n_fft", "s.hop", "separation_window")
+    return x.select("p_partkey", S.stft_size(F.col("n"), 1024, 128, 8).alias("s"), F.greatest(F.lit(256), S.separation_window(F.col("n"), "adaptive")).alias("separation_window")).select("p_partkey", "s.n_fft", "s.hop", "separation_window")
 
 
 @query(
@@ -722,7 +792,7 @@ def source_measures(spark, sf):
     x = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *(F.col(f"l_{c}").cast("double").alias(c) for c in ("quantity", "discount", "tax")))
     db = -F.col("tax") * 250
     return x.select(
-        "l_orderkey", "l_linenumber", F.round(S.separation_confidence(F.col("discount") * 10, F.col("quantity") / 50 * 5, db), 6).alias("confidence"), F.round(S.relative_snr(F.col("quantity"), db), 6).alias("snr_db"),
+        "l_orderkey", "l_linenumber", F.round(S.separation_confidence(F.col("discount") * 10, F.col("quantity") / 50 * 5 / 2, db), 6).alias("confidence"), F.round(S.relative_snr(F.col("quantity"), db), 6).alias("snr_db"),
         S.is_harmonic(F.col("quantity") / 10).alias("harmonic"), F.round(S.pixel_to_hz(F.col("quantity"), F.lit(2.0), F.lit(40.0), F.lit(15000.0), F.lit(120000.0)), 4).alias("hz"),
     )
 

@@ -175,3 +175,39 @@ def test_one_family_is_not_split(spark):
 def test_dtw_column(spark):
     x = spark.createDataFrame([([1.0, 2.0], [1.0, 2.0]), (None, [1.0]), ([], [1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in x.select(matching.dtw("a", "b")).collect()] == [0.0, None, None]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_families_against_the_rule(spark, seed):
+    """Random evidence between the tracks of many pulses, told track by track from the lowest on."""
+    import random
+
+    r = random.Random(seed)
+    totals, pairs, want = [], [], {}
+    for p in range(60):
+        n = r.randrange(2, 12)
+        hz = [float(r.randrange(1, 6)) for _ in range(n)]
+        totals += [(p, k, hz[k]) for k in range(n)]
+        low = sorted(range(n), key=lambda k: (hz[k], k))
+        found = {}
+        for i, b in enumerate(low):
+            for a in low[:i]:
+                if r.random() < 0.4:
+                    found[a, b] = r.randrange(2, 4)
+                pairs.append((p, a, b, (found[a, b],) if (a, b) in found else None))
+        anchor, order = {}, {}
+        for b in low:
+            may = [a for a in low if anchor.get(a) == a and (a, b) in found]
+            free = len(may) == 1 and not any(anchor[x] == may[0] and order[x] == found[may[0], b] for x in anchor)
+            anchor[b], order[b] = (may[0], found[may[0], b]) if free else (b, 0)
+        want |= {(p, b): (anchor[b], order[b]) for b in low}
+    t = spark.createDataFrame(totals, "p int, track int, median_hz double")
+    e = spark.createDataFrame(pairs, "p int, a_track int, b_track int, evidence struct<order: int>")
+    got = {(x.p, x.track): (x.anchor, x.evidence.order if x.evidence else 0) for x in separation.families(t, e, ["p"]).collect()}
+    assert got == want and len({v[1] for v in want.values()}) == 3
+
+
+def test_windows_of_sources(spark):
+    n = spark.createDataFrame([(k,) for k in (100, 256, 900, 1600, 9000)], "n long")
+    assert [r[0] for r in n.select(S.separation_window(F.col("n"), "adaptive")).collect()] == [100, 256, 256, 512, 1024]
+    assert [r[0] for r in n.select(S.separation_window(F.col("n"))).collect()] == [100, 256, 256, 256, 256]
