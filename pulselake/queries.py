@@ -116,7 +116,10 @@ def pulse_snr(spark, sf):
 
 def _orders(spark, sf):
     """Orders as pulses: days as seconds, a chunk of 30 days, SNR from the price."""
-    o = _t(spark, sf, "orders")
+    return _as_pulses(_t(spark, sf, "orders"))
+
+
+def _as_pulses(o: DataFrame) -> DataFrame:
     start = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double")
     x = o.select(F.col("o_custkey").alias("recording_key"), "o_orderkey", start.alias("start_s"), (start + 5 + F.col("o_orderkey") % 40).alias("end_s"), F.col("o_totalprice").alias("snr_db"))
     return x.withColumn("chunk_index", F.floor(F.col("start_s") / 30).cast("long"))
@@ -631,6 +634,41 @@ def stream_totals(spark, sf):
     return streams.completed(streams.running_totals(_stream(spark, sf), "user_id", "event_type", LABELS))
 
 
+@query("SELECT user_id, count(*) AS total_calls, " + ", ".join(f"count(*) FILTER ({_FOLD} = '{x}') AS {x}" for x in [*LABELS, "unknown"]) + " FROM events GROUP BY user_id")
+def stream_state(spark, sf):
+    """The totals of a stream over events of even ids, read from its state store, gone on with in batch by the others."""
+    root = streams.new_root(spark)
+    streams.ran_to_end(streams.running_totals(_stream(spark, sf).filter("event_id % 2 = 0"), "user_id", "event_type", LABELS), root)
+    state = streams.totals_state(spark, f"{root}/state", "user_id", LABELS)
+    return streams.add_totals(state, _t(spark, sf, "events").filter("event_id % 2 <> 0"), "user_id", "event_type", LABELS)
+
+
+# Order by order within a customer: st has the last kept intervals of the chunk before and of this one.
+_SAME = "(greatest(0, least(b.e, r.end_s) - greatest(b.s, r.start_s)) / least(b.e - b.s, r.end_s - r.start_s) >= 0.5 OR abs((b.s + b.e) / 2 - (r.start_s + r.end_s) / 2) <= 0.0015)"
+
+
+@query(
+    f"""WITH RECURSIVE {_ORDERS}, r AS (SELECT *, row_number() OVER (PARTITION BY recording_key ORDER BY chunk_index, start_s, end_s, o_orderkey) AS i FROM o),
+    st AS (SELECT recording_key, i, o_orderkey, chunk_index, [{{'s': -1.0::DOUBLE, 'e': -1.0::DOUBLE}}][2:] AS before, [{{'s': start_s, 'e': end_s}}] AS mine, true AS keep FROM r WHERE i = 1
+      UNION ALL SELECT r.recording_key, r.i, r.o_orderkey, r.chunk_index, v.before, CASE WHEN k.keep THEN list_append(v.mine, {{'s': r.start_s, 'e': r.end_s}}) ELSE v.mine END, k.keep
+      FROM st JOIN r ON r.recording_key = st.recording_key AND r.i = st.i + 1,
+      LATERAL (SELECT CASE WHEN r.chunk_index = st.chunk_index THEN st.before WHEN r.chunk_index = st.chunk_index + 1 THEN st.mine[-8:] ELSE st.mine[:0] END AS before, CASE WHEN r.chunk_index = st.chunk_index THEN st.mine ELSE st.mine[:0] END AS mine) v,
+      LATERAL (SELECT len(list_filter(v.before, lambda b: {_SAME})) = 0 AS keep) k)
+    SELECT o_orderkey, recording_key, chunk_index FROM st WHERE keep"""
+)
+def stream_repeats(spark, sf):
+    """T5, J3, W13 as a stream with list state: orders that the last eight kept ones of the chunk before don't show."""
+    path = f"{sf}/orders.parquet"
+    src = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    before = spark.conf.get(streams.STATE_STORE)
+    spark.conf.set(streams.STATE_STORE, streams.ROCKSDB)
+    try:
+        x = streams.completed(streams.unrepeated_for(_as_pulses(src), keep_ms=None), "append")
+    finally:
+        spark.conf.set(streams.STATE_STORE, before)
+    return x.select("o_orderkey", "recording_key", "chunk_index")
+
+
 # Tracks of one pulse: three neighbours in the table of embeddings. The first is a contour, the second
 # its double with small deviations and the same envelope, the third lies elsewhere.
 _TRACKS = """v AS (SELECT vec_id // 3 AS pulse, (vec_id % 3)::INT AS track, embedding AS e FROM embeddings),

@@ -2,7 +2,7 @@
 
 A recording is never loaded whole. Files are listed by Spark, headers are probed in tasks, and each
 piece (a chunk, a block, a pulse with its context) is a small row whose task seeks to its samples.
-Seeking needs paths that executors can open: a mounted or local file system.
+Tasks seek by open_input: on mounted paths, or on stores that Arrow's file systems reach.
 """
 
 from __future__ import annotations
@@ -27,13 +27,35 @@ PLACE = ["path", "code", "channels", "align", "bits", "data_start", "frames", "s
 
 
 def local(path: str) -> str:
-    """The path that open() takes; ValueError for stores that only Spark reads."""
+    """The path that open() takes; ValueError for stores that are not mounted."""
     found = urlparse(path)
     if found.scheme not in ("", "file"):
-        raise ValueError(f"range reads need a mounted file system, not {found.scheme}:")
+        raise ValueError(f"this needs a mounted file system, not {found.scheme}:")
     return path if not found.scheme else (unquote(found.path) if path.startswith("file:///") else path[len("file:") :])
 
 
+def open_input(path: str):
+    """A file for reading ranges: by the mount of a plain path or file: URI, else by Arrow's file system of the URI (hdfs, s3, gs and others). ValueError if there is none."""
+    if urlparse(path).scheme in ("", "file"):
+        return open(local(path), "rb")
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inner)
+
+
+def list_recordings(root: str) -> list[tuple[str, int]]:
+    """(path, size) of the WAV files below root, or of the one file root is, sorted; paths as root is written. Names and sizes only, on the caller."""
+    from pyarrow import fs
+
+    mounted = urlparse(root).scheme in ("", "file")
+    store, inner = (fs.LocalFileSystem(), local(root)) if mounted else fs.FileSystem.from_uri(root)
+    inner = inner.rstrip("/") or "/"
+    info = store.get_file_info(inner)
+    found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(inner, recursive=True, allow_not_found=True))
+    return sorted((root.rstrip("/") + x.path[len(inner) :], x.size) for x in found if x.type == fs.FileType.File and x.path.lower().endswith(".wav"))
+
+
 def wav_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, length) of the files named .wav in any case, below root; no rows if root is missing. Contents are not read.
 
@@ -85,7 +107,7 @@ def recordings(spark: SparkSession, root: str) -> DataFrame:
 
     def probe(row: dict) -> list[dict]:
         try:
-            with open(local(row["path"]), "rb") as f:
+            with open_input(row["path"]) as f:
                 h = wav_header(f.read(HEAD), row["length"])
         except (ValueError, OSError) as e:
             return [{**row, "error": f"{type(e).__name__}: {e}"}]
@@ -102,7 +124,7 @@ def file_edges(found: DataFrame) -> DataFrame:
 
     def read(row: dict) -> list[dict]:
         try:
-            with open(local(row["path"]), "rb") as f:
+            with open_input(row["path"]) as f:
                 head, tail = f.read(IDENTITY_BLOCK), b""
                 if row["length"] > 2 * IDENTITY_BLOCK:
                     f.seek(-IDENTITY_BLOCK, 2)
@@ -129,7 +151,7 @@ def read_samples(row: dict, start_s: float, end_s: float) -> np.ndarray:
     n = min(row["frames"], round(end_s * row["sr"])) - first
     if n <= 0:
         return np.zeros(0)
-    with open(local(row["path"]), "rb") as f:
+    with open_input(row["path"]) as f:
         f.seek(row["data_start"] + first * row["align"])
         return wav_samples(f.read(n * row["align"]), row)
 

@@ -86,6 +86,53 @@ def unrepeated(pulses: DataFrame, key: str = "recording_key", tail: int = 8) ->
     return pulses.groupBy(key).applyInPandasWithState(run, pulses.schema, TAIL, "append", GroupStateTimeout.NoTimeout)
 
 
+def unrepeated_for(pulses: DataFrame, key: str = "recording_key", tail: int = 8, keep_ms: int | None = 86_400_000) -> DataFrame:
+    """T5: as unrepeated, with state that ends: a recording's tail is forgotten keep_ms milliseconds after its last pulse (None: never).
+
+    State is a list of at most tail intervals for each recording, with a time to live, in a store that
+    keeps it on disk (STATE_STORE set to ROCKSDB), so recordings that are done cost nothing. With a time to
+    live, use a trigger by processing time: Spark looks for what has ended for ever, so a stream that is
+    to end with its source (availableNow) needs None.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    names = pulses.columns
+
+    class Repeats(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.held = handle.getListState("tail", "chunk int, start_s double, end_s double", ttlDurationMs=keep_ms)
+
+        def handleInputRows(self, key, rows, timer_values):
+            held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+            chunk = held[0][0] if held else -1
+            before, mine = [], [r[1:] for r in held]
+            for batch in rows:
+                batch = batch.sort_values(["chunk_index", "start_s", "end_s"], kind="stable")
+                for index, part in batch.groupby("chunk_index", sort=True):
+                    if index != chunk:  # else the rest of a chunk that a batch cut
+                        before, mine = mine if index == chunk + 1 else [], []
+                    keep = [not any(same(a, b, s, e) for a, b in before) for s, e in zip(part.start_s, part.end_s)]
+                    part = part[keep]
+                    mine = (mine + list(zip(part.start_s.astype(float), part.end_s.astype(float))))[-tail:]
+                    chunk = int(index)
+                    if len(part):
+                        yield part[names]
+            if mine:
+                self.held.put([(chunk, s, e) for s, e in mine])
+            else:
+                self.held.clear()
+
+        def close(self) -> None:
+            pass
+
+    return pulses.groupBy(key).transformWithStateInPandas(Repeats(), pulses.schema, "append", "ProcessingTime" if keep_ms is not None else "None")
+
+
+#: The state store that operators with lists, times to live and timers need.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def same(a: float, b: float, s: float, e: float) -> bool:
     """Q7 for two intervals."""
     shorter = min(b - a, e - s)
@@ -119,17 +166,44 @@ def write_batches(stream: DataFrame, table: str, checkpoint: str, config: dict |
     return (out.trigger(availableNow=True) if once else out).start()
 
 
-def completed(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """The result of a stream over all that its source has now, as a table in the shared folder; in "complete" mode that of the last batch."""
-    spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+def ran_to_end(stream: DataFrame, root: str, mode: str = "complete") -> None:
+    """The stream over all that its source has now: its result in root/rows, in "complete" mode that of the last batch, and its checkpoint with its state in root/state."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/batch={number}")
 
     q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+def new_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+
+
+def completed(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """The result of ran_to_end as a table in the shared folder."""
+    root = new_root(stream.sparkSession)
+    ran_to_end(stream, root, mode)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+def totals_state(spark: SparkSession, checkpoint: str, key: str, labels: list[str], unknown: str = UNKNOWN) -> DataFrame:
+    """The state of running_totals in a checkpoint, as a table of the same columns, read by tasks from the state store.
+
+    This is the serialised state: totals can be looked at, moved, or added to the counts of further
+    pulses by add_totals without the stream.
+    """
+    kept = spark.read.format("statestore").load(checkpoint)
+    names = ["total_calls", *labels, unknown]
+    # The state has one count for each column, in their order and all by one name.
+    value = F.col("value").cast("struct<" + ", ".join(f"c{i}: bigint" for i in range(len(names))) + ">")
+    return kept.select(F.col(f"key.{key}").alias(key), *(value[f"c{i}"].alias(n) for i, n in enumerate(names)))
+
+
+def add_totals(state: DataFrame, pulses: DataFrame, key: str, label: str, labels: list[str], unknown: str = UNKNOWN) -> DataFrame:
+    """Totals that go on from a saved state with further pulses."""
+    more = running_totals(pulses, key, label, labels, unknown)
+    return state.unionByName(more).groupBy(key).agg(*(F.sum(c).alias(c) for c in ("total_calls", *labels, unknown)))
 
 
 class Progress(StreamingQueryListener):

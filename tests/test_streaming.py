@@ -72,3 +72,45 @@ def test_new_recordings(spark, tmp_path):
     (tmp_path / "in/y.txt").write_bytes(b"no")
     got = drain(P.new_recordings(spark, str(tmp_path / "in")), "files").collect()
     assert [(r.path.rsplit("/", 1)[1], r.length) for r in got] == [("x.WAV", 4)]
+
+
+def test_state_is_forgotten(spark, tmp_path):
+    """A repeat of the chunk before is dropped while the tail is kept, and comes through once it has ended."""
+    import time
+
+    spark.conf.set(P.STATE_STORE, P.ROCKSDB)
+    for keep_ms, pause, want in ((600_000, 0, 1), (1, 0.5, 2)):
+        path, out = str(tmp_path / f"in{keep_ms}"), str(tmp_path / f"out{keep_ms}")
+        put = lambda rows: spark.createDataFrame(rows, KIND).coalesce(1).write.mode("append").parquet(path)  # noqa: B023, E731
+        put([("a", 0, 9.998, 10.003)])
+        x = P.unrepeated_for(spark.readStream.schema(KIND).parquet(path), keep_ms=keep_ms)
+        q = x.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(processingTime="200 milliseconds").start()
+
+        def seen():
+            try:
+                return spark.read.schema(KIND).parquet(out)  # noqa: B023
+            except Exception:  # the folder is not there yet
+                return spark.createDataFrame([], KIND)
+
+        def wait(n):
+            until = time.time() + 60
+            while seen().count() < n and time.time() < until:
+                assert q.exception() is None  # noqa: B023
+                time.sleep(0.2)
+
+        try:
+            wait(1)
+            time.sleep(pause)
+            put([("a", 1, 9.999, 10.004), ("b", 1, 1.0, 1.01)])
+            wait(want + 1)
+            assert sorted((r.recording_key, r.chunk_index) for r in seen().collect()) == [("a", 0), *[("a", 1)] * (want - 1), ("b", 1)]
+        finally:
+            q.stop()
+
+
+def test_totals_go_on_from_the_state(spark, folder, tmp_path):
+    P.ran_to_end(P.running_totals(source(spark, folder), "recording_key", "recording_key", ["a"]), str(tmp_path))
+    state = P.totals_state(spark, str(tmp_path / "state"), "recording_key", ["a"])
+    assert {r.recording_key: (r.total_calls, r.a, r.unknown) for r in state.collect()} == {"a": (6, 6, 0), "b": (3, 0, 3), "c": (2, 0, 2)}
+    more = spark.createDataFrame([("a", 9, 0.0, 1.0), ("d", 0, 0.0, 1.0)], KIND)
+    assert {r.recording_key: r.total_calls for r in P.add_totals(state, more, "recording_key", "recording_key", ["a"]).collect()} == {"a": 7, "b": 3, "c": 2, "d": 1}
