@@ -211,3 +211,30 @@ def test_windows_of_sources(spark):
     n = spark.createDataFrame([(k,) for k in (100, 256, 900, 1600, 9000)], "n long")
     assert [r[0] for r in n.select(S.separation_window(F.col("n"), "adaptive")).collect()] == [100, 256, 256, 512, 1024]
     assert [r[0] for r in n.select(S.separation_window(F.col("n"))).collect()] == [100, 256, 256, 256, 256]
+
+
+def test_bounds_lose_no_match(spark):
+    """The best of warping every pair, with tracks of several lengths, without tracks, and ties; and fewer pairs warped."""
+    r = np.random.default_rng(3)
+    shapes = [np.cumsum(r.normal(0, 1.5, 32)) + 50 for _ in range(12)]
+    of = lambda k: [None, [], list(shapes[k % 12][:20] + r.normal(0, 0.3, 20))][k % 9] if k % 9 < 3 else list(shapes[k % 12] + r.normal(0, 0.3, 32))
+    t = [("x" if k % 2 else "y", f"f{k}", k, float(k % 7), of(k)) for k in range(60)]
+    t += [(*t[5][:2], 60, *t[5][3:])]
+    p = [(k, float(k % 7) + 0.2, of(k + 3)) for k in range(80)] + [(80, t[5][3], t[5][4])]
+    templates = spark.createDataFrame(t, "label string, file string, ord int, duration_ms double, track array<double>")
+    pulses = spark.createDataFrame(p, "pulse_key int, duration_ms double, track array<double>")
+    scales = {x.label: x.scale_duration_ms for x in matching.group_scales(templates, ("duration_ms",)).collect()}
+    got = {x.pulse_key: x for x in matching.best_matches(pulses, templates, ("duration_ms",), "track", with_count=True).collect()}
+    for key, value, track_ in p:
+        best = None
+        for label, file, ord_, v, other in t:
+            s = np.exp(-abs(value - v) / scales[label])
+            if track_ and other:
+                s = 0.5 * s + 0.5 * np.exp(-matching.dtw_distances(np.array([track_]), np.array([other]))[0] / 6)
+            if best is None or s > best[0] + 1e-12:
+                best = s, file
+        assert got[key].confidence == pytest.approx(best[0], abs=1e-12) and got[key].template_file == best[1], key
+    assert got[80].template_file == "f5" and 0 < sum(x.n_warped for x in got.values()) < 0.7 * len(p) * len(t)
+    a, b = r.normal(0, 3, (40, 32)), r.normal(0, 3, (30, 27))
+    bound = matching.dtw_bounds(a, b)
+    assert all(bound[i, j] <= matching.dtw_distances(a[i : i + 1], b[j : j + 1])[0] + 1e-12 for i in range(40) for j in range(30))
