@@ -6,6 +6,7 @@ import base64
 import json
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ CAPACITY = 2048
 SMALL, GROUPS = 4, 128
 #: Configurations that the optimisation adds at most, a gain below which it stops, and steps without gain after which it does.
 COLUMNS, GAIN, STALL = 400, 1e-3, 40
+#: Room that actual large pieces may leave in a sequence that stays as it is; the best of these limits is taken.
+OPEN = (0, 1, 2, 4, 8, 16, 32, 64)
 #: Blocks that pieces of one length are dealt to by hash for their numbering.
 BLOCKS = 256
 END = 0
@@ -165,6 +168,46 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
     return [([int(k) for k in basis[:, j]], int(uses[j] + 1e-6)) for j in range(len(uses))]
 
 
+def best_fit(kept: list[tuple[int, tuple[int, ...]]], loose: dict[int, int], capacity: int) -> dict[tuple[int, ...], int]:
+    """{lengths in a sequence: how many such sequences}: kept, (how many, lengths), and loose pieces, {length: how many}, put in them.
+
+    The longest come first, and each goes to the sequence with the least room that holds it, or to a
+    new one; equal sequences and pieces of one length are placed at once.
+    """
+    by_room: dict[int, Counter] = {}
+    rooms: list[int] = []
+
+    def put(inside: tuple[int, ...], count: int, room: int) -> None:
+        if count:
+            if room not in by_room:
+                insort(rooms, room)
+                by_room[room] = Counter()
+            by_room[room][inside] += count
+
+    for count, inside in kept:
+        put(inside, count, capacity - sum(inside))
+    for n in sorted(loose, reverse=True):
+        left = loose[n]
+        while left:
+            i = bisect_left(rooms, n)
+            if i == len(rooms):
+                room, inside, count = capacity, (), -(-left // (capacity // n))
+            else:
+                room = rooms[i]
+                inside, count = by_room[room].popitem()
+                if not by_room[room]:
+                    del by_room[room], rooms[i]
+            each = room // n
+            full, some = min(count, left // each), 0
+            put(inside + (n,) * each, full, room - each * n)
+            left -= each * full
+            if left and full < count:  # the last ones
+                put(inside + (n,) * left, 1, room - left * n)
+                left, some = 0, 1
+            put(inside, (count - full - some) * bool(inside), room)
+    return {inside: count for r in sorted(by_room) for inside, count in by_room[r].items()}
+
+
 def plan(lengths: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
     """Places for numbered pieces: (length, first, end, sequence, offset).
 
@@ -176,27 +219,27 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY, small: int = SMALL,
     the longest of their group. Configurations, multisets of these few sizes, are chosen by a linear
     program for the fewest sequences; what rounding its uses down leaves over gets the fullest
     configuration that holds the largest size left, as often as its sizes last. Then actual
-    pieces take the places, which frees what rounding lengths up added, and small pieces, the longest first, go
-    each to the sequence with the least room that holds it; what is left opens new sequences.
+    pieces take the places, which frees what rounding lengths up added. Sequences in which they leave more
+    room than a limit are opened again, and their pieces and the small ones, the longest first, go
+    each to the sequence with the least room that holds it; what is left opens new sequences. Of the
+    limits OPEN the one with the fewest sequences counts, of equal ones the largest.
     """
-    bins: list[tuple[int, list[tuple[int, int]]]] = []  # so many sequences, each with pieces (length, number of the first)
-    if lengths.get(capacity):
-        bins.append((lengths[capacity], [(capacity, 0)]))
     large = sorted((n for n in lengths if capacity // small < n < capacity and lengths[n]), reverse=True)
     total = sum(lengths[n] for n in large)
-    runs: list[list[list[int]]] = []  # by group: [length, first number, how many], the longest first
+    runs: list[list[list[int]]] = []  # by group: [length, how many], the longest first
     room = 0
     for n in large:
-        at, left = 0, lengths[n]
+        left = lengths[n]
         while left:
             if not room:
                 runs.append([])
                 room = -(-total // groups)
             k = min(room, left)
-            runs[-1].append([n, at, k])
-            at, left, room = at + k, left - k, room - k
-    sizes, counts = [r[0][0] for r in runs], [sum(x[2] for x in r) for r in runs]
+            runs[-1].append([n, k])
+            left, room = left - k, room - k
+    sizes, counts = [r[0][0] for r in runs], [sum(x[1] for x in r) for r in runs]
 
+    filled: Counter = Counter()  # sequences by the actual lengths of their large pieces
     chosen = configurations(sizes, counts, capacity)
     while any(counts):
         shape, times = chosen.pop() if chosen else (_fullest(sizes, counts, capacity), sum(counts))
@@ -210,58 +253,43 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY, small: int = SMALL,
             got, left = [], times
             while left:
                 run = runs[g][0]
-                k = min(left, run[2])
-                got.append((run[0], run[1], k))
-                run[1], run[2], left = run[1] + k, run[2] - k, left - k
-                if not run[2]:
+                k = min(left, run[1])
+                got.append([run[0], k])
+                run[1], left = run[1] - k, left - k
+                if not run[1]:
                     runs[g].pop(0)
             taken.append(got)
         while times:  # runs of sequences with the same actual lengths
-            k = min(got[0][2] for got in taken)
-            bins.append((k, [(got[0][0], got[0][1]) for got in taken]))
+            k = min(got[0][1] for got in taken)
+            filled[tuple(got[0][0] for got in taken)] += k
             for got in taken:
-                n, at, left = got[0]
-                got[:1] = [(n, at + k, left - k)] if left > k else []
+                got[0][1] -= k
+                if not got[0][1]:
+                    got.pop(0)
             times -= k
 
-    by_room: dict[int, list] = {}
-    for b in bins:
-        by_room.setdefault(capacity - sum(n for n, _ in b[1]), []).append(b)
-    rooms = sorted(by_room)
-    for n in sorted((n for n in lengths if n <= capacity // small and lengths[n]), reverse=True):
-        at, left = 0, lengths[n]
-        while left:
-            i = bisect_left(rooms, n)
-            if i == len(rooms):
-                fresh = -(-left // (capacity // n))
-                found, space = (fresh, []), capacity
+    fewest: dict[tuple[int, ...], int] = {}
+    for limit in sorted({*OPEN, capacity}, reverse=True):
+        kept, loose = [], Counter({n: k for n, k in lengths.items() if n <= capacity // small and k})
+        for inside, count in filled.items():
+            if capacity - sum(inside) <= limit:
+                kept.append((count, inside))
             else:
-                space = rooms[i]
-                found = by_room[space].pop()
-                if not by_room[space]:
-                    del by_room[space], rooms[i]
-            count, inside = found
-            each = min(space // n, max(1, left // count))
-            k = min(count, left // each)
-            put = (k, [*inside, *((n, at + j * k) for j in range(each))])
-            rest = [(space - each * n, put)]
-            if count > k:
-                rest.append((space, (count - k, [(m, f + k) for m, f in inside])))
-            for r, b in rest:
-                if r == capacity:
-                    continue  # never opened
-                if r not in by_room:
-                    insort(rooms, r)
-                by_room.setdefault(r, []).append(b)
-            at, left = at + each * k, left - each * k
-    out, sequence = [], 0
-    for r in sorted(by_room):
-        for count, inside in by_room[r]:
-            offset = 0
-            for n, first in inside:
-                out.append((n, first, first + count, sequence, offset))
-                offset += n
-            sequence += count
+                for n in inside:
+                    loose[n] += count
+        found = best_fit(kept, loose, capacity)
+        if not fewest or sum(found.values()) < sum(fewest.values()):
+            fewest = found
+    if lengths.get(capacity):
+        fewest[(capacity,)] = lengths[capacity]
+    out, sequence, number = [], 0, Counter()
+    for inside, count in fewest.items():
+        offset = 0
+        for n in inside:
+            out.append((n, number[n], number[n] + count, sequence, offset))
+            number[n] += count
+            offset += n
+        sequence += count
     return out
 
 
