@@ -142,7 +142,7 @@ def certify(rejected: list[tuple[int, int]], n: int, risk: float, level: float)
     return taken
 
 
-def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, alpha: float = 0.05, max_strata: int = 32) -> tuple[list, dict]:
+def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, alpha: float = 0.05) -> tuple[list, dict]:
     """Strata and {stratum: {rule: cutoff}} with a guaranteed limit on false rejections.
 
     One of PARTS parts of the labelled rows designs a sequence of joint rule sets for each stratum
@@ -151,24 +151,26 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", r
     (Bonferroni over strata) is taken (certify). With probability 1 - alpha, no stratum loses more
     than ``risk`` of its good rows by the cutoffs.
 
-    Strata are the most frequent values among labelled rows, at most max_strata, that have as many
-    good holdout rows as a set which rejects none of them needs to be proved safe; all others, and
-    null, are pooled into "*", for which the limit then holds as a whole. So strata, bins and sets
-    have a fixed bound whatever the number of rows. Without labelled rows every rule is off.
+    Strata are the values among labelled rows that have as many good holdout rows as a set which
+    rejects none of them needs to be proved safe, at the level that is left when all of them and the
+    pool share alpha; all others, and null, are pooled into "*", for which the limit then holds as a
+    whole. A stratum takes hundreds of labels, so there are few even of many values; none is dropped.
+    Without labelled rows every rule is off.
     """
     x = measured.join(labels.select("doc_id", "quality").filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
     holdout = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(PARTS)) != 0
     x = x.filter(~base_failed() & F.col("quality").isin(0, 1)).select(F.col(stratum).alias("s"), "quality", holdout.alias("holdout"), *(_bin(r).alias(r) for r in RULES))
     x = checkpoint(x)  # narrow rows of what is labelled
-    least = math.log(alpha / (max_strata + 1)) / math.log1p(-risk)
-    enough = x.filter("holdout and quality = 1 and s is not null").groupBy("s").count().filter(F.col("count") >= least)
-    known = [r[0] for r in enough.orderBy(F.desc("count"), "s").limit(max_strata).collect()]
+    need = lambda k: math.log(alpha / (k + 1)) / math.log1p(-risk)  # noqa: E731  rows that one of k strata and the pool needs
+    enough = x.filter("holdout and quality = 1 and s is not null").groupBy("s").count().filter(F.col("count") >= need(1))
+    ranked = enough.orderBy(F.desc("count"), "s").collect()  # one row for some hundred labels
+    known = [r[0] for r in ranked[: max((k for k, r in enumerate(ranked, 1) if r[1] >= need(k)), default=0)]]
     x = x.withColumn("s", _stratum("s", known))
     bins = F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES))
     both = [F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)]
     h = x.filter("not holdout").select("s", "quality", F.explode(bins).alias("b")).groupBy("s", "b.rule", "b.bin").agg(*both)
     found: dict = {}
-    for s, rule, b, good, bad in h.collect():  # at most (max_strata + 1) * rules * (STEPS + 1) rows
+    for s, rule, b, good, bad in h.collect():  # for each stratum at most rules * (STEPS + 1) rows
         found.setdefault(s, {r: {} for r in RULES})[rule][b] = (good, bad)
     sets = {s: design(g, risk) for s, g in found.items()}
     first = F.lit(LEVELS)  # the first set that rejects the row
