@@ -71,21 +71,20 @@ def _levels(tokens: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return lookup(seen[0, 0], tokens).astype(np.int8) + lookup(seen[1, 0], tokens)
 
 
-def sketches(tokens: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
-    """PARITY longs in which each token turns one bit over, then MARKS longs for each of ORDERS, in which its shared prefix tokens set bits.
+def sketches(tokens: np.ndarray, firsts: list[np.ndarray]) -> np.ndarray:
+    """PARITY longs in which each token turns one bit over, then MARKS longs for each of ORDERS, in which its shared prefix tokens (firsts) set bits.
 
     Sets differ in at least as many tokens as bits of their parity sketches differ. Sets that link
     share a prefix token in every order, and so a bit of its marks.
     """
     out = [np.bincount((tokens & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1]
-    for factor in ORDERS:
-        first = prefix(tokens, level, factor, percent)
-        out.append(np.bincount((tokens[first[level[first] > 0]] & np.uint64(64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) > 0)
+    for first in firsts:
+        out.append(np.bincount((first & np.uint64(64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) > 0)
     return np.packbits(np.concatenate(out).astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _can_link(x, y, percent: int) -> Column:
-    """False only for sets whose similarity is less, or that share no prefix token in some order. x, y: give the columns n, m and s of two sets by name."""
+    """False only for sets whose similarity is less, or whose prefix tokens have no mark in common in some order. x, y: give the columns n, m and s of two sets by name."""
     n = x("n") + y("n")
     known = F.least(x("m"), y("m")) * (100 + percent) >= n * percent  # at most the known shingles of either are shared
     differ = reduce(lambda a, b: a + b, (F.bit_count(x("s")[i].bitwiseXOR(y("s")[i])) for i in range(PARITY)))
@@ -93,6 +92,20 @@ def _can_link(x, y, percent: int) -> Column:
     return reduce(lambda a, b: a & b, [known, differ * (100 + percent) <= n * (100 - percent), *meet])
 
 
+def _meet(pairs: DataFrame, prefixes: DataFrame, report: list | None = None) -> DataFrame:
+    """The pairs (a, b) whose prefix tokens intersect under each of ORDERS, too.
+
+    prefixes has node and p, whose columns have a set's prefix tokens, cut to 32 bits, which lose no pair.
+    To report is added how many pairs came and how many were left after each order.
+    """
+    t = pairs.join(prefixes.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b").join(prefixes.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a")
+    share = [F.arrays_overlap(f"pa.p{k}", f"pb.p{k}") for k in range(len(ORDERS))]
+    if report is not None:
+        upto = [F.count_if(reduce(lambda a, b: a & b, share[: k + 1])) for k in range(len(ORDERS))]
+        report.append(tuple(t.agg(F.count("*"), *upto).first()))
+    return t.filter(reduce(lambda a, b: a & b, share)).select("a", "b")
+
+
 def _marked(nodes: DataFrame) -> np.ndarray:
     """A bitmap of 2 ** MARK_BITS bits (1 MB) of the leading bits of nodes, built by slices of 4 KB in Spark."""
     mark = F.shiftright(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long"), 32 - MARK_BITS) + 1
@@ -145,7 +158,7 @@ def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return t.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
 
 
-def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85, report: list | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs.
 
     Rows link when the Jaccard similarity of their sets of shingles of size words is at least
@@ -154,9 +167,11 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     Equal sets are one node from the start, so copies are never paired. Shingles are counted over
     all rows; every order puts those of one document first, then others, then common ones, each by
     another hash. Two linked sets share a prefix token in every order. Prefix tokens of the first
-    order are joined, without those that a single document holds; a pair must also share marks of the
-    prefix tokens of every other order, and must not differ by its sketches in more shingles than
-    linked sets can (_can_link), all before any whole set is moved or intersected. Up to PAIRWISE sets
+    order are joined, without those that a single document holds. Sketches of fixed size rule out
+    pairs that differ in more shingles than linked sets can, or whose marks of prefix tokens do not
+    meet (_can_link); of what they let through, the prefix tokens themselves must intersect under every
+    other order (_meet), all before any whole set is moved or intersected. A list given as report gets
+    a tuple for each turn: pairs before, and after each further order. Up to PAIRWISE sets
     of a token are paired. More are tested with the token's hub, the set with the fewest shingles of
     its own; while sets of a token lie in different components, more of its sets become hubs,
     MORE_HUBS times as many each turn, until all have met. Pairs already in one component need no test.
@@ -179,7 +194,7 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
 
     def nodes(batches):
         for b in batches:
-            names, sizes, known, tokens, sketched, done = [], [], [], [], [], set()
+            names, sizes, known, tokens, sketched, others, done = [], [], [], [], [], [], set()
             for _, t in shingle_sets(b.column(1), size):
                 node = node_of(t) if len(t) else None
                 names.append(node)
@@ -188,18 +203,24 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
                     known.append(0)
                     tokens.append(None)  # a copy: its set's tokens are there
                     sketched.append(None)
+                    others.append([None] * len(ORDERS))
                 else:
                     done.add(node)
                     level = _levels(t, seen.value)
                     first = prefix(t, level, None, percent)
                     known.append(int((level > 0).sum()))
                     tokens.append(t[first[level[first] > 0]].view(np.int64))
-                    sketched.append(sketches(t, level, percent))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketched, pa.list_(pa.int64()))], names=schema.names)
+                    firsts = [prefix(t, level, factor, percent) for factor in ORDERS]
+                    firsts = [t[f[level[f] > 0]] for f in firsts]
+                    sketched.append(sketches(t, firsts))
+                    others.append([f.astype(np.uint32).view(np.int32) for f in firsts])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketched, pa.list_(pa.int64())), *(pa.array([o[k] for o in others], pa.list_(pa.int32())) for k in range(len(ORDERS)))], names=schema.names)
 
-    from pyspark.sql.types import ArrayType, LongType
+    from pyspark.sql.types import ArrayType, IntegerType, LongType
 
     schema = with_fields(docs.select("doc_id").schema, node="binary", n_shingles="long", known="long").add("tokens", ArrayType(LongType())).add("s", ArrayType(LongType()))
+    for k in range(len(ORDERS)):
+        schema = schema.add(f"p{k}", ArrayType(IntegerType()))
     d = checkpoint(docs.mapInArrow(nodes, schema))
     posts = d.filter("tokens is not null").select(F.explode("tokens").alias("token"), "node", F.col("n_shingles").alias("n"), F.col("known").alias("m")).distinct()
     # A hub has the fewest shingles of its own, so what links with any set of its token links with it as a rule.
@@ -215,9 +236,11 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     known = d.filter("tokens is not null").select("node", F.struct(F.col("n_shingles").alias("n"), F.col("known").alias("m"), "s").alias("x")).dropDuplicates(["node"])
     pairs = pairs.join(known.select(F.col("node").alias("b"), F.col("x").alias("y")), "b").join(known.withColumnRenamed("node", "a"), "a")
     tested = checkpoint(pairs.filter(_can_link(lambda c: F.col("x")[c], lambda c: F.col("y")[c], percent)).select("a", "b"))
+    prefixes = d.filter("tokens is not null").select("node", F.struct(*(f"p{k}" for k in range(len(ORDERS)))).alias("p")).dropDuplicates(["node"])
+    met = checkpoint(_meet(tested, prefixes, report))
     # Sets of large tokens may meet other sets later on, so theirs are kept too.
-    sets = _token_sets(tested.select(F.col("a").alias("node")).union(tested.select("b")).union(many.select("node")).distinct(), docs, size)
-    roots = checkpoint(components(checkpoint(_verify(tested, sets, percent))))
+    sets = _token_sets(met.select(F.col("a").alias("node")).union(met.select("b")).union(many.select("node")).distinct(), docs, size)
+    roots = checkpoint(components(checkpoint(_verify(met, sets, percent))))
 
     def split(left: DataFrame) -> DataFrame:
         """Tokens' sets with their components and the token's number of sets c, of tokens whose sets aren't all in one."""
@@ -242,7 +265,7 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
             continue
         tested = tested.union(p)
         # What is known already are stars, so joining the new links takes few rounds.
-        roots = checkpoint(components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verify(p, sets, percent))))
+        roots = checkpoint(components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verify(_meet(p, prefixes, report), sets, percent))))
     d = d.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = d.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     d = d.join(least, "root", "left")

@@ -70,6 +70,22 @@ def test_ngram_groups_with_common_tokens(spark):
     assert sorted(map(tuple, got.collect())) == groups(rows, 3, 70)
 
 
+def test_orders_rule_out_long_pairs(spark):
+    """Long texts in a ring, each half its neighbour's, and a line of its own with each other text: too long for sketches of fixed size, so the tokens of each order rule pairs out."""
+    import random
+
+    r = random.Random(11)
+    part = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(1500)) for _ in range(20)]
+    line = lambda i, j: f"a{min(i, j)} b{max(i, j)} " * 2 + "and"
+    rows = [(k, " ".join([part[k], part[k - 1], *(line(k, j) for j in range(20) if j != k)])) for k in range(20)]
+    rows += [(100, rows[0][1] + " and more"), (101, rows[1][1].replace(" ", "  "))]
+    report: list = []
+    got = ngram_join.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string"), report=report)
+    assert sorted(map(tuple, got.collect())) == groups(rows, 4, 85)
+    before, second, third = (sum(x[i] for x in report) for i in range(3))
+    assert before > second > third >= 1
+
+
 def test_ngram_groups_nulls_and_nothing(spark):
     d = C.frame(spark)
     assert ngram_join.ngram_groups(d).count() == d.count()
