@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHUNK_SECONDS, OVERLAP_SECONDS, REFINE_OVERLAP, SAME_CENTRE_MS, SAME_OVERLAP
 from ..functions.scalars import overlap_ratio
+from . import series
 from .frames import top_rows
 
 
@@ -81,8 +82,22 @@ def greedy_dedup(pulses: DataFrame, keys: list[str], overlap: float = REFINE_OVE
     return folded.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.*")
 
 
-def nearest_interval(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str, end: str) -> DataFrame:
-    """For each point the interval that contains it, else the one with the nearest end; ties go to the earlier one."""
-    away = F.greatest(F.lit(0.0), F.col(start) - F.col(point), F.col(point) - F.col(end))
-    x = points.join(intervals, keys).withColumn("distance", away)
-    return x.groupBy(*keys, point).agg(F.min(F.struct("distance", start, end)).alias("m")).select(*keys, point, "m.*")
+def nearest_interval(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str, end: str, single: bool = False) -> DataFrame:
+    """For each point the interval that contains it, else the one with the nearest end; ties go to the earlier one.
+
+    A sweep: of a key's intervals by start only those count that end after all before them, so that both
+    their ends grow. In the order of points and of these ends, the answer is the next interval, or the
+    one before if the point lies outside and is nearer to that. single: a key has one point, and is joined with its intervals.
+    """
+    away = lambda s, e: F.greatest(F.lit(0.0), s - F.col(point), F.col(point) - e).alias("distance")
+    if single:
+        x = points.join(intervals, keys).withColumn("distance", away(F.col(start), F.col(end)))
+        return x.groupBy(*keys, point).agg(F.min(F.struct("distance", start, end)).alias("m")).select(*keys, point, "m.*")
+    i = series.most_before(series.ranged(intervals.select(*keys, start, end), keys, [start, end]), keys, F.col(end), "_before")
+    i = i.filter(F.coalesce(F.col(end) > F.col("_before"), F.lit(True))).select(*keys, F.col(end).alias(point), F.struct(start, end).alias("_i"))
+    x = points.select(*keys, point).distinct().withColumn("_i", F.lit(None)).unionByName(i)
+    x = series.ranged(x.withColumn("_kind", F.col("_i").isNotNull()), keys, [point, "_kind"])
+    item = F.when(F.col("_kind"), F.struct("_at", "_i"))
+    x = series.least_after(series.most_before(x, keys, item, "_l"), keys, item, "_r").filter(~F.col("_kind"))
+    of = lambda c: F.when(F.col(c).isNotNull(), F.struct(away(F.col(f"{c}._i")[start], F.col(f"{c}._i")[end]), F.col(f"{c}._i")[start].alias(start), F.col(f"{c}._i")[end].alias(end)))
+    return x.withColumn("m", F.least(of("_l"), of("_r"))).filter("m is not null").select(*keys, point, "m.*")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MIXED_PURITY, NOISE, UNKNOWN
+from . import series
 
 
 def fold_label(label: Column, labels: list[str], unknown: str = UNKNOWN) -> Column:
@@ -69,9 +70,9 @@ def rollup_counts(pulses: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def number_pulses(pulses: DataFrame, key: str, order: list[str], used: DataFrame | None = None) -> DataFrame:
-    """Ids p001, p002, ... within each recording, after those that used (key, n) says it has already."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    """Ids p001, p002, ... within each recording, after those that used (key, n) says it has already. Rows are kept once, in order."""
+    x = series.numbered(pulses, [key], order, "_n").withColumn("_n", F.col("_n") + 1)
     if used is None:
-        return pulses.withColumn("pulse_id", F.format_string("p%03d", n))
-    x = pulses.withColumn("_n", n).join(used.select(key, F.col("n").alias("_used")), key, "left")
+        return x.withColumn("pulse_id", F.format_string("p%03d", "_n")).drop("_n")
+    x = x.join(used.select(key, F.col("n").alias("_used")), key, "left")
     return x.withColumn("pulse_id", F.format_string("p%03d", F.col("_n") + F.coalesce("_used", F.lit(0)))).drop("_n", "_used")

@@ -95,7 +95,7 @@ def refine(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     lit = frames.active(e, keys, "energy_db", frames.refine_threshold)
     runs = frames.islands(lit, keys, "frame", gap).groupBy(*keys, "island").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.first("threshold_db").alias("core_threshold_db"))
     loudest = e.groupBy(*keys).agg(F.min_by("frame", F.struct(-F.col("power"), "frame")).alias("peak_frame"))
-    core = intervals.nearest_interval(loudest, runs.select(*keys, "first_frame", "last_frame"), keys, "peak_frame", "first_frame", "last_frame").select(*keys, "first_frame", "last_frame")
+    core = intervals.nearest_interval(loudest, runs.select(*keys, "first_frame", "last_frame"), keys, "peak_frame", "first_frame", "last_frame", single=True).select(*keys, "first_frame", "last_frame")
     core = core.join(runs.select(*keys, "first_frame", "core_threshold_db"), [*keys, "first_frame"])
     inside = F.col("frame").between(F.col("first_frame"), F.col("last_frame"))
     fixed = ["n_samples", "n_fft", "hop", "candidate_start_s", "candidate_end_s", "first_frame", "last_frame", "core_threshold_db"]

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import FEATURE_FLOORS, FEATURE_WEIGHTS, FEATURES
 from .functions import scalars as S
-from .operators import frames, intervals, matching, overview, reports, review, separation
+from .operators import frames, intervals, matching, overview, reports, review, separation, series
 from .plans import commits
 from .sinks import tables
-from .storage import shared_folder
+from .storage import checkpoint, shared_folder
 from .streaming import pulses as streams
 
 LABELS = ["click", "error", "purchase", "view"]  # signup is left out on purpose: it counts as unknown
@@ -39,10 +39,18 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    """Events with frame, their number within user_id by (ts, event_id), and energy, whose cube gives calls that stand out."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    """Events with energy, whose cube gives calls that stand out."""
     e = _t(spark, sf, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "ts", "user_id", "event_type", "value")
-    return e.withColumns({"frame": F.row_number().over(w) - 1, "energy": F.col("value") * F.col("value") * F.col("value")})
+    return e.withColumn("energy", F.col("value") * F.col("value") * F.col("value"))
+
+
+#: Frames of a block.
+BLOCK = series.BLOCK
+
+
+def _framed(spark: SparkSession, sf: str) -> DataFrame:
+    """_events with frame, their number within user_id by (ts, event_id)."""
+    return series.numbered(_events(spark, sf), ["user_id"], ["ts", "event_id"], "frame")
 
 
 _FRAMES = "f AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events)"
@@ -55,19 +63,26 @@ i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY frame)::BIGINT AS i
 
 
 def _smooth(spark: SparkSession, sf: str) -> DataFrame:
-    e = frames.normalise_db(_events(spark, sf), ["user_id"], "energy", "db")
-    return frames.smooth(e, ["user_id"], ["frame"], "db", "x").withColumn("x", F.round("x", 9))
+    """Smoothed frames, kept, as what follows reads them more than once."""
+    e = frames.normalise_db(_framed(spark, sf), ["user_id"], "energy", "db", BLOCK)
+    x = frames.smooth(e, ["user_id"], ["frame"], "db", "x", BLOCK).withColumn("x", F.round("x", 9))
+    return checkpoint(x.select("user_id", "event_id", "frame", "value", "x"))
+
+
+def _lit(x: DataFrame) -> DataFrame:
+    """Smoothed frames at or above their user's threshold."""
+    q = series.quantiles(x, ["user_id"], "x", {"median": 0.5})
+    return frames.active(x, ["user_id"], "x", levels=q.select("user_id", F.round(frames.detection_level(F.col("median")), 9).alias("threshold_db")))
 
 
-def _islands(spark: SparkSession, sf: str) -> DataFrame:
-    level = lambda c: F.round(frames.detection_threshold(c), 9)
-    return frames.merge_gaps(frames.active(_smooth(spark, sf), ["user_id"], "x", level), ["user_id"], "frame", 2)
+def _islands(x: DataFrame) -> DataFrame:
+    return frames.merge_gaps(_lit(x), ["user_id"], "frame", 2, block=BLOCK)
 
 
 @query(f"WITH {_DB} SELECT user_id, event_id, round(db, 6) AS db FROM d")
 def frame_db_normalise(spark, sf):
     """W11, F9, Q2."""
-    return frames.normalise_db(_events(spark, sf), ["user_id"], "energy", "db").select("user_id", "event_id", F.round("db", 6).alias("db"))
+    return frames.normalise_db(_events(spark, sf), ["user_id"], "energy", "db", BLOCK).select("user_id", "event_id", F.round("db", 6).alias("db"))
 
 
 @query(f"WITH {_SMOOTH} SELECT user_id, event_id, round(x, 6) AS smooth_db FROM s")
@@ -82,13 +97,14 @@ def smooth_zero_pad(spark, sf):
 def adaptive_threshold(spark, sf):
     """A2, A3."""
     x = _smooth(spark, sf)
-    return x.groupBy("user_id").agg(F.round(frames.detection_threshold(F.col("x")), 6).alias("detect_db"), F.round(frames.refine_threshold(F.col("x")), 6).alias("refine_db"), F.count("*").alias("n"))
+    q = series.with_facts(series.quantiles(x, ["user_id"], "x", {"median": 0.5, "p20": 0.2}), x.groupBy("user_id").agg(F.count("*").alias("n")), ["user_id"])
+    return q.select("user_id", F.round(frames.detection_level(F.col("median")), 6).alias("detect_db"), F.round(frames.refine_level(F.col("p20")), 6).alias("refine_db"), "n")
 
 
 @query(f"WITH {_ISLANDS} SELECT user_id, island, min(frame)::BIGINT AS first_frame, max(frame)::BIGINT AS last_frame, count(*)::BIGINT AS n FROM i GROUP BY user_id, island")
 def gap_merge(spark, sf):
     """P3, W2, T3, Q3."""
-    return _islands(spark, sf).select("user_id", "island", F.col("first_frame").cast("long"), F.col("last_frame").cast("long"), "n")
+    return _islands(_smooth(spark, sf)).select("user_id", "island", F.col("first_frame").cast("long"), F.col("last_frame").cast("long"), "n")
 
 
 @query(
@@ -98,7 +114,7 @@ def gap_merge(spark, sf):
 )
 def gap_merge_time(spark, sf):
     """W2 on times: the batch twin of a session window."""
-    x = frames.islands(_events(spark, sf), ["user_id"], "us", F.lit(3_600_000_000), ["us", "event_id"])
+    x = frames.islands(_events(spark, sf), ["user_id"], "us", F.lit(3_600_000_000), ["us", "event_id"], 7 * 86_400_000_000)
     return x.groupBy("user_id", "island").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("n"))
 
 
@@ -109,8 +125,9 @@ def gap_merge_time(spark, sf):
 )
 def pulse_snr(spark, sf):
     """A4 over each island and 20 frames on either side."""
-    near = _islands(spark, sf).withColumn("frame", F.explode(F.sequence(F.col("first_frame") - 20, F.col("last_frame") + 20)))
-    x = near.join(_smooth(spark, sf).select("user_id", "frame", "x"), ["user_id", "frame"])
+    s = _smooth(spark, sf)
+    near = _islands(s).withColumn("frame", F.explode(F.sequence(F.col("first_frame") - 20, F.col("last_frame") + 20)))
+    x = near.join(s.select("user_id", "frame", "x"), ["user_id", "frame"])
     return frames.island_snr(x, ["user_id", "island"], "x", F.col("frame").between(F.col("first_frame"), F.col("last_frame"))).withColumn("snr_db", F.round("snr_db", 6))
 
 
@@ -372,7 +389,7 @@ def mad_p90(spark, sf):
 @query(f"WITH {_FRAMES} SELECT user_id, round(max(j), 6) AS max_jump FROM (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY frame)) AS j FROM f) GROUP BY user_id")
 def jump_max(spark, sf):
     """W3."""
-    return frames.largest_jump(_events(spark, sf), ["user_id"], ["frame"], "value").withColumn("max_jump", F.round("max_jump", 6))
+    return frames.largest_jump(_framed(spark, sf), ["user_id"], ["frame"], "value", BLOCK).withColumn("max_jump", F.round("max_jump", 6))
 
 
 @query(
@@ -380,7 +397,7 @@ def jump_max(spark, sf):
 )
 def edge_medians(spark, sf):
     """W6."""
-    x = frames.edge_medians(_events(spark, sf), ["user_id"], ["frame"], "value")
+    x = frames.edge_medians(_events(spark, sf), ["user_id"], ["ts", "event_id"], "value")
     return x.withColumns({c: F.round(c, 6) for c in ("start_value", "end_value")})
 
 
@@ -391,8 +408,8 @@ def edge_medians(spark, sf):
 )
 def rolling_medians(spark, sf):
     """W4, W5, Q20."""
-    x = frames.rolling_median(_events(spark, sf), ["user_id"], ["frame"], "value", 3, "nearest", "near3")
-    return frames.rolling_median(x, ["user_id"], ["frame"], "value", 5, "zero", "zero5").select("user_id", "event_id", "near3", "zero5")
+    x = frames.rolling_median(_framed(spark, sf), ["user_id"], ["frame"], "value", 3, "nearest", "near3", BLOCK)
+    return frames.rolling_median(x, ["user_id"], ["frame"], "value", 5, "zero", "zero5", BLOCK).select("user_id", "event_id", "near3", "zero5")
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INT AS rank FROM events QUALIFY rank <= 5")
@@ -404,7 +421,7 @@ def topk_peaks(spark, sf):
 @query(f"WITH {_FRAMES} SELECT user_id, event_id, value FROM f QUALIFY value > lag(value) OVER (PARTITION BY user_id ORDER BY frame) AND value > lead(value) OVER (PARTITION BY user_id ORDER BY frame)")
 def local_maxima(spark, sf):
     """O11 by height."""
-    return frames.local_maxima(_events(spark, sf), ["user_id"], ["frame"], "value").select("user_id", "event_id", "value")
+    return frames.local_maxima(_framed(spark, sf), ["user_id"], ["frame"], "value", BLOCK).select("user_id", "event_id", "value")
 
 
 @query("SELECT user_id, arg_min(event_id, (-value, event_id)) AS best_event, max(value) AS value FROM events GROUP BY user_id")
@@ -422,8 +439,9 @@ _ISL = "SELECT user_id, island, min(frame) AS a, max(frame) AS z FROM i GROUP BY
 )
 def nearest_interval(spark, sf):
     """The island of a user's loudest frame, or the nearest."""
-    peak = _events(spark, sf).groupBy("user_id").agg(F.min_by("frame", F.struct(-F.col("value"), F.col("frame"))).cast("long").alias("peak"))
-    i = _islands(spark, sf).select("user_id", F.col("first_frame").cast("long").alias("first_frame"), F.col("last_frame").cast("long").alias("last_frame"))
+    s = _smooth(spark, sf)
+    peak = s.groupBy("user_id").agg(F.min_by("frame", F.struct(-F.col("value"), F.col("frame"))).cast("long").alias("peak"))
+    i = _islands(s).select("user_id", F.col("first_frame").cast("long").alias("first_frame"), F.col("last_frame").cast("long").alias("last_frame"))
     x = intervals.nearest_interval(peak, i, ["user_id"], "peak", "first_frame", "last_frame")
     return x.select("user_id", "peak", "first_frame", F.col("distance").cast("long").alias("distance"))
 
@@ -489,7 +507,7 @@ def overview_maxpool(spark, sf):
 )
 def waveform_minmax(spark, sf):
     """A25."""
-    x = overview.minmax_trace(_events(spark, sf), ["user_id"], F.floor(F.col("frame") / 16), "frame", "value")
+    x = overview.minmax_trace(_framed(spark, sf), ["user_id"], F.floor(F.col("frame") / 16), "frame", "value")
     return x.select("user_id", "bucket", F.col("at").cast("long").alias("at"), "value")
 
 
@@ -588,9 +606,7 @@ def pulse_numbering(spark, sf):
 )
 def segment_summary(spark, sf):
     """Calls per class and recording: frames, threshold, islands, match and pivot."""
-    level = lambda c: F.round(frames.detection_threshold(c), 9)
-    lit = frames.active(_smooth(spark, sf), ["user_id"], "x", level)
-    p = frames.islands(lit, ["user_id"], "frame", F.lit(3)).groupBy("user_id", "island").agg(
+    p = frames.islands(_lit(_smooth(spark, sf)), ["user_id"], "frame", F.lit(3), block=BLOCK).groupBy("user_id", "island").agg(
         F.min("frame").cast("double").alias("duration_ms"), F.max("value").alias("peak_freq_khz"), (F.max("frame") - F.min("frame") + 1).cast("double").alias("slope_khz_per_ms")
     )
     t = spark.createDataFrame([("long", 0, 30.0, 100.0, 6.0), ("loud", 1, 40.0, 200.0, 2.0), ("short", 2, 20.0, 60.0, 1.0)], "label string, ord int, duration_ms double, peak_freq_khz double, slope_khz_per_ms double")

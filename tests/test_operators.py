@@ -217,7 +217,7 @@ def test_bounds_lose_no_match(spark):
     """The best of warping every pair, with tracks of several lengths, without tracks, and ties; and fewer pairs warped."""
     r = np.random.default_rng(3)
     shapes = [np.cumsum(r.normal(0, 1.5, 32)) + 50 for _ in range(12)]
-    of = lambda k: [None, [], list(shapes[k % 12][:20] + r.normal(0, 0.3, 20))][k % 9] if k % 9 < 3 else list(shapes[k % 12] + r.normal(0, 0.3, 32))
+    of = lambda k: [None, [], (shapes[k % 12][:20] + r.normal(0, 0.3, 20)).tolist()][k % 9] if k % 9 < 3 else (shapes[k % 12] + r.normal(0, 0.3, 32)).tolist()
     t = [("x" if k % 2 else "y", f"f{k}", k, float(k % 7), of(k)) for k in range(60)]
     t += [(*t[5][:2], 60, *t[5][3:])]
     p = [(k, float(k % 7) + 0.2, of(k + 3)) for k in range(80)] + [(80, t[5][3], t[5][4])]
