@@ -38,7 +38,7 @@ SPACES = b" \t\n\r\x0b\x0c"
 
 def text_blocks(column: pa.Array):
     """Yield (first row, bytes, offsets) for runs of rows of about BLOCK bytes; null texts are empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    column = (pc.fill_null(column, "") if column.null_count else column).cast(pa.large_string())
     if not len(column):
         return
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

@@ -27,6 +27,8 @@ ORDERS = (0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9)
 PARITY, MARKS = 8, 4
 #: Each turn has so many times the hubs of the turn before.
 MORE_HUBS = 8
+#: Tokens in a batch that a task gives out, and keys that it sorts at once: both bound its memory.
+OUT_TOKENS, FLUSH = 1 << 19, 1 << 20
 
 
 def shingle_sets(column: pa.Array, size: int):
@@ -123,39 +125,36 @@ def _token_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(_marked(nodes))
 
+    def found(out):
+        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.binary()), pa.array([t for _, t in out], pa.list_(pa.int64()))], names=["node", "tokens"])
+
     def sets(batches):
         for b in batches:
-            out, done = [], set()
+            out, done, held = [], set(), 0
             for _, tokens in shingle_sets(b.column(0), size):
                 if len(tokens):
                     node = node_of(tokens)
                     m = int.from_bytes(node[:4], "big") >> (32 - MARK_BITS)
                     if sent.value[m >> 3] >> (m & 7) & 1 and node not in done:
                         done.add(node)
-                        out.append((node, tokens.astype("<u8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in range(2)], names=["node", "tokens"])
+                        out.append((node, tokens.view(np.int64)))
+                        held += len(tokens)
+                if held >= OUT_TOKENS:
+                    yield found(out)
+                    out, held = [], 0
+            yield found(out)
 
-    return checkpoint(docs.select("text").mapInArrow(sets, "node binary, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    return checkpoint(docs.select("text").mapInArrow(sets, "node binary, tokens array<bigint>").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
-
-    def check(batches):
-        for whole in batches:
-            for first in range(0, whole.num_rows, 1024):
-                b = whole.slice(first, 1024)
-                keep = []
-                for ta, tb in zip(b.column(2), b.column(3)):
-                    x, y = np.frombuffer(ta.as_py(), "<u8"), np.frombuffer(tb.as_py(), "<u8")
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
-
     # A set is moved once for each of its pairs; splits of a large key repeat one set only.
     t = pairs.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
     t = t.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-    return t.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
+    common = F.size(F.array_intersect("ta", "tb"))
+    t = t.select("a", "b", common.alias("common"), (F.size("ta") + F.size("tb")).alias("n"))
+    return t.filter((F.col("common") > 0) & (F.col("common") * (100 + percent) >= F.col("n") * percent)).select("a", "b")
 
 
 def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85, report: list | None = None) -> DataFrame:
@@ -188,33 +187,37 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85, report: list
     index_bits = min(INDEX_BITS, WIDEST - slice_bits)
 
     def count(batches):
-        yield from slice_rows((t for b in batches for _, t in shingle_sets(b.column(0), size)), 1, slice_bits, LOW_BITS, COMMON, lambda keys, d: keys)
+        yield from slice_rows((t for b in batches for _, t in shingle_sets(b.column(0), size)), 1, slice_bits, LOW_BITS, COMMON, lambda keys, d: keys, FLUSH)
 
     seen = spark.sparkContext.broadcast(bitmaps(docs.select("text").mapInArrow(count, ROWS), 1, slice_bits, LOW_BITS, index_bits, (2, COMMON)))
 
+    def given(ids, out):
+        names, sizes, known, tokens, sketched, others = zip(*out)
+        longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(tokens, longs), pa.array(sketched, longs), *(pa.array([o[k] for o in others], ints) for k in range(len(ORDERS)))], names=schema.names
+        )
+
     def nodes(batches):
         for b in batches:
-            names, sizes, known, tokens, sketched, others, done = [], [], [], [], [], [], set()
+            out, done, first_row, held = [], set(), 0, 0
             for _, t in shingle_sets(b.column(1), size):
                 node = node_of(t) if len(t) else None
-                names.append(node)
-                sizes.append(len(t))
-                if node in done or not len(t):
-                    known.append(0)
-                    tokens.append(None)  # a copy: its set's tokens are there
-                    sketched.append(None)
-                    others.append([None] * len(ORDERS))
+                if node in done or not len(t):  # a copy: its set's tokens are there
+                    out.append((node, len(t), 0, None, None, [None] * len(ORDERS)))
                 else:
                     done.add(node)
                     level = _levels(t, seen.value)
                     first = prefix(t, level, None, percent)
-                    known.append(int((level > 0).sum()))
-                    tokens.append(t[first[level[first] > 0]].view(np.int64))
                     firsts = [prefix(t, level, factor, percent) for factor in ORDERS]
                     firsts = [t[f[level[f] > 0]] for f in firsts]
-                    sketched.append(sketches(t, firsts))
-                    others.append([f.astype(np.uint32).view(np.int32) for f in firsts])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketched, pa.list_(pa.int64())), *(pa.array([o[k] for o in others], pa.list_(pa.int32())) for k in range(len(ORDERS)))], names=schema.names)
+                    out.append((node, len(t), int((level > 0).sum()), t[first[level[first] > 0]].view(np.int64), sketches(t, firsts), [f.astype(np.uint32).view(np.int32) for f in firsts]))
+                    held += sum(map(len, firsts)) + len(out[-1][3])
+                if held >= OUT_TOKENS:
+                    yield given(b.column(0).slice(first_row, len(out)), out)
+                    first_row, out, held = first_row + len(out), [], 0
+            if out:
+                yield given(b.column(0).slice(first_row), out)
 
     from pyspark.sql.types import ArrayType, IntegerType, LongType
 

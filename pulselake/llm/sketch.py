@@ -46,8 +46,8 @@ def slices(keys: np.ndarray, slice_bits: int, low_bits: int, most: int) -> Itera
         yield int(s), low[cuts[s] : cuts[s + 1]].tobytes()
 
 
-def slice_rows(arrays: Iterator[np.ndarray], depth: int, slice_bits: int, low_bits: int, most: int, rehash) -> Iterator[pa.RecordBatch]:
-    """Rows (d, slice, cells) of arrays of keys, some millions of keys at a time; rehash(keys, d) gives row d's keys."""
+def slice_rows(arrays: Iterator[np.ndarray], depth: int, slice_bits: int, low_bits: int, most: int, rehash, flush_keys: int = FLUSH) -> Iterator[pa.RecordBatch]:
+    """Rows (d, slice, cells) of arrays of keys, flush_keys keys at a time or as many as one array has; rehash(keys, d) gives row d's keys."""
     held: list[np.ndarray] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -60,7 +60,7 @@ def slice_rows(arrays: Iterator[np.ndarray], depth: int, slice_bits: int, low_bi
     for a in arrays:
         held.append(a)
         n += len(a)
-        if n >= FLUSH:
+        if n >= flush_keys:
             yield from flush()
             held, n = [], 0
     if n:
