@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, components, table, with_fields
 from .kernel import lower, mix, text_blocks, windows, word_hashes, words
-from .sketch import ROWS, WIDEST, bitmaps, lookup, slice_rows, width
+from .sketch import ROWS, bitmaps, clipped, lookup, slice_rows, words_log
 
-#: Shingles are counted by LOW_BITS bits within a slice and marked by up to INDEX_BITS of these; a slice is for some 2 ** SLICE_LOAD words, and there are at most 2 ** SLICES.
-LOW_BITS, INDEX_BITS, SLICE_LOAD, SLICES = 32, 13, 14, 18
+#: Shingles are counted by LOW_BITS bits within a slice. There are 2 ** FEWEST slices, so that what tasks give out grows with the words only,
+#: up to where one would be for more than 2 ** SLICE_LOAD words, beyond that more of them, 2 ** SLICES at most.
+LOW_BITS, FEWEST, SLICE_LOAD, SLICES = 32, 8, 23, 18
 #: A shingle of at least so many documents is common: it comes last in every order.
 COMMON = 32
 #: Sets that share a prefix token are compared pair by pair up to this number, beyond it with hubs.
@@ -182,9 +183,9 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85, report: list
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
 
-    bits = width(docs)
-    slice_bits = min(SLICES, bits - SLICE_LOAD)
-    index_bits = min(INDEX_BITS, WIDEST - slice_bits)
+    bits = words_log(docs)
+    slice_bits = max(FEWEST, min(SLICES, bits - SLICE_LOAD))
+    index_bits = clipped(bits) - 1 - slice_bits
 
     def count(batches):
         yield from slice_rows((t for b in batches for _, t in shingle_sets(b.column(0), size)), 1, slice_bits, LOW_BITS, COMMON, lambda keys, d: keys, FLUSH)

@@ -22,10 +22,19 @@ NARROWEST, WIDEST = 18, 30
 WORD_BYTES = 6
 
 
-def width(docs: DataFrame) -> int:
-    """log2 of the number of words of docs, about, within bounds: the text's bytes are counted without Python."""
+def words_log(docs: DataFrame) -> int:
+    """log2 of the number of words of docs, about: the text's bytes are counted without Python."""
     n = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return min(WIDEST, max(NARROWEST, (n // WORD_BYTES).bit_length() - 1))
+    return (n // WORD_BYTES).bit_length() - 1
+
+
+def clipped(bits: int) -> int:
+    return min(WIDEST, max(NARROWEST, bits))
+
+
+def width(docs: DataFrame) -> int:
+    """log2 of the number of words of docs, about, within bounds."""
+    return clipped(words_log(docs))
 
 
 def capped(cells: np.ndarray, most: int) -> np.ndarray:
