@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHUNK_SECONDS, OVERLAP_SECONDS, REFINE_OVERLAP, SAME_CENTRE_MS, SAME_OVERLAP
@@ -61,25 +64,39 @@ def greedy_dedup(pulses: DataFrame, keys: list[str], overlap: float = REFINE_OVE
     """A fold over a group's pulses by start, against the last one kept.
 
     A pulse that shares ``overlap`` of the shorter with the last kept one replaces it if its SNR is
-    higher and is dropped otherwise. Pulses have start_s, end_s, snr_db and the columns extra. A pulse
-    that begins after all before it have ended overlaps none of them, so a group is first cut there by
-    a running maximum, and the fold holds one run of overlapping pulses, however many a group has.
+    higher and is dropped otherwise. Pulses have start_s, end_s, snr_db and the columns extra. Each task
+    sorts its groups and steps over them once, holding the last kept pulse alone, however many overlap.
+    A pulse without start or end overlaps none; one without SNR replaces none.
     """
-    item = F.struct("start_s", "end_s", "snr_db", *extra)
-    by_start = Window.partitionBy(*keys).orderBy("start_s", "end_s")
-    apart = F.coalesce(F.col("start_s") >= F.max("end_s").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    runs = pulses.withColumn("_apart", apart.cast("int")).withColumn("_run", F.sum("_apart").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    folded = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(item)).alias("p"))
-
-    def step(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)
-        same = (F.size(kept) > 0) & (overlap_ratio(last["start_s"], last["end_s"], x["start_s"], x["end_s"]) >= overlap)
-        replace = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x))
-        return F.when(~same, F.concat(kept, F.array(x))).when(x["snr_db"] > last["snr_db"], replace).otherwise(kept)
-
-    none = F.slice("p", 1, 0)
-    kept = F.aggregate("p", none, lambda kept, x: F.when(F.size(kept) == 0, F.array(x)).otherwise(step(kept, x)))
-    return folded.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.*")
+    item = ["start_s", "end_s", "snr_db", *extra]
+    x = pulses.select(*keys, *item).repartition(*keys).sortWithinPartitions(*keys, *item)
+    names, n_keys = x.columns, len(keys)
+
+    def fold(batches):
+        last = None  # the one row that may still be replaced
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks()
+            new = np.zeros(rows.num_rows, bool)
+            for k in range(n_keys):
+                code = pc.fill_null(rows.column(k).combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            start, end, snr = (pc.fill_null(rows.column(n_keys + i).cast(pa.float64()), np.nan).to_pylist() for i in range(3))
+            kept, at = [], 0
+            for i in range(1, len(start)):
+                shorter = min(end[at] - start[at], end[i] - start[i])
+                if new[i] or not (shorter > 0 and max(0.0, min(end[at], end[i]) - max(start[at], start[i])) / shorter >= overlap):
+                    kept.append(at)
+                    at = i
+                elif snr[i] > snr[at]:
+                    at = i
+            last = rows.slice(at, 1).to_batches()[0]
+            yield from rows.take(pa.array(kept, pa.int64())).to_batches()
+        if last is not None:
+            yield last
+
+    return x.mapInArrow(fold, x.schema).select(*names)
 
 
 def nearest_interval(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str, end: str, single: bool = False) -> DataFrame:

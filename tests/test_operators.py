@@ -66,6 +66,12 @@ def test_greedy_fold_and_cross_chunk_rule(spark):
     got = intervals.greedy_dedup(x, ["k"], extra=("name",)).collect()
     for k in range(5):
         assert sorted((g.start_s, g.end_s, g.snr_db, g.name) for g in got if g.k == k) == slow_fold([row[1:] for row in rows if row[0] == k], 0.6)
+    assert intervals.greedy_dedup(x.limit(0), ["k"]).count() == 0
+    run = [(1, i / 10, i / 10 + 1 + i % 3, float(i * 7 % 11)) for i in range(25_000)]  # overlaps all along, over several batches
+    got = intervals.greedy_dedup(spark.createDataFrame(run, "k int, start_s double, end_s double, snr_db double"), ["k"]).collect()
+    assert sorted(tuple(g)[1:] for g in got) == slow_fold([row[1:] for row in run], 0.6)
+    odd = spark.createDataFrame([(None, 0.0, 1.0, 5.0), (None, 0.1, 1.0, None), (1, 0.0, 1.0, 1.0), (1, None, 1.0, 9.0)], "k int, start_s double, end_s double, snr_db double")
+    assert sorted(tuple(g) for g in intervals.greedy_dedup(odd, ["k"]).na.fill(-1).collect()) == [(-1, 0.0, 1.0, 5.0), (1, -1.0, 1.0, 9.0), (1, 0.0, 1.0, 1.0)]
     p = [("r", int(c), float(a), float(a + w)) for c, a, w in zip(r.integers(0, 4, 120), r.uniform(0, 20, 120).round(3), r.uniform(0.001, 2, 120).round(3))]
     got = intervals.drop_repeats_across_chunks(spark.createDataFrame(p, "recording_key string, chunk_index int, start_s double, end_s double"), tail=None).collect()
 
