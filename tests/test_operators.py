@@ -244,3 +244,25 @@ def test_bounds_lose_no_match(spark):
     a, b = r.normal(0, 3, (40, 32)), r.normal(0, 3, (30, 27))
     bound = matching.dtw_bounds(a, b)
     assert all(bound[i, j] <= matching.dtw_distances(a[i : i + 1], b[j : j + 1])[0] + 1e-12 for i in range(40) for j in range(30))
+
+
+def test_products_find_what_pairs_find(spark):
+    """Features alone: ties, copies, values far off zero, scores that round to 0 and templates that are not finite, against every pair; no pair of a pulse and a template is a row."""
+    r = np.random.default_rng(5)
+    names = ("duration_ms", "peak_freq_khz")
+    t = [(f"c{k % 3}", f"f{k}", k, *(1e5 + r.normal(0, 9, 2)).tolist()) for k in range(300)]
+    t += [(*t[7][:2], 300, *t[7][3:]), ("c1", "f301", 301, float("nan"), 1.0)]
+    p = [(k, *(1e5 + r.normal(0, 9, 2)).tolist()) for k in range(400)] + [(400, *t[7][3:]), (401, 1e9, 1e9), (402, 1e5 + 1470.0, 1e5)]
+    templates = spark.createDataFrame(t[:-1], "label string, file string, ord long, duration_ms double, peak_freq_khz double")
+    pulses = spark.createDataFrame(p, "pulse_key int, duration_ms double, peak_freq_khz double")
+    s = {x.label: x for x in matching.group_scales(templates, names).collect()}
+    pairs = pulses.withColumnsRenamed({f: f"p_{f}" for f in names}).crossJoin(templates).join(spark.createDataFrame(list(s.values())), "label")
+    score = S.feature_similarity({f: F.col(f"p_{f}") for f in names}, {f: F.col(f) for f in names}, {f: F.col(f"scale_{f}") for f in names})
+    want = {x.pulse_key: x.m for x in pairs.withColumn("score", score).groupBy("pulse_key").agg(F.min_by(F.struct("file", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("m")).collect()}
+    found = matching.best_matches(pulses, templates, names)
+    assert "NestedLoop" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in plan
+    got = {x.pulse_key: x for x in found.collect()}
+    assert all(got[k].template_file == m.file and got[k].confidence == pytest.approx(m.score, rel=1e-12, abs=0) for k, m in want.items())
+    assert got[400].template_file == "f7" and (got[401].template_file, got[401].confidence) == ("f0", 0.0) and 0 < got[402].confidence < 1e-9
+    odd = spark.createDataFrame(t[-1:] + t[:1], templates.schema)
+    assert {x.template_file for x in matching.best_matches(pulses, odd, names).collect()} == {"f0"}
