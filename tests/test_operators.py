@@ -266,3 +266,20 @@ def test_products_find_what_pairs_find(spark):
     assert got[400].template_file == "f7" and (got[401].template_file, got[401].confidence) == ("f0", 0.0) and 0 < got[402].confidence < 1e-9
     odd = spark.createDataFrame(t[-1:] + t[:1], templates.schema)
     assert {x.template_file for x in matching.best_matches(pulses, odd, names).collect()} == {"f0"}
+
+
+def test_least_costs_rule_pairs_out():
+    """A floor never lies above the distance, nor far off a path's least cost, so few of many unlike pairs are warped with their paths' lengths."""
+    r = np.random.default_rng(8)
+    for wide, shift, n, m in ((1.7, 0.0, 32, 32), (3.0, 5e4, 32, 27), (0.0, 7.0, 5, 9), (1.0, 0.0, 1, 1)):
+        a, b = r.normal(shift, wide, (200, n)), r.normal(shift, wide, (200, m))
+        floor, far = matching.dtw_floors(a, b), matching.dtw_distances(a, b)
+        assert (floor <= far + 1e-12).all() and (wide != 1.7 or (floor > 0.5 * far).all())
+    rows = [{"label": "a", "file": f"f{k}", "ord": k, "duration_ms": v, "scale_duration_ms": 2.0, "track": r.normal(0, 17, 32).tolist()} for k, v in enumerate(r.normal(0, 0.5, 900))]
+    x, tracks = r.normal(0, 0.5, (30, 1)), list(r.normal(0, 17, (30, 32)))
+    library = matching.Library(rows, ("duration_ms",), "track")
+    at, score, warped = matching.warped_best(library, x, tracks)
+    for i in range(30):
+        every = 0.5 * library.similarity(np.repeat(x[i : i + 1], 900, 0), np.arange(900)) + 0.5 * np.exp(-matching.dtw_distances(np.repeat(tracks[i][None], 900, 0), library.tracks[32][1]) / 6)
+        assert at[i] == every.argmax() and score[i] == pytest.approx(every.max(), abs=1e-14)
+    assert warped.mean() < 250
