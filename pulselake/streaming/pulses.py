@@ -8,10 +8,12 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import StructType
 
 from ..config import SAME_CENTRE_MS, SAME_OVERLAP, UNKNOWN
 from ..operators.reports import fold_label
@@ -19,6 +21,8 @@ from ..sources.recordings import local
 from ..storage import shared_folder
 
 TAIL = "chunk int, starts array<double>, ends array<double>"
+#: Maps of state that recordings are dealt to.
+BUCKETS = 1 << 12
 
 
 def new_recordings(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -89,43 +93,56 @@ def unrepeated(pulses: DataFrame, key: str = "recording_key", tail: int = 8) ->
 def unrepeated_for(pulses: DataFrame, key: str = "recording_key", tail: int = 8, keep_ms: int | None = 86_400_000) -> DataFrame:
     """T5: as unrepeated, with state that ends: a recording's tail is forgotten keep_ms milliseconds after its last pulse (None: never).
 
-    State is a list of at most tail intervals for each recording, with a time to live, in a store that
-    keeps it on disk (STATE_STORE set to ROCKSDB), so recordings that are done cost nothing. With a time to
-    live, use a trigger by processing time: Spark looks for what has ended for ever, so a stream that is
-    to end with its source (availableNow) needs None.
+    State is a map from recordings to at most tail intervals each, whose entries have a time to live, in a
+    store that keeps it on disk (STATE_STORE set to ROCKSDB), so recordings that are done cost nothing.
+    Recordings are dealt to BUCKETS maps, as a call of Python for each recording costs more than its
+    pulses do; a call holds a bucket's rows of one batch. With a time to live, use a trigger by processing
+    time: Spark looks for what has ended for ever, so a stream that is to end with its source
+    (availableNow) needs None.
     """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     names = pulses.columns
+    of = StructType([pulses.schema[key]])
 
     class Repeats(StatefulProcessor):
         def init(self, handle) -> None:
-            self.held = handle.getListState("tail", "chunk int, start_s double, end_s double", ttlDurationMs=keep_ms)
-
-        def handleInputRows(self, key, rows, timer_values):
-            held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-            chunk = held[0][0] if held else -1
-            before, mine = [], [r[1:] for r in held]
-            for batch in rows:
-                batch = batch.sort_values(["chunk_index", "start_s", "end_s"], kind="stable")
-                for index, part in batch.groupby("chunk_index", sort=True):
-                    if index != chunk:  # else the rest of a chunk that a batch cut
-                        before, mine = mine if index == chunk + 1 else [], []
-                    keep = [not any(same(a, b, s, e) for a, b in before) for s, e in zip(part.start_s, part.end_s)]
-                    part = part[keep]
-                    mine = (mine + list(zip(part.start_s.astype(float), part.end_s.astype(float))))[-tail:]
-                    chunk = int(index)
-                    if len(part):
-                        yield part[names]
-            if mine:
-                self.held.put([(chunk, s, e) for s, e in mine])
-            else:
-                self.held.clear()
+            self.held = handle.getMapState("tail", of, TAIL, ttlDurationMs=keep_ms)
+
+        def handleInputRows(self, _, rows, timer_values):
+            x = pd.concat(list(rows), ignore_index=True)
+            x = x.iloc[np.lexsort((x["end_s"], x["start_s"], x["chunk_index"]))]
+            recording = x.groupby(key, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(recording, kind="stable")
+            x, recording = x.iloc[order], recording[order]
+            known = self.held.exists()
+            starts, ends, chunks = x["start_s"].astype(float).tolist(), x["end_s"].astype(float).tolist(), x["chunk_index"].tolist()
+            at = [*np.flatnonzero(np.diff(recording, prepend=-1)).tolist(), len(x)]
+            keys = [None if pd.isna(k) else k for k in x[key].iloc[at[:-1]].tolist()]
+            keep = np.ones(len(x), bool)
+            for k, first, last in zip(keys, at, at[1:]):
+                held = self.held.getValue((k,)) if known and self.held.containsKey((k,)) else None
+                chunk, before, mine = (held[0], [], list(zip(held[1], held[2]))) if held else (-1, [], [])
+                for i in range(first, last):
+                    if chunks[i] != chunk:  # else the rest of a chunk, also of one that a batch cut
+                        before, mine, chunk = mine[-tail:] if chunks[i] == chunk + 1 else [], [], chunks[i]
+                    if any(same(a, b, starts[i], ends[i]) for a, b in before):
+                        keep[i] = False
+                    else:
+                        mine.append((starts[i], ends[i]))
+                mine = mine[-tail:]
+                if mine:
+                    self.held.updateValue((k,), (chunk, [s for s, _ in mine], [e for _, e in mine]))
+                elif held:
+                    self.held.removeKey((k,))
+            if keep.any():
+                yield x.loc[keep, names]
 
         def close(self) -> None:
             pass
 
-    return pulses.groupBy(key).transformWithStateInPandas(Repeats(), pulses.schema, "append", "ProcessingTime" if keep_ms is not None else "None")
+    dealt = pulses.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(Repeats(), pulses.schema, "append", "ProcessingTime" if keep_ms is not None else "None")
 
 
 #: The state store that operators with lists, times to live and timers need.

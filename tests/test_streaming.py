@@ -114,3 +114,19 @@ def test_totals_go_on_from_the_state(spark, folder, tmp_path):
     assert {r.recording_key: (r.total_calls, r.a, r.unknown) for r in state.collect()} == {"a": (6, 6, 0), "b": (3, 0, 3), "c": (2, 0, 2)}
     more = spark.createDataFrame([("a", 9, 0.0, 1.0), ("d", 0, 0.0, 1.0)], KIND)
     assert {r.recording_key: r.total_calls for r in P.add_totals(state, more, "recording_key", "recording_key", ["a"]).collect()} == {"a": 7, "b": 3, "c": 2, "d": 1}
+
+
+def test_recordings_share_calls(spark, folder, tmp_path, monkeypatch):
+    """Recordings of one map of state keep their own tails, batch by batch and at once; a call of Python takes a map's rows, not a recording's."""
+    monkeypatch.setattr(P, "BUCKETS", 1)
+    spark.conf.set(P.STATE_STORE, P.ROCKSDB)
+    want = sorted(map(tuple, intervals.drop_repeats_across_chunks(spark.createDataFrame(ROWS, KIND)).collect()))
+    for name, src in (("many", source(spark, folder)), ("one", spark.readStream.schema(KIND).parquet(folder))):
+        x = P.unrepeated_for(src, keep_ms=None)
+        assert "_bucket" in x._jdf.queryExecution().analyzed().toString()
+        P.ran_to_end(x, str(tmp_path / name), "append")
+        assert sorted(map(tuple, spark.read.schema(KIND).parquet(str(tmp_path / name / "rows")).select("recording_key", "chunk_index", "start_s", "end_s").collect())) == want
+    rows = [(None, 0, 9.998, 10.003), ("a", 1, 9.999, 10.004), (None, 1, 9.999, 10.004), *((f"r{k}", c, 10.0 * c + 9.998, 10.0 * c + 10.003) for k in range(3000) for c in range(4))]
+    spark.createDataFrame(rows, KIND).repartition(3).write.parquet(str(tmp_path / "in"))
+    P.ran_to_end(P.unrepeated_for(spark.readStream.schema(KIND).parquet(str(tmp_path / "in")), keep_ms=None), str(tmp_path / "wide"), "append")
+    assert spark.read.schema(KIND).parquet(str(tmp_path / "wide/rows")).count() == len(rows) - 1
