@@ -93,8 +93,26 @@ def merge_gaps(rows: DataFrame, keys: list[str], frame: str, max_gap_frames: int
 
 
 def island_snr(frames: DataFrame, keys: list[str], value: str, inside: Column) -> DataFrame:
-    """A4: median inside less median outside, or less the 20th percentile of all if nothing is outside."""
-    return frames.groupBy(*keys).agg((F.median(F.when(inside, F.col(value))) - F.coalesce(F.median(F.when(~inside, F.col(value))), F.percentile(value, F.lit(0.2)))).alias("snr_db"))
+    """A4: median inside less median outside, or less the 20th percentile of all if nothing is outside.
+
+    Values are ranked by a sort, which spills, so no buffer holds those of an island. Nulls are left out;
+    inside, where it is null, is neither, and counts among all.
+    """
+    x = frames.select(*keys, F.col(value).cast("double").alias("_v"), inside.alias("_in"))
+    side, every = Window.partitionBy(*keys, "_in"), Window.partitionBy(*keys)
+    x = x.withColumns({"_r": F.row_number().over(side.orderBy(F.asc_nulls_last("_v"))) - 1, "_n": F.count("_v").over(side)})
+    # All are ranked where an island has nothing outside. There all values but those without a side lie inside.
+    x = x.withColumn("_bare", F.count(F.when(~F.col("_in"), F.col("_v"))).over(every) == 0)
+    whole = F.when(F.col("_bare") & F.col("_v").isNotNull(), F.lit(1))
+    x = x.withColumns({"_all": F.row_number().over(every.orderBy(F.asc_nulls_last("_v"))) - 1, "_m": F.count(whole).over(every)})
+
+    def quantile(q: float, rank: str, n: str, among: Column) -> Column:
+        at = (F.col(n) - 1) * F.lit(q)
+        low = F.max(F.when(among & (F.col(rank) == F.floor(at)), F.col("_v") * (1 - at + F.floor(at))))
+        return low + F.max(F.when(among & (F.col(rank) == F.ceil(at)), F.col("_v") * F.when(at == F.floor(at), 0.0).otherwise(at - F.floor(at))))
+
+    core, around = quantile(0.5, "_r", "_n", F.col("_in")), quantile(0.5, "_r", "_n", ~F.col("_in"))
+    return x.groupBy(*keys).agg((core - F.coalesce(around, quantile(0.2, "_all", "_m", F.col("_bare")))).alias("snr_db"))
 
 
 def global_stats(samples: DataFrame, keys: list[str], block: list[str], value: str) -> DataFrame:

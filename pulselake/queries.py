@@ -127,7 +127,10 @@ def pulse_snr(spark, sf):
     """A4 over each island and 20 frames on either side."""
     s = _smooth(spark, sf)
     near = _islands(s).withColumn("frame", F.explode(F.sequence(F.col("first_frame") - 20, F.col("last_frame") + 20)))
-    x = near.join(s.select("user_id", "frame", "x"), ["user_id", "frame"])
+    # So many tasks that one has no more rows of a larger table than of a small one; and no side is broadcast, as Spark takes near for as small as it is before explode.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), s.count() >> 17)
+    near, s = near.repartition(tasks, "user_id", "frame"), s.select("user_id", "frame", "x").repartition(tasks, "user_id", "frame")
+    x = near.hint("merge").join(s, ["user_id", "frame"]).repartition(tasks, "user_id", "island")
     return frames.island_snr(x, ["user_id", "island"], "x", F.col("frame").between(F.col("first_frame"), F.col("last_frame"))).withColumn("snr_db", F.round("snr_db", 6))
 
 

@@ -283,3 +283,28 @@ def test_least_costs_rule_pairs_out():
         every = 0.5 * library.similarity(np.repeat(x[i : i + 1], 900, 0), np.arange(900)) + 0.5 * np.exp(-matching.dtw_distances(np.repeat(tracks[i][None], 900, 0), library.tracks[32][1]) / 6)
         assert at[i] == every.argmax() and score[i] == pytest.approx(every.max(), abs=1e-14)
     assert warped.mean() < 250
+
+
+def test_snr_ranks_values(spark):
+    """Medians and the 20th percentile as Spark's own, with ties, nulls and islands that have nothing outside or only nulls."""
+    r = np.random.default_rng(9)
+    rows = [(g, k, None if k % 11 == 3 else float(r.integers(-9, 9)), g % 3 == 0 or k < g) for g in range(40) for k in range(g + 1)] + [(90, 0, None, True), (91, 0, None, False), (91, 1, 2.0, True), (92, 0, 4.0, None), (92, 1, 9.0, True)]
+    x = spark.createDataFrame(rows, "g int, k int, v double, inside boolean")
+    side = F.col("inside")
+    want = x.groupBy("g").agg((F.median(F.when(side, F.col("v"))) - F.coalesce(F.median(F.when(~side, F.col("v"))), F.percentile("v", F.lit(0.2)))).alias("snr_db"))
+    found = frames.island_snr(x, ["g"], "v", side)
+    assert "ObjectHashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    got, want = ({a.g: a.snr_db for a in y.collect()} for y in (found, want))
+    assert got.keys() == want.keys() and all(got[g] == (None if w is None else pytest.approx(w, abs=1e-12)) for g, w in want.items())
+
+
+def test_snr_broadcasts_no_frames(spark, sf):
+    """Islands are small, the frames that they are spread to are not, which a plan doesn't see."""
+    import re
+
+    from pulselake.queries import QUERIES
+
+    found = QUERIES["pulse_snr"](spark, sf)
+    found.collect()
+    joins = re.findall(r"(\w+Join)\S* \[user_id#\w+, frame#\w+\]", found._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
