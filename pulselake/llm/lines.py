@@ -31,9 +31,10 @@ TEXT = 16
 
 
 def shingles(line: Column) -> Column:
-    """The shingles of a line: SHINGLE characters from every place on, or the whole of a shorter line."""
-    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every)
+    """The distinct shingles of a line, as 64-bit hashes: SHINGLE characters from every place on, or the whole of a shorter line."""
+    last = lambda b: F.greatest(F.lit(1), F.length(b) - (4 * SHINGLE - 1))
+    of = lambda b: F.array_distinct(F.transform(F.sequence(F.lit(1), last(b), F.lit(4)), lambda p: F.xxhash64(F.substring(b, p, F.lit(4 * SHINGLE)))))
+    return F.transform(F.array(F.encode(line, "UTF-32")), of)[0]  # so that a line is encoded once, not for each place
 
 
 def _places(lines: DataFrame, keep: list[str], step: int, code: str, width: int) -> tuple[DataFrame, Callable[[int], Column]]:
@@ -86,13 +87,21 @@ def _shared(each: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int, rows: int) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least percent / 100. rows: how many texts there are."""
-    of = texts.select(F.col("kl").alias("a"), F.col("line").alias("la")).join(pairs.select("a").distinct(), "a", "left_semi").repartition("a")
-    x = sized(pairs.select("a", "b").join(texts.select(F.col("kl").alias("b"), F.col("line").alias("lb")), "b"), TEXT * rows)
+    """The pairs (a, b, ...) whose sets of shingles have a Jaccard similarity of at least percent / 100. rows: how many texts there are."""
+    among = lambda end, line: _among(texts, pairs.select(F.col(end).alias("kl"))).select(F.col("kl").alias(end), F.col("line").alias(line))
+    of = among("a", "la").join(pairs.select("a").distinct(), "a", "left_semi").repartition("a")
+    x = sized(pairs.join(among("b", "lb"), "b"), TEXT * rows)
     # The set of a is made once for all its pairs, where the pairs meet it: texts are dealt, not sets.
-    x = x.join(of.select("a", F.array_distinct(shingles(F.col("la"))).alias("sa")), "a")
-    x = x.select("a", "b", F.explode(F.array(F.struct("sa", F.array_distinct(shingles(F.col("lb"))).alias("sb")))).alias("s"))  # so that sets are made once, not for each use
-    return x.filter((100 + percent) * F.size(F.array_intersect("s.sa", "s.sb")) >= percent * (F.size("s.sa") + F.size("s.sb"))).select("a", "b")
+    x = x.join(of.select("a", shingles(F.col("la")).alias("sa")), "a")
+    x = x.select(*pairs.columns, F.explode(F.array(F.struct("sa", shingles(F.col("lb")).alias("sb")))).alias("s"))  # so that sets are made once, not for each use
+    return x.filter((100 + percent) * F.size(F.array_intersect("s.sa", "s.sb")) >= percent * (F.size("s.sa") + F.size("s.sb"))).select(*pairs.columns)
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after links (u, v) between roots, or between lines that are in no component yet."""
+    top = components(links, "u", "v")
+    moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return moved.select("node", F.coalesce("top", "root").alias("root")).union(top).distinct()
 
 
 def _apart(lines: DataFrame, roots: DataFrame) -> DataFrame:
@@ -114,8 +123,7 @@ def _sketched(texts: DataFrame) -> DataFrame:
 
 def _parity(texts: DataFrame) -> DataFrame:
     """(kl, n, k) for each of texts: its number of distinct shingles, and a sketch in which each of these turns a bit over. Closer than _sketched, and dearer."""
-    x, shingle = _places(texts.repartition("kl"), ["kl"], 1, "UTF-32", 4)
-    x = x.select("kl", F.xxhash64(shingle(0)).alias("h")).distinct().select("kl", _slot("h").alias("w"), _bit("h").alias("b"))
+    x = texts.repartition("kl").select("kl", F.explode(shingles(F.col("line"))).alias("h")).select("kl", _slot("h").alias("w"), _bit("h").alias("b"))
     longs = [F.bit_xor(F.when(F.col("w") == j, F.col("b")).otherwise(F.lit(0).cast("long"))).alias(f"k{j}") for j in range(SKETCH)]
     return x.groupBy("kl").agg(F.count("*").alias("n"), *longs).select("kl", "n", F.struct(*(f"k{j}" for j in range(SKETCH))).alias("k"))
 
@@ -187,14 +195,16 @@ def line_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame
             break
         chosen = F.pmod(F.xxhash64("kl", "band"), F.lit(1 << 20)) * F.col("c") < hubs << 20
         other = out.filter(chosen).select("band", F.struct("kl", "n", "k", "root").alias("h"))
-        more = sized(out.join(other, "band"), n).filter((F.col("root") != F.col("h.root")) & _can_link(percent)).select(*_pair()).distinct()
+        more = sized(out.join(other, "band"), n).filter((F.col("root") != F.col("h.root")) & _can_link(percent))
+        more = more.select(*_pair(), F.least("root", "h.root").alias("u"), F.greatest("root", "h.root").alias("v")).distinct()
         hubs *= MORE_HUBS
         more = checkpoint(sized(more.join(tested, ["a", "b"], "left_anti"), n))
         if more.isEmpty():
             continue
-        tested = tested.union(more)
-        stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = sized(checkpoint(components(stars.union(_linked(more, texts, percent, rows)))), rows)
+        tested = tested.union(more.select("a", "b"))
+        links = checkpoint(sized(_linked(more, texts, percent, rows).select("u", "v").distinct(), n))
+        if not links.isEmpty():
+            roots = sized(checkpoint(_joined(roots, links)), rows)
     return keys.select("kl", "kr", "n"), roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
@@ -218,7 +228,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = checkpoint(found)
     first = found.groupBy("g", "g2").agg(F.min("at").alias("first"))
     gone = found.join(first, ["g", "g2"]).filter("at > first").groupBy("at.doc_id", "at.text_id").agg(F.collect_set("at.pos").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_i"), "_gone")
+    gone = gone.select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_i"), "_gone").hint("shuffle_hash")  # a row a document; so texts need no sort
     x = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_i")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))

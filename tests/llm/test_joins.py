@@ -330,3 +330,42 @@ def test_line_dedup_with_null_ids_and_repeated_rows(spark):
     rows = [(None, "one line that is there twice"), (None, "one line that is there twice"), (5, "one line that is there twice"), (5, "another line\nanother line"), (5, "another line\nanother line")]
     got = sorted(((r.doc_id or 0, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == [(0, 0), (0, 0), (5, 1), (5, 1), (5, 1)]
+
+
+def test_line_dedup_sets_of_shingles(spark):
+    """Characters beyond the basic plane are one character each, and a shingle that is there twice counts once."""
+    rows = [("",), ("short",), ("sixsix",), ("abc" * 20,), ("统一资源定位符表示一个地址",), ("".join(chr(0x1F600 + i) for i in range(30)) + " and some words",), ("é\U0001f600" * 9,)]
+    got = spark.createDataFrame(rows, "line string").select("line", F.size(lines.shingles(F.col("line"))).alias("n")).collect()
+    assert {r.line: r.n for r in got} == {x: len(all_shingles(x)) for x, in rows}
+
+
+def test_line_dedup_links_roots_in_later_turns(spark, monkeypatch):
+    """Turns after the first give union-find links between components, not all that was linked before."""
+    import random
+
+    r = random.Random(7)
+    base = [f"{r.randrange(10**6):06d}" for _ in range(60)]
+    rows, w = [(0, " ".join(base))], list(base)
+    for i in range(1, 300):
+        w = list(base) if i % 3 == 1 else w
+        for k in r.sample(range(60), 4):
+            w[k] = f"{r.randrange(10**6):06d}"
+        rows.append((i, " ".join(w)))
+    given, components = [], lines.components
+
+    def record(links, a="a", b="b"):
+        given.append([(x[a], x[b]) for x in links.collect()])
+        return components(links, a, b)
+
+    monkeypatch.setattr(lines, "components", record)
+    lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    root: dict = {}
+    find = lambda x: x if root.get(x, x) == x else find(root[x])
+    first, *later, _ = given
+    assert later
+    for links in [first, *later]:
+        if links is not first:
+            assert all(find(x) == x for link in links for x in link)
+        for a, b in links:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
