@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import aside, checkpoint, components, sized, table
@@ -86,6 +86,13 @@ def _shared(each: DataFrame) -> DataFrame:
     return each.select("band", "kl").join(ends.hint("shuffle_hash"), "band")  # few bands are shared, and the rows of all need no sort
 
 
+def _shared_once(each: DataFrame) -> DataFrame:
+    """As _shared, for bands of few lines: one shuffle and sort by band, read once, where the two aggregations of _shared keep a row for each band in memory."""
+    lines = Window.partitionBy("band")
+    x = each.select("band", "kl", F.min("kl").over(lines).alias("hub"), F.max("kl").over(lines).alias("hi"))
+    return x.filter("hub < hi").select("band", "kl", "hub")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int, rows: int) -> DataFrame:
     """The pairs (a, b, ...) whose sets of shingles have a Jaccard similarity of at least percent / 100. rows: how many texts there are."""
     among = lambda end, line: _among(texts, pairs.select(F.col(end).alias("kl"))).select(F.col("kl").alias(end), F.col("line").alias(line))
@@ -171,7 +178,7 @@ def line_links(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame
     large = some.groupBy(lead.alias("_lead")).agg(F.count("*").alias("n")).filter(16 * F.col("n") > 8 * mean + 1000).select("_lead")
     each = each.withColumn("_lead", lead)
     large = F.broadcast(checkpoint(large))  # under 2 ** BUCKET_BITS / 8 numbers
-    members = _shared(each.join(large, "_lead", "left_anti").repartition("band")).union(_shared(each.join(large, "_lead", "left_semi")))
+    members = _shared_once(each.join(large, "_lead", "left_anti")).union(_shared(each.join(large, "_lead", "left_semi")))
     members = checkpoint(members)
     ends = members.select("kl").distinct()
     texts = checkpoint(_among(lines.select("kl", "line"), ends).join(ends, "kl", "left_semi").dropDuplicates(["kl"]))

@@ -369,3 +369,21 @@ def test_line_dedup_links_roots_in_later_turns(spark, monkeypatch):
         for a, b in links:
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
+
+
+def test_line_dedup_deals_bands_once(spark, monkeypatch):
+    """Bands of few lines are dealt and read once: no aggregation by band, and the rows and hubs that brute force finds."""
+    rows = [(b, k) for b in range(400) for k in range(b, b + (b % 5 == 0) * (b % 7) + 1)]
+    d = spark.createDataFrame(rows, "band long, kl long").repartition(3)
+    x = lines._shared_once(d)
+    by = {}
+    for b, k in rows:
+        by.setdefault(b, set()).add(k)
+    want = sorted((b, k, min(ks)) for b, ks in by.items() if len(ks) > 1 for k in ks)
+    assert sorted(map(tuple, x.select("band", "kl", "hub").collect())) == want
+    plan = x._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" not in plan and "Join" not in plan
+    used, once = [], lines._shared_once
+    monkeypatch.setattr(lines, "_shared_once", lambda each: used.append(1) or once(each))
+    lines.line_links(C.frame(spark).select("doc_id", "text"))
+    assert used
